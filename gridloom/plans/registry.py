@@ -6,10 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gridloom.plans import q_decisions, q_marts
+from gridloom.plans.query import Query
+
+MODULES = (q_marts, q_decisions)
+
+
+def catalogue() -> dict[str, Query]:
+    found: dict[str, Query] = {}
+    for module in MODULES:
+        for q in module.QUERIES:
+            if q.name in found:
+                raise ValueError(f"two queries are named {q.name}")
+            found[q.name] = q
+    return found
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: q.run for name, q in catalogue().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: q.sql() for name, q in catalogue().items()}

@@ -9,43 +9,80 @@ are joined; the ids are those of the whole text.
 from __future__ import annotations
 
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
 
 #: Before the last white space of a run, where it is a space or line feed.
 CUT = re.compile(r"(?=[ \n]\S)")
-KEPT = 400_000
+#: Chunks that a worker remembers, and the longest such.
+KEPT = 1_200_000
+LONGEST = 64
 
 
 class Encoder:
-    """Ids of texts; remembers up to ``KEPT`` chunks of up to 64 characters."""
+    """Ids of texts; remembers chunks as bytes of their ids, about 170 bytes a chunk.
+
+    A line of words with single spaces between them is cut by ``str.split``;
+    its words stand for chunks that begin with a space. Any other text is cut by
+    ``CUT`` into chunks as they are.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.known: dict[str, list[int]] = {}
+        self.spaced: dict[str, bytes] = {}
+        self.other: dict[str, bytes] = {}
+
+    @staticmethod
+    def cut(text: str) -> tuple[list[str], list[list[str]]] | list[str]:
+        """First chunks of all lines and the words after them, or (a list only) the chunks of an odd text."""
+        firsts, rests = [], []
+        for i, line in enumerate(text.split("\n")):
+            words = line.split()
+            if not words or " ".join(words) != line:
+                return CUT.split(text)
+            firsts.append(f"\n{words[0]}" if i else words[0])
+            rests.append(words[1:])
+        return firsts, rests
+
+    def learn(self, known: dict[str, bytes], wanted: set[str], prefix: str) -> None:
+        if len(known) > KEPT:
+            known.clear()
+        new = list(wanted.difference(known))
+        for i in range(0, len(new), 20_000):
+            some = new[i : i + 20_000]
+            for c, e in zip(some, self.tokenizer.encode_batch_fast([prefix + c for c in some] if prefix else some, add_special_tokens=False), strict=True):
+                known[c] = array("I", e.ids).tobytes()
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.known) > KEPT:
-            self.known.clear()
-        cut = [CUT.split(t) for t in texts]
-        new = {c for chunks in cut for c in chunks}.difference(self.known)
-        rest: dict[str, list[int]] = {}
-        order = list(new)
-        for i in range(0, len(order), 20_000):
-            some = order[i : i + 20_000]
-            for c, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                (self.known if len(c) <= 64 else rest)[c] = e.ids
-        get = self.known.__getitem__ if not rest else lambda c: self.known[c] if c in self.known else rest[c]
+        parts = [self.cut(t) for t in texts]
+        spaced: set[str] = set()
+        other: set[str] = set()
+        for p in parts:
+            if isinstance(p, tuple):
+                other.update(p[0])
+                spaced.update(*p[1])
+            else:
+                other.update(p)
+        self.learn(self.spaced, spaced, " ")
+        self.learn(self.other, other, "")
+        of_spaced, of_other = self.spaced.__getitem__, self.other.__getitem__
         out = []
-        for chunks in cut:
-            ids: list[int] = []
-            for x in map(get, chunks):
-                ids += x
-            out.append(np.array(ids, np.uint32))
+        for p in parts:
+            if isinstance(p, tuple):
+                raw = b"".join([of_other(first) + b"".join(map(of_spaced, rest)) for first, rest in zip(*p, strict=True)])
+            else:
+                raw = b"".join(map(of_other, p))
+            out.append(np.frombuffer(raw, np.uint32))
+        # long chunks are not kept
+        for known, used in ((self.spaced, spaced), (self.other, other)):
+            for c in used:
+                if len(c) > LONGEST:
+                    known.pop(c, None)
         return out
 
 

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.plans import q_decisions, q_marts
+from gridloom.plans import q_decisions, q_kpi, q_marts
 from gridloom.plans.query import Query
 
-MODULES = (q_marts, q_decisions)
+MODULES = (q_marts, q_decisions, q_kpi)
 
 
 def catalogue() -> dict[str, Query]:

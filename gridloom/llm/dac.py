@@ -96,5 +96,31 @@ class Reader:
                 break
         return out
 
+    def _rank(self, maps: list[np.ndarray], at: int) -> int:
+        """How many of a level's first ``at`` ids go on to the next level."""
+        words, high, low = maps
+        word, bit = at >> 6, at & 63
+        if word == len(words):
+            word, bit = word - 1, 64
+        return int(high[word // SUPER]) + int(low[word]) + (int(words[word]) & ((1 << bit) - 1)).bit_count()
+
     def slice(self, start: int, end: int) -> np.ndarray:
-        return self.read(np.arange(start, end))
+        """The ids from ``start`` to before ``end``; the directories give the stretch of each level that they lie in."""
+        start, end = max(0, start), min(len(self), end)
+        out = np.zeros(max(0, end - start), np.uint32)
+        todo = None
+        for level, (chunks, maps) in enumerate(self.levels):
+            if end <= start:
+                break
+            part = chunks[start:end].astype(np.uint32) << np.uint32(level * self.bits)
+            if todo is None:
+                out |= part
+            else:
+                out[todo] |= part
+            if maps is None:
+                break
+            on = np.unpackbits(maps[0][start >> 6 : -(-end // 64)].view(np.uint8), bitorder="little")[start & 63 :][: end - start].view(bool)
+            todo = np.flatnonzero(on) if todo is None else todo[on]
+            start = self._rank(maps, start)
+            end = start + int(np.count_nonzero(on))
+        return out

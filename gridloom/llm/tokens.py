@@ -4,6 +4,10 @@ Both public tokenizers used here cut a text at a single space or line feed that
 is followed by a character that isn't white space, whatever surrounds it. So
 a text is cut there, each distinct chunk is encoded once, and the chunks' ids
 are joined; the ids are those of the whole text.
+
+New ASCII words are encoded many at a time as one line: their bytes are those
+that the ids stand for, so the sizes of the tokens tell where each word's ids
+end. A line whose sizes don't meet every word's end is encoded word by word.
 """
 
 from __future__ import annotations
@@ -19,6 +23,8 @@ CUT = re.compile(r"(?=[ \n]\S)")
 #: Chunks that a worker remembers, and the longest such.
 KEPT = 1_200_000
 LONGEST = 64
+#: Words that are encoded as one line.
+LINE = 2_000
 
 
 class Encoder:
@@ -34,6 +40,11 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        tail = getattr(self.tokenizer.model, "end_of_word_suffix", None) or ""
+        self.sizes = np.ones(self.tokenizer.get_vocab_size(), np.int64)  # bytes of text that each id stands for
+        for token, i in self.tokenizer.get_vocab().items():
+            self.sizes[i] = len(token.removesuffix(tail)) or len(token)
+        self.gap = int(self.sizes[self.tokenizer.encode(" a", add_special_tokens=False).ids].sum()) - 1  # 1 if ids stand for the space too
         self.spaced: dict[str, bytes] = {}
         self.other: dict[str, bytes] = {}
 
@@ -49,14 +60,37 @@ class Encoder:
             rests.append(words[1:])
         return firsts, rests
 
-    def learn(self, known: dict[str, bytes], wanted: set[str], prefix: str) -> None:
+    def line(self, words: list[str]) -> list[bytes] | None:
+        """The ids of ASCII words that follow a space each, or None where the sizes don't show each word's end."""
+        (e,) = self.tokenizer.encode_batch_fast([" " + " ".join(words)], add_special_tokens=False)
+        ids = np.array(e.ids, np.uint32)
+        ends, wanted = np.cumsum(self.sizes[ids]), np.cumsum([len(w) + self.gap for w in words])
+        at = np.searchsorted(ends, wanted)
+        if not len(ids) or ends[-1] != wanted[-1] or (ends[at] != wanted).any():
+            return None
+        raw, bounds = ids.tobytes(), [0, *((at + 1) * 4).tolist()]
+        return [raw[lo:hi] for lo, hi in zip(bounds, bounds[1:], strict=False)]
+
+    def learn(self, known: dict[str, bytes], wanted: set[str], prefix: str) -> list[str]:
+        """Make every wanted chunk known; returns the new ones too long to keep."""
         if len(known) > KEPT:
             known.clear()
         new = list(wanted.difference(known))
-        for i in range(0, len(new), 20_000):
-            some = new[i : i + 20_000]
+        singly = new
+        if prefix == " ":
+            plain, singly = [c for c in new if c.isascii()], [c for c in new if not c.isascii()]
+            for i in range(0, len(plain), LINE):
+                some = plain[i : i + LINE]
+                got = self.line(some)
+                if got is None:
+                    singly += some
+                else:
+                    known.update(zip(some, got, strict=True))
+        for i in range(0, len(singly), 20_000):
+            some = singly[i : i + 20_000]
             for c, e in zip(some, self.tokenizer.encode_batch_fast([prefix + c for c in some] if prefix else some, add_special_tokens=False), strict=True):
                 known[c] = array("I", e.ids).tobytes()
+        return [c for c in new if len(c) > LONGEST]
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         parts = [self.cut(t) for t in texts]
@@ -68,8 +102,8 @@ class Encoder:
                 spaced.update(*p[1])
             else:
                 other.update(p)
-        self.learn(self.spaced, spaced, " ")
-        self.learn(self.other, other, "")
+        long_spaced = self.learn(self.spaced, spaced, " ")
+        long_other = self.learn(self.other, other, "")
         of_spaced, of_other = self.spaced.__getitem__, self.other.__getitem__
         out = []
         for p in parts:
@@ -78,11 +112,9 @@ class Encoder:
             else:
                 raw = b"".join(map(of_other, p))
             out.append(np.frombuffer(raw, np.uint32))
-        # long chunks are not kept
-        for known, used in ((self.spaced, spaced), (self.other, other)):
-            for c in used:
-                if len(c) > LONGEST:
-                    known.pop(c, None)
+        for known, long in ((self.spaced, long_spaced), (self.other, long_other)):
+            for c in long:
+                del known[c]
         return out
 
 

@@ -18,12 +18,29 @@ def test_chunks_give_the_ids_of_the_whole_text(name):
     assert [x.tolist() for x in enc(texts)] == whole  # from memory
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_words_encoded_as_a_line(name):
+    enc = tokens.Encoder(tokens.vocabulary(name))
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcXYZ019'<>/|.,-\x00\x7fw") for _ in range(rng.randrange(1, 12))) for _ in range(5000)] + ["'s", "</w>", "a</w>", "<|endoftext|>", "<|startoftext|>", "x" * 300]
+    want = [enc.tokenizer.encode(f" {w}", add_special_tokens=False).ids for w in words]
+    got = enc.line(words)
+    assert got is not None and [np.frombuffer(x, np.uint32).tolist() for x in got] == want
+    odd = " ".join(["plain", *words, "é"])
+    assert enc([odd])[0].tolist() == enc.tokenizer.encode(odd, add_special_tokens=False).ids
+    enc.sizes[:] = 1  # sizes that fit no word: each is encoded by itself
+    enc.spaced.clear()
+    assert enc.line(words) is None and enc([odd])[0].tolist() == enc.tokenizer.encode(odd, add_special_tokens=False).ids
+
+
 def test_codes_random_access():
     rng = np.random.default_rng(1)
     for ids in (np.zeros(0), np.zeros(70), rng.integers(0, 49408, 5000), rng.integers(0, 2**32, 3000), rng.integers(0, 300, 1024 * 3 + 1)):
         for bits in (4, 8):
             r = dac.Reader(dac.encode(ids.astype(np.uint32), bits))
             at = rng.integers(0, max(1, len(ids)), 500)[: 500 * bool(len(ids))]
+            for lo, hi in ((1, 64), (63, 130), (700, 701), (1000, 2050), (2, 2), (len(ids), len(ids) + 5)):
+                assert (r.slice(lo, hi) == ids[lo:hi]).all() and len(r.slice(lo, hi)) == len(ids[lo:hi])
             assert len(r) == len(ids) and (r.slice(0, len(ids)) == ids).all() and (r.read(at) == ids[at]).all()
     with pytest.raises(ValueError):
         dac.Reader(b"no token file")

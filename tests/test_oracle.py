@@ -6,11 +6,11 @@ from pathlib import Path
 
 import pytest
 
-from gridloom.plans import q_kpi, registry
+from gridloom.plans import q_groups, q_kpi, q_rows, registry
 
 FOLDER = "/root/testdata/sf0.001"
 ALSO = ["flexibility_zone", "assets_exposure", "mart_node_state", "mart_zone_month", "features_zone_month", "join_interval_overlap", "anom_demand_z", "fc_naive_seasonal_ma", "fc_benchmark", "fc_winner"]
-NAMES = [q.name for q in q_kpi.QUERIES] + ["mart_zone_day", "risk_zone", *ALSO]
+NAMES = [q.name for module in (q_kpi, q_rows, q_groups) for q in module.QUERIES] + ["mart_zone_day", "risk_zone", *ALSO]
 
 
 @pytest.fixture(scope="module")

@@ -49,6 +49,13 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(ARROW_ROWS))
 
 
+def released() -> None:
+    """Give Arrow's unused memory back at the end of a task: the worker stays for later stages."""
+    import pyarrow
+
+    pyarrow.default_memory_pool().release_unused()
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

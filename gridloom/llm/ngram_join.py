@@ -33,14 +33,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import components, load, runs, shielded, small_batches, stored, unshielded
+from gridloom.llm.common import components, load, released, runs, shielded, small_batches, stored, unshielded
 
 N = 5
 THRESHOLD = (4, 5)  # similarity of 4/5 or more, held exactly
 RECALL = 0.9995
 HASHES = 128
 BLOCK = 256
-KNOWN_WORDS = 500_000
+KNOWN_WORDS = 100_000
 
 
 def bands_for(threshold: float, recall: float = RECALL, hashes: int = HASHES) -> tuple[int, int]:
@@ -116,6 +116,7 @@ def signatures(df: DataFrame, bander: Bander, key: str, text: str, n: int = N) -
                 out.append((doc_id, xxhash.xxh3_64_intdigest(raw), xxhash.xxh3_64_intdigest(raw, 1), bander(grams) if len(grams) else None))
             ids = np.array([r[1] for r in out], np.uint64).view(np.int64), np.array([r[2] for r in out], np.uint64).view(np.int64)
             yield pd.DataFrame({"doc_id": [r[0] for r in out], "set_a": ids[0], "set_b": ids[1], "bands": [r[3] for r in out]})
+        released()
 
     rows = df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return stored(rows.mapInPandas(sign, "doc_id long, set_a long, set_b long, bands array<bigint>"), "signatures")
@@ -211,6 +212,7 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = N, rec
             np.add.at(links, j[different], copies[i[different]])
             some = np.unique(np.concatenate([i, j]))
             yield pd.DataFrame({"rep": reps[some], "links": links[some], "root": reps[np.array(_tied(len(reps), i, j))[some]]})
+        released()
 
     dealt = met.repartition("grp", "lo", "hi").sortWithinPartitions("grp", "lo", "hi", "rep")
     linked = stored(dealt.mapInPandas(verify, "rep long, links long, root long"), "links")

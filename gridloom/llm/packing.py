@@ -31,14 +31,16 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import LOWEST, load, ranked, small_batches, stored
-from gridloom.llm.tokens import encoder, vocabulary
+from gridloom.llm.common import LOWEST, load, ranked, released, small_batches, stored
+from gridloom.llm.tokens import KEPT, encoder, vocabulary
 
 VOCABULARY = "byte_bpe_50k.json"
 END = 2
 CAPACITY = 1024
 WEIGHTS = (1.0, 0.05, 0.05)
 CELLS = 64
+#: Chunks that the pipeline's stage remembers: fewer, as its workers hold what the stages before it left.
+STAGE_KEPT = 250_000
 
 
 def cuts(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
@@ -111,18 +113,19 @@ def best_fit(counts: dict[int, int], capacity: int = CAPACITY, max_docs: int | N
     return plan
 
 
-def pieces(df: DataFrame, key: str = "doc_id", text: str = "text", vocabulary_name: str = VOCABULARY, end: int = END, capacity: int = CAPACITY) -> DataFrame:
+def pieces(df: DataFrame, key: str = "doc_id", text: str = "text", vocabulary_name: str = VOCABULARY, end: int = END, capacity: int = CAPACITY, kept: int = KEPT) -> DataFrame:
     """Every document's pieces ``doc_id, piece, start, length, ids_crc32``, stored in the shared folder."""
     small_batches(df.sparkSession)
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids_of = encoder(vocabulary(vocabulary_name))
+        ids_of = encoder(vocabulary(vocabulary_name), kept)
         for pdf in batches:
             out = []
             for k, no_id, ids in zip(pdf["k"].tolist(), pdf["no_id"].tolist(), ids_of(pdf["text"].tolist()), strict=True):
                 raw = np.append(ids, np.uint32(end)).astype("<u4")
                 out += [(None if no_id else k, i, at, n, zlib.crc32(raw[at : at + n].tobytes())) for i, (at, n) in enumerate(cuts(len(raw), capacity))]
             yield pd.DataFrame({"doc_id": pd.array([r[0] for r in out], dtype="Int64"), **{c: [r[i] for r in out] for i, c in enumerate(("piece", "start", "length", "ids_crc32"), 1)}})
+        released()
 
     rows = df.select(F.coalesce(F.col(key), F.lit(LOWEST)).cast("long").alias("k"), F.col(key).isNull().alias("no_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     return stored(rows.mapInPandas(encode, "doc_id long, piece int, start long, length long, ids_crc32 long"), "pieces")
@@ -156,4 +159,4 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where each piece of the documents goes."""
-    return pack(pieces(docs))
+    return pack(pieces(docs, kept=STAGE_KEPT))

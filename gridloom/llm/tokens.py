@@ -35,9 +35,10 @@ class Encoder:
     ``CUT`` into chunks as they are.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kept: int = KEPT):
         from tokenizers import Tokenizer
 
+        self.kept = kept
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         tail = getattr(self.tokenizer.model, "end_of_word_suffix", None) or ""
@@ -73,7 +74,7 @@ class Encoder:
 
     def learn(self, known: dict[str, bytes], wanted: set[str], prefix: str) -> list[str]:
         """Make every wanted chunk known; returns the new ones too long to keep."""
-        if len(known) > KEPT:
+        if len(known) > self.kept:
             known.clear()
         new = list(wanted.difference(known))
         singly = new
@@ -119,12 +120,12 @@ class Encoder:
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str) -> Encoder:
-    """One encoder a worker and file."""
+def encoder(path: str, kept: int = KEPT) -> Encoder:
+    """One encoder a worker and file, which remembers ``kept`` chunks of each kind."""
     import os
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    return Encoder(path)
+    return Encoder(path, kept)
 
 
 def vocabulary(name: str) -> str:

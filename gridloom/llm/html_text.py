@@ -6,10 +6,17 @@ article element, and whether an element around it says by tag, class, id or
 role that it is page furniture. A decision tree (Gini splits), trained on the
 small labelled table below, says which blocks are main text.
 
-Scripts, styles, the head, form fields and comments in markup are no text.
+Scripts, styles, titles, form fields and comments in markup are no text.
 Character references are decoded, white space inside a block becomes one space,
 blocks are joined by a line feed.
 
+What stands in a script, style, noscript, title, textarea or iframe is not read
+as markup: such an element ends at its own end tag. Without one a script or
+style goes on to the page's end, a title ends at the next tag, and the others
+end as all elements without text do: with the element that surrounds them. An svg or math element also ends
+where HTML begins in it or by ``/>``. The head holds nothing by itself, so text
+after a head without an end tag counts.
+
 Defined results: null and empty html and pages without main text give an empty
 text; unclosed elements end with what surrounds them; a null url passes
 through; repeated rows give equal results.
@@ -19,6 +26,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -40,7 +48,7 @@ FURNITURE_WORDS = frozenset(
     "widget widgets".split()
 )
 FURNITURE_ROLES = frozenset("alert banner complementary contentinfo dialog form menu menubar navigation search".split())
-NO_TEXT = frozenset("script style noscript template svg math iframe object canvas textarea select button head title audio video".split())
+NO_TEXT = frozenset("script style noscript template svg math iframe object canvas textarea select button title audio video".split())
 ARTICLE_TAGS = frozenset(["article", "main"])
 BLOCK_TAGS = frozenset(
     "address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head "
@@ -48,6 +56,16 @@ BLOCK_TAGS = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 OPTIONAL_END = frozenset("p li dt dd tr td th option tbody thead tfoot caption".split())
+# Elements whose content isn't markup, with their end tags; of these, the ones that go on to the page's end without one.
+RAW_END = {t: re.compile(rf"</{t}(?=[\s/>]|$)[^>]*>?", re.I) for t in "script style noscript title textarea iframe".split()}
+TO_THE_END = frozenset(["script", "style"])
+# Elements in another language, the HTML elements that end them, and the places in them where HTML may stand.
+FOREIGN = frozenset(["svg", "math"])
+ENDS_FOREIGN = BLOCK_TAGS - {"title"} | frozenset("b big code em embed i img listing meta nobr ruby s small span strong strike sub sup tt u var".split())
+HTML_IN_FOREIGN = frozenset("foreignobject desc annotation-xml mi mo mn ms mtext".split())
+# Elements that end a sibling of the same group, and those that begin a new list or table.
+SIBLINGS = {"li": "list", "dt": "terms", "dd": "terms"} | dict.fromkeys("td th tr tbody thead tfoot caption".split(), "table")
+HOLDERS = frozenset("ul ol menu dl table template".split())
 
 # Labelled blocks: words, links, words_before, links_before, words_after, links_after, article, furniture, is main text.
 LABELLED = """
@@ -202,6 +220,10 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
     link, furniture, article = 0, 0, 0
     skip = ""
     at = 0
+    opened: list[str] = []  # within the element that is skipped
+    inside: Counter[str] = Counter()  # of these, by tag
+    inline: Counter[str] = Counter()  # open elements that aren't on the stack
+    endless: set[str] = set()  # tags without an end tag from here on
 
     def close() -> None:
         if held:
@@ -217,24 +239,67 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
         furniture -= f
         article -= a
 
-    for m in TOKEN.finditer(page):
+    def ends_skip(tag: str, ends: bool, whole: bool) -> bool:
+        """Take a tag inside an element without text; whether that element ends before it."""
+        if skip == "title":  # without its end tag
+            return True
+        foreign = skip in FOREIGN or any(inside[t] for t in FOREIGN)
+        if ends:
+            if not inside[tag]:
+                return tag == skip or inline[tag] > 0 or any(t == tag for t, _, _ in stack)
+            while True:
+                last = opened.pop()
+                inside[last] -= 1
+                if last == tag:
+                    return False
+        if skip in FOREIGN and tag in ENDS_FOREIGN and not any(inside[t] for t in HTML_IN_FOREIGN):
+            return True
+        if tag in SIBLINGS and skip != "template" and not any(inside[t] for t in HOLDERS):
+            around = next((t for t, _, _ in reversed(stack) if t != "p"), "")
+            if SIBLINGS.get(around) == SIBLINGS[tag]:
+                return True
+        # buttons and selects can't hold their like
+        if tag not in VOID and not (whole and (foreign or tag in FOREIGN)) and not (tag == skip and tag in ("button", "select")):
+            opened.append(tag)
+            inside[tag] += 1
+        return False
+
+    while m := TOKEN.search(page, at):
         if m.start() > at and not skip:
             held.append((entities.unescape(page[at : m.start()]), link > 0))
         at = m.end()
         tag = (m[2] or m[5] or "").lower()
         if not tag:
             continue
-        ends = (m[1] or m[4]) == "/"
+        ends, whole = (m[1] or m[4]) == "/", m[0].endswith("/>")
+        if tag in RAW_END and not ends and tag not in endless and not (whole and (skip in FOREIGN or any(inside[t] for t in FOREIGN))):
+            end = RAW_END[tag].search(page, at)
+            if end or tag in TO_THE_END:
+                if tag in BLOCK_TAGS and not skip:
+                    close()
+                at = end.end() if end else len(page)
+                continue
+            endless.add(tag)
         if skip:
-            if ends and tag == skip:
-                skip = ""
-            continue
+            if not ends_skip(tag, ends, whole):
+                continue
+            own = ends and tag == skip
+            skip = ""
+            opened.clear()
+            inside.clear()
+            if own:
+                continue
         if tag in NO_TEXT and not ends:
             if tag in BLOCK_TAGS:
                 close()
-            skip = tag
-            # raw elements end at their own end tag, whatever stands between
+            if not (tag in FOREIGN and whole):
+                skip = tag
+            continue
+        if tag == "head":
+            close()
             continue
+        if tag not in BLOCK_TAGS and tag not in VOID:
+            inline[tag] = max(0, inline[tag] + (-1 if ends else 1))
         if tag == "a":
             link = 0 if ends else 1
             continue

@@ -32,6 +32,29 @@ def test_odd_pages():
     assert h.main_text("<div>" * 5000 + "<article><p>deep</p></article>") == "deep"
 
 
+def test_raw_elements_end_at_their_own_end_tag():
+    kept = "<article><p>kept text stays here</p></article>"
+    for odd in (
+        "<script>for(i=0;i<n;i++){}</script>", "<script>x = '<!--'</script>", "<SCRIPT>a<b && '</scripts>'</Script >", "<style>a<b{}</style>", "<textarea><!-- <x</textarea>",
+        "<noscript><iframe src=x></noscript>", "<iframe><p>old</iframe>", "<svg><style>a<b{}</style></svg>", "<button><script>i<n</script></button>",
+    ):
+        assert h.main_text(f"<body>{odd}{kept}</body>") == "kept text stays here", odd
+    assert h.main_text(f"{kept}<script>i<n;") == "kept text stays here"
+
+
+def test_elements_without_text_end_with_what_surrounds_them():
+    kept = "<article><p>kept text stays here</p></article>"
+    for odd in (
+        "<head><title>T</title><meta charset=a>", "<head><title>T</title><body>", "<head><title>T</head><body>", "<svg width=1 />", "<svg><path></svg>", "<svg><g><path d=1>", "<div><canvas></div>", "<div><button>Go</div>", "<div><iframe src=x /></div>",
+        "<div><object><param name=a><div>old</div></div>", "<object><object>old</object>old</object>", "<a href=x><svg></a>", "<b><video src=x></b>", "<table><tr><td><select><option>old<td></table>", "<button>Go<button>Go</button>",
+        "<button><svg/><i>old</i></button>", "<div><select><option>old</div>", "<ul><li><button>Go<li></ul>", "<template><ul><li>old</ul></template>", "<math><mi>x</mi><p></p>",
+    ):
+        assert h.main_text(f"{odd}{kept}") == "kept text stays here", odd
+    assert h.main_text("<article><p>some words here <button>Go</p><p>kept text stays here</p></article>") == "some words here\nkept text stays here"
+    many = "<article>" + "<iframe src=x>" * 20_000 + "</article><article><p>kept text stays here</p></article>"
+    assert h.main_text(many) == "kept text stays here"
+
+
 def test_tree_learns_its_table():
     x, y = h.labelled()
     assert (h.decide(h.trained(), x) == y).mean() >= 0.95

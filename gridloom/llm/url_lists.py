@@ -25,7 +25,6 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.common import fresh, load, without
 
-LEVELS = 6
 SALTS = 64
 HOST = r"^(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:@]+)"
 
@@ -37,11 +36,10 @@ def host_of(url: str | Column) -> Column:
 
 
 def domains(host: str) -> Column:
-    """The host and its parents of two labels or more, at most ``LEVELS``, as (domain, level): level 0 is the shortest."""
+    """The host and all its parents of two labels or more, as (domain, level): level 0 is the shortest."""
     labels = F.split(host, r"\.")
     n = F.size(labels)
-    deep = F.least(n - 1, F.lit(LEVELS))
-    several = F.transform(F.sequence(F.lit(0), deep - 1), lambda i: F.struct(F.array_join(F.slice(labels, n - 1 - i, i + 2), ".").alias("domain"), i.alias("level")))
+    several = F.transform(F.sequence(F.lit(0), n - 2), lambda i: F.struct(F.array_join(F.slice(labels, n - 1 - i, i + 2), ".").alias("domain"), i.alias("level")))
     return F.when(n > 1, several).otherwise(F.array(F.struct(F.col(host).alias("domain"), F.lit(0).alias("level"))))
 
 
@@ -51,12 +49,15 @@ def intervals(hosts: DataFrame, entries: DataFrame) -> DataFrame:
     dated = entries.select(F.lower(F.trim("domain")).alias("domain"), F.col("listed_at").cast("timestamp").alias("at"), order.alias("rank"))
     dated = dated.where("domain is not null and at is not null and rank is not null").groupBy("domain", "at").agg(F.max("rank").alias("rank"))
     each = hosts.select("host", F.explode(domains("host")).alias("d")).select("host", "d.domain", "d.level")
-    events = each.join(dated, "domain")
-    changes = events.groupBy("host", "at").agg(*(F.max(F.when(F.col("level") == i, F.struct("rank", "domain"))).alias(f"s{i}") for i in range(LEVELS)))
+    # at each change of a host there is a row for each of its listed domains, with the entry that this domain has by then
+    events = each.join(dated, "domain").withColumn("levels", F.collect_set("level").over(Window.partitionBy("host")))
+    changes = events.groupBy("host", "at").agg(F.first("levels").alias("levels"), F.map_from_entries(F.collect_list(F.struct("level", F.struct("rank", "domain")))).alias("new"))
+    listed = changes.select("host", "at", "new", F.explode("levels").alias("level"))
+    so_far = F.last(F.col("new")[F.col("level")], ignorenulls=True).over(Window.partitionBy("host", "level").orderBy("at"))
+    deepest = F.max_by("s", F.when(F.col("s.rank") < 2, F.col("level")))
+    state = listed.select("host", "at", "level", so_far.alias("s")).groupBy("host", "at").agg(deepest.alias("s"))
     w = Window.partitionBy("host").orderBy("at")
-    state = changes.select("host", "at", *(F.last(f"s{i}", ignorenulls=True).over(w).alias(f"s{i}") for i in range(LEVELS)))
-    holds = F.coalesce(*(F.when(F.col(f"s{i}.rank") < 2, F.col(f"s{i}")) for i in reversed(range(LEVELS))))
-    lined = state.select("host", "at", holds.alias("s"), F.lead("at").over(w).alias("valid_to"))
+    lined = state.select("host", "at", "s", F.lead("at").over(w).alias("valid_to"))
     return lined.where("s is not null").select("host", F.when(F.col("s.rank") == 0, "block").otherwise("allow").alias("action"), F.col("s.domain").alias("domain"), F.col("at").alias("valid_from"), "valid_to")
 
 

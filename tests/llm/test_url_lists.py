@@ -37,6 +37,23 @@ def test_as_of_join(spark):
         assert (r.host, r.action, r.kept) == (host, want, want != "block")
 
 
+def test_deep_hosts(spark):
+    rng = random.Random(2)
+    day = lambda: dt.datetime(2024, 1, 1) + dt.timedelta(days=rng.randrange(60))
+    labels = [f"l{i}" for i in range(12)] + ["example", "com"]
+    names = [".".join(labels[i:]) for i in range(13)]
+    entries = [(names[i], a, dt.datetime(2024, 1, d)) for i, a, d in ((11, "block", 1), (0, "allow", 5), (1, "block", 9), (0, "remove", 20))]
+    entries += [(n, rng.choice(["block", "allow", "remove"]), day()) for n in names[2:9] for _ in range(2)]
+    captures = [(i, f"http://{rng.choice(names)}/", day()) for i in range(300)]
+    frames = spark.createDataFrame(captures, "page_id long, url string, fetched_at timestamp"), spark.createDataFrame(entries, "domain string, action string, listed_at timestamp")
+    got = u.filter_urls(*frames).collect()
+    assert len(got) == 300
+    for r in got:
+        want = active(r.host, r.fetched_at, entries)
+        assert (r.action, r.kept) == (want, want != "block")
+        assert r.entry_domain is None or r.host.endswith(r.entry_domain)
+
+
 def test_hosts(spark):
     urls = ["http://A.b.COM/x", "https://u:p@h.org:81?q", "//c.de", "ftp://x.y.", "mailto:a@b", "", None, "http:///p"]
     got = [r.h for r in spark.createDataFrame([(x,) for x in urls], "url string").select(u.host_of("url").alias("h")).collect()]

@@ -10,6 +10,9 @@ from gridloom.functions.exprs import ratio
 MODELS = ("naive", "seasonal_naive", "moving_average", "linear_trend", "exp_smoothing")
 TREND = 180
 MEMORY = 100
+#: Period, window of the mean and held-out rows of the domain's daily and hourly tasks.
+DAILY = {"period": 7, "window": 7, "horizon": 90}
+HOURLY = {"period": 24, "window": 24, "horizon": 504}
 ALPHA = 0.35
 
 

@@ -64,6 +64,59 @@ class Decisions(Marts):
         pressure = self.zone_day.groupBy("zone_id").agg(F.avg("ev_mwh").alias("ev_mean"), F.avg("industry_mwh").alias("industry_mean"), F.avg("demand_mwh").alias("demand_mean"))
         return forecasting.predictability(self.best_zone_errors, pressure, "zone_id")
 
+    # forecasts of the marts' own series
+
+    @cached_property
+    def day_series(self) -> DataFrame:
+        """Daily values of the five tasks, by ``series`` (task, entity)."""
+        load = self.node_state.groupBy("zone_id", "day").agg(F.avg("load_ratio").alias("load_ratio"))
+        zones = self.zone_day.select("zone_id", "day", "demand_mwh", "ev_mwh", "industry_mwh").join(load, ["zone_id", "day"], "left")
+        tasks = {"demanda_zona": "demand_mwh", "carga_relativa_zona": "load_ratio", "demanda_ev_zona": "ev_mwh", "demanda_industrial_zona": "industry_mwh"}
+        rows = F.explode(F.array(*(F.struct(F.lit(t).alias("task"), F.col(c).cast("double").alias("value")) for t, c in tasks.items())))
+        by_zone = zones.select(F.col("zone_id").alias("entity"), "day", rows.alias("x")).select("x.task", "entity", "day", "x.value")
+        stations = self.node_state.groupBy(F.col("station_id").alias("entity"), "day").agg(F.sum("demand_mw").cast("double").alias("value"))
+        both = by_zone.unionByName(stations.withColumn("task", F.lit("demanda_subestacion")))
+        return both.select(F.struct("task", F.col("entity").cast("string").alias("entity")).alias("series"), "day", "value")
+
+    @cached_property
+    def hour_series(self) -> DataFrame:
+        """Hourly demand of each zone, and whether any of its nodes is at its peak hour."""
+        return self.node_state.groupBy("zone_id", "ts").agg(F.sum("demand_mw").alias("value"), F.max("peak_flag").alias("peak"))
+
+    @cached_property
+    def day_forecast(self) -> DataFrame:
+        return forecasting.backtest(self.day_series, "series", "day", "value", **forecasting.DAILY).select("series.*", "day", "actual", *forecasting.MODELS)
+
+    @cached_property
+    def hour_forecast(self) -> DataFrame:
+        held = forecasting.backtest(self.hour_series, "zone_id", "ts", "value", **forecasting.HOURLY)
+        return held.join(self.hour_series.select("zone_id", "ts", "peak"), ["zone_id", "ts"])
+
+    @cached_property
+    def task_errors(self) -> DataFrame:
+        return forecasting.by_model(self.day_forecast, ["task", "entity", "day"])
+
+    @cached_property
+    def task_benchmark(self) -> DataFrame:
+        return self.task_errors.groupBy("task", "model").agg(*forecasting.metrics(), F.count(F.lit(1)).alias("n"))
+
+    @cached_property
+    def task_winners(self) -> DataFrame:
+        return self.task_benchmark.groupBy("task").agg(F.min_by(F.struct("model", "mae"), F.struct(F.round("mae", 9), "model")).alias("b")).select("task", "b.model", "b.mae")
+
+    @cached_property
+    def zone_type_errors(self) -> DataFrame:
+        """Errors of the best model of the zones' demand, by type of zone."""
+        best = self.task_winners.where("task = 'demanda_zona'").select("model")
+        types = self.frame("zones").select(F.col("zone_id").cast("string").alias("entity"), "zone_type")
+        rows = self.task_errors.where("task = 'demanda_zona'").join(best, "model", "left_semi").join(types, "entity", "left")
+        return rows.groupBy("zone_type").agg(*forecasting.metrics(), F.count(F.lit(1)).alias("n"))
+
+    @cached_property
+    def hour_peak_errors(self) -> DataFrame:
+        """Errors of each model over peak hours and over all hours."""
+        return forecasting.by_model(self.hour_forecast, ["zone_id", "ts", "peak"]).groupBy("model").agg(*forecasting.metrics(F.col("peak"), "_peak"), *forecasting.metrics(None, "_all"))
+
     # anomalies
 
     @cached_property

@@ -123,4 +123,32 @@ scenarios AS (
 scenario_summary AS (SELECT scenario, avg(load) AS load, sum(congestion) AS congestion, sum(ens) AS ens, sum(curtailment) AS curtailment, sum(flex_gap) AS flex_gap, sum(cost) AS cost, sum(investment) AS investment, avg(scenario_priority) AS scenario_priority FROM scenarios GROUP BY 1)
 """.strip()
 
+
+def _held(name: str, series: str, by: str, at: str, period: int, window: int, horizon: int) -> str:
+    """The held-out rows of ``series`` with each model's prediction."""
+    before = lambda n: f"OVER (w ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING)"
+    return f"""
+{name}_numbered AS (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY {at}) AS rn, count(*) OVER (PARTITION BY {by}) AS n FROM {series}),
+{name}_predicted AS (
+  SELECT *, lag(actual, 1) OVER w AS naive, coalesce(lag(actual, {period}) OVER w, lag(actual, 1) OVER w) AS seasonal_naive, avg(actual) {before(window)} AS moving_average,
+         regr_intercept(actual, rn) {before(180)} + regr_slope(actual, rn) {before(180)} * rn AS linear_trend, list(actual) {before(100)} AS past
+  FROM {name}_numbered WINDOW w AS (PARTITION BY {by} ORDER BY {at})),
+{name} AS (SELECT * EXCLUDE (past), list_reduce(past, lambda a, v: 0.35::DOUBLE * v + 0.65::DOUBLE * a) AS exp_smoothing FROM {name}_predicted WHERE n >= {horizon + 120} AND rn > n - {horizon}),
+{name}_errors AS (""" + "\nUNION ALL ".join(f"SELECT *, '{m}' AS model, {m} AS predicted, {m} - actual AS error FROM {name}" for m in MODELS) + ")"
+
+
+TASKS = ("""
+day_series AS (
+  SELECT 'demanda_zona' AS task, CAST(zone_id AS VARCHAR) AS entity, day, CAST(demand_mwh AS DOUBLE) AS actual FROM zone_day
+  UNION ALL SELECT 'demanda_ev_zona', CAST(zone_id AS VARCHAR), day, ev_mwh FROM zone_day
+  UNION ALL SELECT 'demanda_industrial_zona', CAST(zone_id AS VARCHAR), day, industry_mwh FROM zone_day
+  UNION ALL SELECT 'carga_relativa_zona', CAST(z.zone_id AS VARCHAR), z.day, avg(n.load_ratio) FROM zone_day z LEFT JOIN node_state n ON n.zone_id = z.zone_id AND n.day = z.day GROUP BY z.zone_id, z.day
+  UNION ALL SELECT 'demanda_subestacion', CAST(station_id AS VARCHAR), day, sum(demand_mw) FROM node_state GROUP BY station_id, day),
+hour_series AS (SELECT zone_id, ts, sum(demand_mw) AS actual, max(peak_flag) AS peak FROM node_state GROUP BY zone_id, ts),"""
+         + _held("day_held", "day_series", "task, entity", "day", 7, 7, 90) + "," + _held("hour_held", "hour_series", "zone_id", "ts", 24, 24, 504) + """,
+task_benchmark AS (
+  SELECT task, model, avg(abs(error)) AS mae, sqrt(avg(error * error)) AS rmse, avg(abs(error) / CASE WHEN abs(actual) + abs(predicted) = 0 THEN 1e-9 ELSE (abs(actual) + abs(predicted)) / 2 END) * 100 AS smape, avg(error) AS bias, count(*) AS n
+  FROM day_held_errors GROUP BY 1, 2),
+task_winners AS (SELECT task, model, mae FROM (SELECT *, row_number() OVER (PARTITION BY task ORDER BY round(mae, 9), model) AS nth FROM task_benchmark) WHERE nth = 1)""")
+
 ALL = ",\n".join((FORECAST, ANOMALY, SCORE))

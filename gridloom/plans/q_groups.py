@@ -144,9 +144,9 @@ def _profile(m: Decisions) -> DataFrame:
 PROFILE = " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n_rows, count(DISTINCT {key}) AS keys, count_if({c} IS NULL) AS nulls FROM {t}" for t, (key, c) in PROFILED.items())
 
 
-def _gates(m: Decisions) -> DataFrame:
-    """One row for each severity: failed checks, and whether a release may pass."""
-    parts = [plan(m).select(F.lit(severity).alias("severity"), F.col("observed").cast("long").alias("observed")) for name, severity, plan, _ in CHECKS if name in GATED]
+def _gates(m: Decisions, names: tuple[str, ...] = GATED) -> DataFrame:
+    """One row for each severity: failed checks of ``names``, and whether a release may pass."""
+    parts = [plan(m).select(F.lit(severity).alias("severity"), F.col("observed").cast("long").alias("observed")) for name, severity, plan, _ in CHECKS if name in names]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -156,6 +156,8 @@ def _gates(m: Decisions) -> DataFrame:
 
 GATES = "SELECT *, CASE WHEN failed = 0 THEN 'PASS' WHEN severity = 'alta' THEN 'FAIL' ELSE 'WARN' END AS status FROM (SELECT severity, count(*) AS checks, count_if(observed > 0) AS failed FROM (" + " UNION ALL ".join(f"SELECT '{s}' AS severity, ({q}) AS observed" for n, s, _, q in CHECKS if n in GATED) + ") GROUP BY 1)"
 
+ALL_GATES = "SELECT *, CASE WHEN failed = 0 THEN 'PASS' WHEN severity = 'alta' THEN 'FAIL' ELSE 'WARN' END AS status FROM (SELECT severity, count(*) AS checks, count_if(observed > 0) AS failed FROM (" + " UNION ALL ".join(f"SELECT '{s}' AS severity, ({q}) AS observed" for _, s, _, q in CHECKS) + ") GROUP BY 1)"
+
 
 def _crossed_times(m: Decisions) -> DataFrame:
     reversed_ = lambda role: m.frame(role).agg(F.coalesce(count_if(F.col("ts_end") < F.col("ts_start")), F.lit(0)).alias("observed")).withColumn("rule", F.lit(f"{role}_reversed"))
@@ -250,6 +252,7 @@ QUERIES = [
     Query("dq_temporal_cross", "rule #observed", _crossed_times,
           "SELECT 'congestion_reversed' AS rule, count_if(ts_end < ts_start) AS observed FROM congestion UNION ALL SELECT 'outages_reversed', count_if(ts_end < ts_start) FROM outages UNION ALL SELECT 'curtailment_over_generation', count_if(curtailment_mw > generation_mw) FROM zone_hour"),
     Query("dq_release_gates", "severity #checks #failed status", _gates, GATES),
+    Query("dq_release_gates_all", "severity #checks #failed status", lambda m: _gates(m, tuple(name for name, *_ in CHECKS)), ALL_GATES),
     _table("profile_tables", "table_name #n_rows #keys #nulls", _profile, PROFILE),
     Query("dash_feeder_criticality", "feeder_id #congested_hours ~energy_mwh ~mean_load ~criticality:3", _feeder_rank, FEEDER_RANK),
     Query("dash_zone_profile", "zone_id zone_name region ~risk_score:3 ~support_mw ~coverage_ratio ~capex_total:2", lambda m: m.flex_zone.join(m.zone_risk.select("zone_id", "risk_score"), "zone_id", "left"), "SELECT f.*, r.risk_score FROM flex_zone f LEFT JOIN zone_risk r USING (zone_id)"),

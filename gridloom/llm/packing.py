@@ -7,6 +7,11 @@ one whose weighted residual scores best is chosen: ``norm`` takes the least
 norm of the residual after placing, ``dot`` the largest weighted dot product of
 demand and residual.
 
+With ``max_docs`` and ``max_cost`` unset, as in the query and the stage, the
+limits are ``capacity`` documents and ``capacity ** 2`` cost. Pieces of one token
+or more that fit by tokens can't exceed either, so only the token limit binds
+there and the other demands act by their weights alone.
+
 All demands follow from a piece's length, so equal lengths are interchangeable
 and so are sequences with equal residuals. The choice is therefore made for
 lengths and residuals instead of single pieces: it works on the counts by

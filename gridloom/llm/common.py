@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -71,10 +72,16 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def without(df: DataFrame, made: list[str], keep: list[str]) -> DataFrame:
-    """``df`` without input columns whose names (in any case of letters) an operator's own results take."""
-    made_low, keep_low = {m.lower() for m in made}, {k.lower() for k in keep}
-    return df.drop(*[c for c in df.columns if c.lower() in made_low and c.lower() not in keep_low])
+def aside(df: DataFrame, *made: str) -> tuple[DataFrame, Callable[[str], str]]:
+    """``df`` with its columns whose names (in any case of letters) an operator's results take renamed by leading underscores.
+
+    No column is lost. The function gives an input column's present name.
+    """
+    low = {m.lower() for m in made}
+    clash = [c for c in df.columns if c.lower() in low]
+    taken = df.select(*df.columns, *(F.lit(None).alias(m) for m in made if m.lower() not in {c.lower() for c in df.columns}))
+    names = {c.lower(): n for c, n in zip(clash, fresh(taken, *clash), strict=True)}
+    return df.toDF(*(names.get(c.lower(), c) for c in df.columns)), lambda c: names.get(c.lower(), c)
 
 
 def shielded(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:

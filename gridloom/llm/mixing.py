@@ -17,7 +17,9 @@ source, size class and hash, and only the cells' counts meet per source.
 Defined results: a null source is a source of its own, last in order; null and
 empty texts have size 0 and are taken as any other (they add no words); a
 source with no words has target 0 and nothing is taken; rows that repeat are
-numbered apart; an empty table gives no rows.
+numbered apart, and of equal sizes in a cell the id decides; an empty table
+gives no rows; a text of any length is counted whole; an input column named as
+a result is kept under a name with a leading underscore.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import fresh, load, ranked, shielded, unshielded, without
+from gridloom.llm.common import aside, fresh, load, ranked, shielded, stored, unshielded
 
 WEIGHTS = (5, 2, 1)
 TOTAL = 1.5
@@ -59,14 +61,18 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, total: float =
     return t.select("source", "source_size", F.least("limit", F.coalesce(level * F.col("weight"), F.col("limit"))).alias("target"))
 
 
-def mix(df: DataFrame, source: str = "source", text: str = "text", key: str = "doc_id", weights: tuple[int, ...] = WEIGHTS, total: float = TOTAL, max_copies: int = MAX_COPIES, seed: int = 42, cells: int = CELLS) -> DataFrame:
-    """Add ``size, source_size, target, copies, taken`` to every row; ``copies`` is 0 where a document is left out."""
-    df = without(df, ["size", "source_size", "target", "copies", "taken"], [source, text, key])
+def mix(df: DataFrame, source: str = "source", text: str = "text", key: str = "doc_id", weights: tuple[int, ...] = WEIGHTS, total: float = TOTAL, max_copies: int = MAX_COPIES, seed: int = 42, cells: int = CELLS, counted: str | None = None) -> DataFrame:
+    """Add ``size, source_size, target, copies, taken`` to every row; ``copies`` is 0 where a document is left out.
+
+    ``counted``: a column that has the texts' sizes already; ``text`` isn't read then.
+    """
+    df, now_named = aside(df, "size", "source_size", "target", "copies", "taken")
+    source, key = now_named(source), now_named(key)
     name, band, spread, rank = fresh(df, "mix_source", "mix_band", "mix_spread", "mix_rank")
-    sized = df.withColumns({"size": words(text), name: F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit(""))})
+    sized = df.withColumns({"size": F.col(now_named(counted)) if counted else words(now_named(text)), name: F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit(""))})
     sized = sized.withColumns({
         band: F.floor(F.log2(F.col("size") + 1.0) * 2),
-        spread: F.pmod(F.xxhash64(F.lit(seed), key, F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary"))), F.lit(cells)),
+        spread: F.pmod(F.xxhash64(F.lit(seed), key, F.crc32(F.coalesce(F.col(now_named(text)), F.lit("")).cast("binary"))), F.lit(cells)),
     })
     per = sized.groupBy(name, band, spread).agg(F.sum("size").alias("size")).groupBy(name).agg(F.sum("size").alias("source_size"))
     shares = targets(per.select(F.when(F.col(name) != "", F.substring(name, 2, 2**30)).alias("source"), "source_size"), weights, total, max_copies)

@@ -6,7 +6,8 @@ each class the mean and covariance of the training rows are kept; a covariance
 is shrunk towards the pooled one and towards a diagonal, so it is always
 invertible. A text's score is the probability of class 1 from the difference of
 the classes' log densities: half the squared Mahalanobis distance, by a
-triangular solve against the cached Cholesky factor, and its log determinant.
+product with the inverse of the class's Cholesky factor (both are made once and
+cached in the model), and the log determinant.
 
 Means and covariances come from counts, sums and sums of products over all
 training rows, added up where the rows are; nothing is sampled.
@@ -18,7 +19,10 @@ inputs of a score.
 Defined results: null and empty texts have the statistics of an empty text and
 get a score like any other; labels that are null or neither 0 nor 1 are not
 used; an id labelled twice counts twice; with training rows of one class only,
-or none, every score is the share of class 1 (0.5 for none).
+or none, every score is the share of class 1 (0.5 for none); equal texts get
+equal scores; a text of any length is read whole; an empty table gives no rows;
+an input column named as a result is kept under a name with a leading
+underscore (with ``store`` the id alone is kept).
 """
 
 from __future__ import annotations
@@ -33,7 +37,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import fresh, load, shielded, small_batches, stored, unshielded, without
+from gridloom.llm.common import aside, fresh, load, shielded, small_batches, stored, unshielded
 
 FOLDS = 5
 THRESHOLD = 0.3
@@ -54,7 +58,7 @@ def statistics(text: str | None) -> list[float]:
     w = len(words)
     seen, seen_lines = Counter(words), Counter(lines)
     letters = sum(map(len, words)) or 1
-    upper = n - len(text) if not n else sum(map(str.isupper, text))
+    upper = sum(map(str.isupper, text))
     share = lambda part, whole: float(np.log((part + 0.5) / (max(whole - part, 0) + 0.5)))
     symbols = len(SYMBOL.findall(text))
     return [
@@ -169,9 +173,12 @@ def classify(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
     id, for training and scoring without reading texts twice (the result then
     has the id alone); without, they are computed again and all columns pass.
     """
-    base = df.select(key, text) if store else without(df, ["held_out", "score", "predicted"], [key, text])
+    joined = key
+    df, now_named = aside(df, "held_out", "score", "predicted")
+    key, text = now_named(key), now_named(text)
+    base = df.select(key, text) if store else df
     (stats,) = fresh(base, "stats")
-    wanted = labels.select(F.col(key).alias("label_of"), F.col(label).alias("label")).where(F.col("label_of").isNotNull() & (fold("label_of") != 0))
+    wanted = labels.select(F.col(joined).alias("label_of"), F.col(label).alias("label")).where(F.col("label_of").isNotNull() & (fold("label_of") != 0))
     rows = with_statistics(base, text, stats)
     if store:
         rows = stored(rows.select(key, stats), "statistics")

@@ -15,7 +15,9 @@ are added, with no shard above ``ceil((1 + slack) * n / shards)``.
 
 Defined results: a null key is hashed by its text's checksum; null and empty
 texts have checksum 0 and size 16; rows with equal key and text are
-interchangeable; an empty table gives no rows; other columns pass through.
+interchangeable; an empty table gives no rows; a text of any length counts
+whole; other columns pass through, one named as a result under a name with a
+leading underscore.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridloom.llm.common import fresh, load, without
+from gridloom.llm.common import aside, fresh, load
 
 SHARDS = 40
 VIRTUAL_NODES = 64
@@ -92,7 +94,8 @@ def settle(counts: dict[int, int], owner: np.ndarray, room: list[int]) -> list[t
 def shard(df: DataFrame, key: str = "doc_id", text: str = "text", shards: int = SHARDS, virtual_nodes: int = VIRTUAL_NODES, slack: float = 0.0, seed: int = 17) -> DataFrame:
     """Add ``size, text_crc32, shard, slot`` (and ``home``, the shard before overflow) to the documents."""
     points, owner = ring(shards, virtual_nodes, seed)
-    df = without(df, ["size", "text_crc32", "shard", "slot", "home"], [key, text])
+    df, now_named = aside(df, "size", "text_crc32", "shard", "slot", "home")
+    key, text = now_named(key), now_named(text)
     pos, arc, rank, lo, hi, base = fresh(df, "ring_pos", "ring_arc", "ring_rank", "ring_lo", "ring_hi", "ring_base")
 
     @F.pandas_udf(T.IntegerType())

@@ -7,15 +7,22 @@ parent domains are laid on one time line, the state of the most specific domain
 that has one holds, and each change opens an interval that the next one ends.
 An as-of join then gives every capture the interval that holds its fetch time.
 
-A host may have any share of the captures: captures are salted by their id and
-the intervals of each host repeated once for each salt, so no task gets a host
-whole. Hosts' time lines are made from distinct hosts, never from captures.
+A host may have any share of the captures: a host with more than one part in
+``shares`` of them is hot, its captures are salted by their id and its
+intervals repeated once for each salt, so no task gets a hot host whole. There
+are fewer than ``shares`` hot hosts, whatever the captures, so their list may
+be broadcast. Hosts' time lines are made from distinct hosts, never from
+captures.
 
 Defined results: a null url or one without a host, and a null fetch time, have
-no entry and are kept; of entries of one domain and date, the last of block,
-allow, remove in this order holds; entries with a null domain, date or action
-are no entries; repeated captures get equal answers; an entry holds from the
-moment of its date on.
+no entry and are kept; a host is followed through all its labels, however many;
+an address in digits or in brackets has no parent domains; of entries of one
+domain and date, the last of block, allow, remove in this order holds; entries
+with a null domain, date or action are no entries; repeated captures get equal
+answers; an entry holds from the moment of its date on; no captures give no
+rows, and without entries all are kept; a url of any length is read whole;
+an input column named as a result is kept under a
+name with a leading underscore.
 """
 
 from __future__ import annotations
@@ -23,10 +30,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import fresh, load, without
+from gridloom.llm.common import aside, fresh, load
 
-SALTS = 64
-HOST = r"^(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:@]+)"
+SHARES = 1000
+HOST = r"^(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?(\[[^\]/?#@]*\]|[^/?#:@\[\]]+)"
+ADDRESS = r"^(?:\[.*|[0-9]+(?:\.[0-9]+){3})$"
 
 
 def host_of(url: str | Column) -> Column:
@@ -36,11 +44,11 @@ def host_of(url: str | Column) -> Column:
 
 
 def domains(host: str) -> Column:
-    """The host and all its parents of two labels or more, as (domain, level): level 0 is the shortest."""
+    """The host and all its parents of two labels or more, as (domain, level): level 0 is the shortest. An address stands alone."""
     labels = F.split(host, r"\.")
     n = F.size(labels)
     several = F.transform(F.sequence(F.lit(0), n - 2), lambda i: F.struct(F.array_join(F.slice(labels, n - 1 - i, i + 2), ".").alias("domain"), i.alias("level")))
-    return F.when(n > 1, several).otherwise(F.array(F.struct(F.col(host).alias("domain"), F.lit(0).alias("level"))))
+    return F.when((n > 1) & ~F.col(host).rlike(ADDRESS), several).otherwise(F.array(F.struct(F.col(host).alias("domain"), F.lit(0).alias("level"))))
 
 
 def intervals(hosts: DataFrame, entries: DataFrame) -> DataFrame:
@@ -61,17 +69,31 @@ def intervals(hosts: DataFrame, entries: DataFrame) -> DataFrame:
     return lined.where("s is not null").select("host", F.when(F.col("s.rank") == 0, "block").otherwise("allow").alias("action"), F.col("s.domain").alias("domain"), F.col("at").alias("valid_from"), "valid_to")
 
 
-def filter_urls(captures: DataFrame, entries: DataFrame, key: str = "page_id", url: str = "url", fetched: str = "fetched_at", salts: int = SALTS) -> DataFrame:
+def hot_hosts(captures: DataFrame, shares: int = SHARES) -> DataFrame:
+    """``host, salts`` of hosts with more than one part in ``shares`` of all captures: fewer than ``shares`` rows."""
+    counts = captures.where("host is not null").groupBy("host").agg(F.count(F.lit(1)).alias("n"))
+    part = F.col("n") * F.lit(shares) / F.col("total")
+    every = captures.agg(F.count(F.lit(1)).alias("total"))  # one row
+    return counts.crossJoin(F.broadcast(every)).where(part > 1).select("host", F.ceil(part).cast("int").alias("salts"))
+
+
+def filter_urls(captures: DataFrame, entries: DataFrame, key: str = "page_id", url: str = "url", fetched: str = "fetched_at", shares: int = SHARES) -> DataFrame:
     """Add ``host, action, entry_domain, entry_from, kept`` to every capture; only blocked ones aren't kept."""
-    df = without(captures, ["host", "action", "entry_domain", "entry_from", "kept"], [key, url, fetched])
-    salt, ihost, isalt = fresh(df, "list_salt", "list_host", "list_to_salt")
-    df = df.withColumns({"host": host_of(url), salt: F.pmod(F.xxhash64(key, url), F.lit(salts))})
-    hosts = df.where("host is not null").select("host").distinct()
-    valid = intervals(hosts, entries)
-    valid = valid.select(F.col("host").alias(ihost), F.col("action").alias("action"), F.col("domain").alias("entry_domain"), F.col("valid_from").alias("entry_from"), F.col("valid_to").alias("entry_to"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias(isalt))
+    captures, now_named = aside(captures, "host", "action", "entry_domain", "entry_from", "kept")
+    key, url, fetched = now_named(key), now_named(url), now_named(fetched)
+    salt, salts, ihost, isalt, to = fresh(captures, "list_salt", "list_salts", "list_host", "list_to_salt", "list_entry_to")
+    df = captures.withColumn("host", host_of(url))
+    hot = hot_hosts(df.select("host"), shares)
+    df = df.join(F.broadcast(hot.select(F.col("host").alias(ihost), F.col("salts").alias(salts))), F.col("host") == F.col(ihost), "left").drop(ihost)
+    # captures without a host meet nothing and are dealt by the salt alone
+    spread = F.coalesce(salts, F.when(F.col("host").isNull(), F.lit(shares)).otherwise(F.lit(1)))
+    df = df.withColumn(salt, F.pmod(F.xxhash64(key, url), spread)).drop(salts)
+    valid = intervals(df.where("host is not null").select("host").distinct(), entries)
+    valid = valid.join(F.broadcast(hot), "host", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)))
+    valid = valid.select(F.col("host").alias(ihost), F.col("salt").cast("bigint").alias(isalt), "action", F.col("domain").alias("entry_domain"), F.col("valid_from").alias("entry_from"), F.col("valid_to").alias(to))
     now = F.col(fetched).cast("timestamp")
-    held = (now >= F.col("entry_from")) & (F.col("entry_to").isNull() | (now < F.col("entry_to")))
-    out = df.join(valid, (F.col("host") == F.col(ihost)) & (F.col(salt) == F.col(isalt)) & held, "left").drop(ihost, isalt, salt, "entry_to")
+    held = (now >= F.col("entry_from")) & (F.col(to).isNull() | (now < F.col(to)))
+    out = df.join(valid, (F.col("host") == F.col(ihost)) & (F.col(salt) == F.col(isalt)) & held, "left").drop(ihost, isalt, salt, to)
     return out.withColumn("kept", F.coalesce(F.col("action") != "block", F.lit(True)))
 
 
@@ -105,12 +127,12 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP6_SQL = r"""
 WITH p AS (
   SELECT page_id, url, TIMESTAMP '2024-01-01' + INTERVAL 1 DAY * CAST(coalesce(((page_id * 7) % 366 + 366) % 366, 0) AS INTEGER) AS fetched_at,
-         nullif(regexp_replace(regexp_extract(lower(trim(url)), '^(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:@]+)', 1), '\.+$', ''), '') AS host
+         nullif(regexp_replace(regexp_extract(lower(trim(url)), '^(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?(\[[^\]/?#@]*\]|[^/?#:@\[\]]+)', 1), '\.+$', ''), '') AS host
   FROM pages),
-h AS (SELECT DISTINCT host, string_split(host, '.') AS l FROM p WHERE host IS NOT NULL),
+h AS (SELECT DISTINCT host, CASE WHEN regexp_matches(host, '^(?:\[.*|[0-9]+(?:\.[0-9]+){3})$') THEN [host] ELSE string_split(host, '.') END AS l FROM p WHERE host IS NOT NULL),
 d AS (
   SELECT host, array_to_string(l[len(l) - 1 - i : len(l)], '.') AS domain, i AS level
-  FROM (SELECT host, l, unnest(range(0, least(len(l) - 1, 6))) AS i FROM h WHERE len(l) > 1)
+  FROM (SELECT host, l, unnest(range(0, len(l) - 1)) AS i FROM h WHERE len(l) > 1)
   UNION ALL SELECT host, host, 0 FROM h WHERE len(l) = 1),
 n AS (SELECT DISTINCT domain, level, CAST('0x' || substr(md5(domain), 1, 6) AS BIGINT) AS h FROM d WHERE level > 0),
 e AS (

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 LOWEST = -(2**63)
 ARROW_ROWS = 512
+ARROW_BYTES = 16 << 20
+RANGE_BYTES = 256 << 20
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -35,19 +37,23 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def stored(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
+def stored(df: DataFrame, label: str, compression: str = "zstd", dictionary: bool = True) -> DataFrame:
     """Write ``df`` to the shared folder and return it as read back; this cuts its lineage."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/gridloom/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
+    df.write.option("compression", compression).option("parquet.enable.dictionary", str(dictionary).lower()).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches of long texts small, unless the user chose a size of their own."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == "10000":
-        spark.conf.set(key, str(ARROW_ROWS))
+    """Bound Arrow batches by bytes (one very long text is a batch of its own) and rows, unless the user chose sizes of their own.
+
+    Plans run after this call returns, so the settings stay with the session.
+    """
+    for key, own in (("maxRecordsPerBatch", ARROW_ROWS), ("maxBytesPerBatch", ARROW_BYTES)):
+        name = f"spark.sql.execution.arrow.{key}"
+        if spark.conf.get(name, None) is None:
+            spark.conf.set(name, str(own))
 
 
 def released() -> None:
@@ -94,20 +100,24 @@ def unshielded(df: DataFrame, names: dict[str, str]) -> DataFrame:
     return df.select(*(F.col(v).alias(c) for c, v in names.items()))
 
 
-def with_ranges(df: DataFrame, key: str, out: str, parts: int | None = None) -> DataFrame:
-    """Add ``out``, the number of the range of the long column ``key`` that a row falls in.
+def with_ranges(df: DataFrame, key: str, out: str, text: str, parts: int | None = None) -> tuple[DataFrame, int]:
+    """Add ``out``, the number of the range of the long column ``key`` that a row falls in; also returns how many numbers there are.
 
-    The cuts are approximate quantiles, at most ``parts`` of them; ranges are
-    ordered as their keys are. Only ``key`` is read to find the cuts.
+    There is a range for each ``RANGE_BYTES`` of ``text``, but no fewer than the
+    session's shuffle partitions. The cuts are approximate quantiles; ranges are
+    ordered as their keys are, and ``repartitionById`` gives each a partition of
+    its own.
     """
-    parts = parts or partitions(df.sparkSession)
-    cuts = df.approxQuantile(key, [i / parts for i in range(1, parts)], 1 / (20 * parts)) if parts > 1 else []
+    spark = df.sparkSession
+    if parts is None:
+        size = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
+        parts = max(partitions(spark), -(-size // RANGE_BYTES))
+    cuts = sorted(set(df.approxQuantile(key, [i / parts for i in range(1, parts)], 1 / (10 * parts)))) if parts > 1 else []
     if not cuts:
-        return df.withColumn(out, F.lit(0))
-    splits = [float("-inf"), *sorted(set(cuts)), float("inf")]
+        return df.withColumn(out, F.lit(0)), 1
     (num,) = fresh(df, "range_key")
-    placed = Bucketizer(splits=splits, inputCol=num, outputCol=out).transform(df.withColumn(num, F.col(key).cast("double")))
-    return placed.drop(num).withColumn(out, F.col(out).cast("int"))
+    placed = Bucketizer(splits=[float("-inf"), *cuts, float("inf")], inputCol=num, outputCol=out).transform(df.withColumn(num, F.col(key).cast("double")))
+    return placed.drop(num).withColumn(out, F.col(out).cast("int")), len(cuts) + 1
 
 
 def ranked(df: DataFrame, group: list[str], cells: list[str], order: list[str | Column], out: str, totals: DataFrame | None = None) -> DataFrame:
@@ -129,14 +139,38 @@ def ranked(df: DataFrame, group: list[str], cells: list[str], order: list[str |
     return numbered.join(bases, [*group, *cells]).withColumn(out, F.col(out) + F.col(before)).drop(before)
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def discard(df: DataFrame) -> None:
+    """Remove a table that ``stored`` wrote and nothing reads any more."""
+    for path in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
+        _remove(df.sparkSession, path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Remove all that ``stored`` has written to the shared folder; call it when no result is read any more."""
+    _remove(spark, f"{shared_folder(spark)}/gridloom")
+
+
+def least_of(edges: DataFrame) -> DataFrame:
+    """``u, m``: the least ``v`` of each ``u``.
+
+    It is dealt by other columns than ``u``, so that a join with it deals both
+    sides anew and a node with very many edges can be split by the engine.
+    """
+    return edges.groupBy("u").agg(F.min("v").alias("m")).repartition("m", "u")
+
+
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
     """Connected components of ``edges`` (u, v long): ``node, root`` for each node, root its least node.
 
     Alternates large-star and small-star rounds; each round's edges are written
-    to the shared folder, so lineage stays short and nothing meets on the driver
-    but a count and a checksum.
+    to the shared folder and the round's before are removed, so lineage and disk
+    stay small and nothing meets on the driver but a count and a checksum.
     """
-    spark = edges.sparkSession
     e = stored(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), label)
     seen = None
     while True:
@@ -145,12 +179,12 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
             break
         seen = now
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = least_of(both).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"), F.col("u").alias("w"))
+        small = large.join(least_of(large), "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"), F.col("u").alias("w"))
         small = small.select("u", "v").unionByName(small.select(F.col("w").alias("u"), "v")).distinct()
-        e = stored(small, label)
+        last, e = e, stored(small, label)
+        discard(last)
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 

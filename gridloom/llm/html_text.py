@@ -1,10 +1,17 @@
 """Main text of web pages from flat blocks, by a decision tree.
 
 A page becomes a flat list of text blocks. Each block has shallow features: its
-words and link density, those of its neighbours, whether it stands inside an
-article element, and whether an element around it says by tag, class, id or
-role that it is page furniture. A decision tree (Gini splits), trained on the
-small labelled table below, says which blocks are main text.
+words and link density, those of both neighbours, whether it is a heading, where
+it stands to the page's story element (within an article; within main beside
+the articles; the page has none; outside), and one hint: whether an element
+around it says by tag, class, id or role that it is page furniture. A decision
+tree (Gini splits), trained on the small labelled table below, says which
+blocks are main text.
+
+A hint never counts on html, body, main or article, nor on an element that has
+the page's first heading or an article in it or holds nearly all of the page's
+words: such a wrapper is no furniture, whatever its class. A word such as
+``has-sidebar`` says what is elsewhere and is no hint.
 
 Scripts, styles, titles, form fields and comments in markup are no text.
 Character references are decoded, white space inside a block becomes one space,
@@ -19,7 +26,10 @@ after a head without an end tag counts.
 
 Defined results: null and empty html and pages without main text give an empty
 text; unclosed elements end with what surrounds them; a null url passes
-through; repeated rows give equal results.
+through; repeated rows give equal results; a page of any length is read whole;
+an empty table gives no rows; of splits that are equally good the first feature's
+lowest is taken; an input column named as a result is kept under a name with a
+leading underscore.
 """
 
 from __future__ import annotations
@@ -28,16 +38,22 @@ import html as entities
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import load, small_batches, without
+from gridloom.llm.common import aside, load, small_batches
 
-FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "article", "furniture")
+FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "heading", "place", "hint")
+#: Where a block stands: outside the page's story element, on a page without one, in main beside the articles, within the story.
+OUTSIDE, NOWHERE, BESIDE, WITHIN = range(4)
+#: Parts in words of a page, of which a hinted element holds no more.
+WRAPPER = 0.8
 
 # Elements and words that mark page furniture, elements that hold no text, and elements that end a block.
 FURNITURE_TAGS = frozenset("nav aside footer form dialog menu".split())
@@ -49,7 +65,8 @@ FURNITURE_WORDS = frozenset(
 )
 FURNITURE_ROLES = frozenset("alert banner complementary contentinfo dialog form menu menubar navigation search".split())
 NO_TEXT = frozenset("script style noscript template svg math iframe object canvas textarea select button title audio video".split())
-ARTICLE_TAGS = frozenset(["article", "main"])
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+STORY = frozenset(["article", "main", "h1"])
 BLOCK_TAGS = frozenset(
     "address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head "
     "header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split()
@@ -67,86 +84,305 @@ HTML_IN_FOREIGN = frozenset("foreignobject desc annotation-xml mi mo mn ms mtext
 SIBLINGS = {"li": "list", "dt": "terms", "dd": "terms"} | dict.fromkeys("td th tr tbody thead tfoot caption".split(), "table")
 HOLDERS = frozenset("ul ol menu dl table template".split())
 
-# Labelled blocks: words, links, words_before, links_before, words_after, links_after, article, furniture, is main text.
+# Labelled blocks of small pages: words, words in links, heading, place, hint, is main text. Neighbours are the lines beside; a blank line ends a page.
 LABELLED = """
-6 0 0 0 120 0 1 0 1
-3 0 0 0 40 0 1 0 1
-9 0 4 0 2 0 1 0 1
-120 0 6 0 90 0.02 1 0 1
-90 0.02 120 0 1 0 1 0 1
-1 0 90 0 60 0 1 0 1
-60 0 1 0 2 0 1 0 1
-2 0 60 0 0 0 1 0 1
-14 0 80 0 5 0.4 1 0 1
-30 0.3 40 0 70 0 1 0 1
-5 0.6 70 0 30 0 1 0 1
-4 1 50 0 50 0 1 0 1
-45 0.05 2 0 3 1 1 0 1
-1 0 0 0 0 0 1 0 1
-350 0 8 0 12 1 1 0 1
-7 1 200 0 9 0 1 0 1
-25 0 3 1 22 0 1 0 1
-2 0 1 0 1 0 1 0 1
-1 0 40 0 1 1 1 0 1
-3 0 90 0 2 1 1 0 1
-8 0 55 0 1 1 1 0 1
-12 0 30 0 4 0.8 1 0 1
-15 0 2 1 3 1 1 0 1
-20 0 70 0 1 0.6 1 0 1
-28 0 10 0 2 1 1 0 1
-6 0 3 1 2 1 1 0 1
-10 0.5 30 0 1 1 1 0 1
-2 0 1 1 1 1 1 0 1
-5 0 0 0 0 0 1 0 1
-4 0 0 0 8 1 1 0 1
-80 0 6 0 95 0 0 0 1
-95 0.03 80 0 40 0 0 0 1
-40 0 95 0 12 0 0 0 1
-150 0.01 2 1 60 0 0 0 1
-60 0 150 0 4 1 0 0 1
-22 0 35 0 50 0.1 0 0 1
-35 0.1 10 0 22 0 0 0 1
-200 0 3 1 2 1 0 0 1
-18 0 60 0 70 0 0 0 1
-16 0 30 0 25 0 0 0 1
-1 1 0 0 1 1 0 1 0
-1 1 1 1 1 1 0 1 0
-2 1 1 1 3 1 0 1 0
-3 1 2 1 12 0 0 1 0
-12 0 1 1 6 0 0 1 0
-25 0 3 1 8 0 0 1 0
-9 0.2 70 0 0 0 0 1 0
-14 0 200 0 2 0 0 1 0
-2 0 14 0 0 0 0 1 0
-40 0 6 0 30 0 0 1 0
-30 0 40 0 12 0.5 0 1 0
-90 0 20 0 60 0 0 1 0
-4 0 60 0 55 0 0 1 0
-60 0 90 0 4 0 1 1 0
-20 0 45 0 70 0 1 1 0
-5 0 120 0 80 0 1 1 0
-8 0.8 30 0 40 0 1 1 0
-110 0.01 40 0 20 0 1 1 0
-2 1 50 0 3 1 1 1 0
-1 0 9 0 1 0 1 1 0
-1 1 0 0 1 1 0 0 0
-2 1 1 1 2 1 0 0 0
-5 1 3 1 6 0.9 0 0 0
-12 0.8 5 1 9 0.9 0 0 0
-20 0.7 12 0.8 14 1 0 0 0
-4 0 2 1 1 1 0 0 0
-6 0 150 0 0 0 0 0 0
-3 0 40 0 0 0 0 0 0
-8 0.1 0 0 3 1 0 0 0
-5 0.4 6 0 4 0.5 0 0 0
-2 0 0 0 2 0 0 0 0
-7 0 3 1 5 1 0 0 0
+1 1 0 0 1 0
+1 1 0 0 1 0
+2 2 0 0 1 0
+9 0 0 0 1 0
+7 0 1 3 0 1
+140 0 0 3 0 1
+60 3 0 3 0 1
+2 0 0 3 0 1
+35 0 0 3 0 1
+8 0 0 0 1 0
+
+1 1 0 0 0 0
+1 1 0 0 0 0
+1 1 0 0 0 0
+10 0 0 0 0 0
+12 0 1 3 0 1
+55 0 0 3 0 1
+1 0 0 3 0 1
+90 0 0 3 0 1
+4 0 0 3 0 1
+25 2 0 3 0 1
+9 1 0 0 0 0
+
+3 0 1 3 0 1
+18 0 0 3 0 1
+4 4 0 3 0 1
+70 2 0 3 0 1
+6 0 1 3 0 1
+45 0 0 3 0 1
+5 5 0 3 0 0
+6 6 0 3 0 0
+4 4 0 3 0 0
+7 7 0 3 0 0
+30 0 0 0 0 0
+12 0 0 0 1 0
+
+5 0 1 3 0 1
+80 0 0 3 0 1
+7 7 0 3 0 1
+65 0 0 3 0 1
+3 3 0 3 1 0
+2 2 0 3 1 0
+3 3 0 3 1 0
+50 1 0 3 0 1
+14 0 0 3 1 0
+9 0 0 3 1 0
+2 0 0 0 1 0
+
+11 0 1 3 0 1
+2 2 0 3 0 0
+3 3 0 3 0 0
+2 2 0 3 0 0
+120 0 0 3 0 1
+30 12 0 3 0 1
+40 0 0 3 1 0
+22 0 0 3 1 0
+10 0 0 3 0 1
+75 4 0 3 0 1
+20 20 0 3 0 0
+16 16 0 3 0 0
+18 18 0 3 0 0
+
+2 2 0 1 0 0
+3 3 0 1 0 0
+2 2 0 1 0 0
+6 0 1 1 0 1
+80 0 0 1 0 1
+95 3 0 1 0 1
+16 0 0 1 0 1
+40 0 0 1 0 1
+5 0 1 1 0 1
+60 2 0 1 0 1
+8 0 0 1 1 0
+4 1 0 1 0 0
+
+1 1 0 1 1 0
+4 0 0 1 0 0
+30 0 0 1 0 1
+55 5 0 1 0 1
+12 12 0 1 0 0
+10 9 0 1 0 0
+13 12 0 1 0 0
+25 24 0 1 0 0
+20 20 0 1 0 0
+3 0 1 1 0 0
+2 2 0 1 0 0
+2 2 0 1 0 0
+7 2 0 1 0 0
+
+5 5 0 2 0 0
+3 3 0 2 0 0
+8 0 1 2 0 1
+6 0 1 3 0 1
+100 0 0 3 0 1
+50 1 0 3 0 1
+4 0 0 2 0 0
+9 8 0 2 0 0
+8 8 0 2 0 0
+15 0 0 2 1 0
+
+20 0 0 0 0 0
+45 2 0 0 0 0
+3 0 1 0 0 0
+4 4 0 0 0 0
+1 0 1 3 0 1
+2 0 0 3 0 1
+1 0 0 3 0 1
+3 0 0 3 0 1
+6 0 0 0 0 0
+60 0 0 0 1 0
+33 0 0 0 1 0
+70 0 0 0 0 0
+
+14 0 0 3 0 1
+2 1 0 3 0 1
+85 0 0 3 0 1
+1 0 0 3 0 1
+6 2 0 3 0 1
+12 0 0 3 0 1
+300 8 0 3 0 1
+26 0 0 3 1 0
+15 3 0 3 1 0
+60 0 0 3 1 0
+35 2 0 3 1 0
+1 1 0 0 0 0
+1 1 0 0 0 0
+
+3 3 0 1 1 0
+24 0 0 1 0 1
+33 1 0 1 0 1
+28 0 0 1 0 1
+9 0 0 1 0 1
+47 0 0 1 0 1
+2 0 0 1 0 0
+2 2 0 1 1 0
+30 0 0 1 1 0
+44 1 0 1 1 0
+6 0 0 1 0 0
+
+5 0 0 3 0 1
+
+1 0 0 3 0 1
+2 0 0 3 0 1
+
+3 0 1 3 0 1
+9 0 0 3 0 1
+
+60 0 0 3 0 1
+26 0 0 3 0 1
+6 6 0 3 0 1
+19 0 0 3 0 1
+44 0 0 3 0 1
+8 8 0 3 0 1
+12 0 0 3 0 1
+
+6 6 1 3 0 1
+24 0 0 3 0 1
+110 2 0 3 0 1
+3 3 0 3 0 1
+21 1 0 3 0 1
+1 1 0 3 0 0
+1 1 0 3 0 0
+2 2 0 3 0 0
+1 1 0 3 0 0
+
+30 0 0 3 0 1
+4 4 0 3 0 0
+5 5 0 3 0 0
+3 3 0 3 0 0
+16 0 0 3 0 1
+15 0 0 3 0 1
+7 0 0 3 1 0
+5 0 0 3 1 0
+2 0 0 3 0 1
+
+4 0 0 3 0 1
+3 1 0 3 0 1
+2 0 0 3 0 1
+8 3 0 3 0 1
+12 7 0 3 0 1
+5 2 0 3 0 1
+15 1 0 3 0 1
+28 9 0 3 0 1
+6 0 0 3 0 1
+
+33 4 0 1 0 1
+50 16 0 1 0 1
+27 5 0 1 0 1
+41 20 0 1 0 1
+
+2 2 0 1 0 0
+2 2 0 1 0 0
+3 0 1 1 0 1
+29 0 0 1 0 1
+2 0 0 1 0 1
+29 0 0 1 0 1
+2 2 0 1 0 0
+2 2 0 1 0 0
+
+1 1 0 1 0 0
+3 3 0 1 0 0
+6 0 0 1 0 0
+5 0 1 1 0 1
+24 1 0 1 0 1
+4 0 0 1 0 1
+36 0 0 1 0 1
+7 0 1 1 0 1
+31 0 0 1 0 1
+12 0 0 1 0 1
+26 2 0 1 0 1
+5 0 0 1 0 0
+4 4 0 1 0 0
+
+1 1 0 1 0 0
+1 1 0 1 0 0
+28 0 0 1 0 1
+28 0 0 1 0 1
+13 0 0 1 1 0
+
+1 1 0 1 0 0
+37 0 0 1 0 1
+25 0 0 1 0 1
+1 1 0 1 0 0
+
+1 1 0 0 0 0
+50 0 0 3 0 1
+2 2 0 3 0 0
+2 2 0 3 0 0
+3 3 0 3 0 0
+43 0 0 3 0 1
+8 8 0 3 0 1
+61 0 0 3 0 1
+1 1 0 0 0 0
+
+9 0 0 1 0 0
+7 0 1 1 0 1
+48 0 0 1 0 1
+3 0 0 1 0 1
+33 0 0 1 0 1
+6 0 0 1 0 0
+
+6 0 1 3 0 1
+40 3 0 3 0 1
+5 5 0 3 0 1
+33 0 0 3 0 1
+9 9 0 3 0 0
+9 9 0 3 0 0
+8 8 0 3 0 0
+10 10 0 3 0 0
+52 1 0 3 0 1
+
+22 0 0 1 0 1
+
+38 0 0 1 0 1
+17 0 0 1 0 1
+
+2 2 0 1 0 0
+2 2 0 1 0 0
+10 0 0 1 0 0
+9 0 1 1 0 1
+64 1 0 1 0 1
+3 0 0 1 0 1
+51 0 0 1 0 1
+7 0 0 1 0 1
+29 0 0 1 0 1
+11 1 0 1 0 0
+2 2 0 1 0 0
+3 3 0 1 0 0
+
+4 4 0 1 0 0
+13 0 0 1 0 0
+5 5 0 1 0 0
+8 0 0 1 0 0
+3 3 0 1 0 0
+6 1 0 1 0 0
+
+3 0 0 1 0 0
+6 0 0 1 0 0
 """
 
 
+def neighbours(words: np.ndarray, links: np.ndarray) -> list[np.ndarray]:
+    """Words and link density of each block, of the one before and of the one after (0 where there is none)."""
+    density = np.minimum(1.0, links / np.maximum(words, 1))
+    pad = lambda v: np.concatenate([[0.0], v, [0.0]])
+    w, d = pad(words), pad(density)
+    return [words, density, w[:-2], d[:-2], w[2:], d[2:]]
+
+
 def labelled() -> tuple[np.ndarray, np.ndarray]:
-    rows = np.array([[float(x) for x in line.split()] for line in LABELLED.strip().splitlines()])
-    return rows[:, :-1], rows[:, -1].astype(int)
+    """Features of the labelled blocks, and which of them are main text."""
+    x, y = [], []
+    for page in LABELLED.strip().split("\n\n"):
+        rows = np.array([[float(v) for v in line.split()] for line in page.splitlines()])
+        x.append(np.column_stack([*neighbours(rows[:, 0], rows[:, 1]), rows[:, 2:5]]))
+        y.append(rows[:, 5].astype(int))
+    return np.concatenate(x), np.concatenate(y)
 
 
 def grow(x: np.ndarray, y: np.ndarray, depth: int = 6, least: int = 1) -> dict:
@@ -185,25 +421,30 @@ def decide(tree: dict, x: np.ndarray) -> np.ndarray:
 
 @lru_cache(maxsize=1)
 def trained() -> dict:
-    return grow(*labelled())
+    return grow(*labelled(), depth=8, least=2)
 
 
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][\w:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>|<(/?)([a-zA-Z][\w:-]*)([^>]*)(?:>|$)", re.S)
-HINT = re.compile(r"(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+HINT = re.compile(r"(?<![\w:.-])(class|id|role|hidden|aria-hidden|style)(?![\w:.-])\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 PARTS = re.compile(r"[^a-z0-9]+")
+#: Beginnings of class words that speak of another element.
+ELSEWHERE = re.compile(r"^(?:has|no|not|with|without|is|show|hide)[-_]")
+#: Elements that are never furniture.
+NEVER = frozenset("html body main article".split())
 
 
-def marks_furniture(tag: str, attributes: str, in_article: bool) -> bool:
-    """Whether an element says of itself that it is page furniture. A header or heading group inside an article isn't."""
-    if tag in FURNITURE_TAGS or (tag == "header" and not in_article):
+def hints(tag: str, attributes: str) -> bool:
+    """Whether an element says of itself that it is page furniture or hidden."""
+    if tag in NEVER:
+        return False
+    if tag in FURNITURE_TAGS or tag == "header":
         return True
     if not attributes:
         return False
     for name, *values in HINT.findall(attributes):
         name, value = name.lower(), next((v for v in values if v), "").lower()
         if name in ("class", "id"):
-            words = set(PARTS.split(value)) & FURNITURE_WORDS
-            if words - ({"header"} if in_article else set()):
+            if any(not FURNITURE_WORDS.isdisjoint(PARTS.split(word)) for word in value.split() if not ELSEWHERE.match(word)):
                 return True
         elif name == "role" and value in FURNITURE_ROLES:
             return True
@@ -212,13 +453,39 @@ def marks_furniture(tag: str, attributes: str, in_article: bool) -> bool:
     return False
 
 
-def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
-    """Flat blocks: text, words, words in links, in an article, in page furniture."""
-    out: list[tuple[str, int, int, bool, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, is it furniture, is it an article
+@dataclass
+class Block:
+    """A text block of a page, with its words, the words of it in links, and where it stands."""
+
+    text: str
+    words: int
+    linked: int
+    heading: bool
+    article: bool
+    main: bool
+    hint: bool = False
+
+
+@dataclass
+class Open:
+    """An open element: for a hinted one, the number of blocks before it and whether it has a first heading or an article."""
+
+    tag: str
+    hint: bool
+    begin: int
+    story: bool = False
+
+
+def blocks(page: str) -> list[Block]:
+    """Flat blocks in page order."""
+    out: list[Block] = []
+    stack: list[Open] = []
+    hinted: list[tuple[int, int]] = []  # blocks of hinted elements: from, to before
     held: list[tuple[str, bool]] = []
-    link, furniture, article = 0, 0, 0
+    link = 0
+    within: Counter[str] = Counter()  # open articles, mains and headings
     skip = ""
+    titled = False
     at = 0
     opened: list[str] = []  # within the element that is skipped
     inside: Counter[str] = Counter()  # of these, by tag
@@ -230,14 +497,14 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
             # references may be split over no element, so each run decodes alone
             text = " ".join("".join(t for t, _ in held).split())
             if text:
-                out.append((text, len(text.split(" ")), sum(len(t.split()) for t, linked in held if linked), article > 0, furniture > 0))
+                out.append(Block(text, len(text.split(" ")), sum(len(t.split()) for t, linked in held if linked), within["heading"] > 0, within["article"] > 0, within["main"] > 0))
             held.clear()
 
     def pop() -> None:
-        nonlocal furniture, article
-        _, f, a = stack.pop()
-        furniture -= f
-        article -= a
+        last = stack.pop()
+        within["heading" if last.tag in HEADINGS else last.tag] -= 1
+        if last.hint and not last.story and last.begin < len(out):
+            hinted.append((last.begin, len(out)))
 
     def ends_skip(tag: str, ends: bool, whole: bool) -> bool:
         """Take a tag inside an element without text; whether that element ends before it."""
@@ -246,7 +513,7 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
         foreign = skip in FOREIGN or any(inside[t] for t in FOREIGN)
         if ends:
             if not inside[tag]:
-                return tag == skip or inline[tag] > 0 or any(t == tag for t, _, _ in stack)
+                return tag == skip or inline[tag] > 0 or any(o.tag == tag for o in stack)
             while True:
                 last = opened.pop()
                 inside[last] -= 1
@@ -255,7 +522,7 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
         if skip in FOREIGN and tag in ENDS_FOREIGN and not any(inside[t] for t in HTML_IN_FOREIGN):
             return True
         if tag in SIBLINGS and skip != "template" and not any(inside[t] for t in HOLDERS):
-            around = next((t for t, _, _ in reversed(stack) if t != "p"), "")
+            around = next((o.tag for o in reversed(stack) if o.tag != "p"), "")
             if SIBLINGS.get(around) == SIBLINGS[tag]:
                 return True
         # buttons and selects can't hold their like
@@ -310,9 +577,9 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
         if tag in VOID:
             continue
         if ends:
-            if any(t == tag for t, _, _ in stack):
+            if any(o.tag == tag for o in stack):
                 close()
-                while stack[-1][0] != tag:
+                while stack[-1].tag != tag:
                     pop()
                 pop()
             continue
@@ -320,47 +587,64 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
             close()
             link = 0
             # an element whose end may be left out ends where a block begins that it can't hold
-            while stack and stack[-1][0] in OPTIONAL_END and (stack[-1][0] == tag or stack[-1][0] == "p"):
+            while stack and stack[-1].tag in OPTIONAL_END and stack[-1].tag in (tag, "p"):
                 pop()
-        f, a = marks_furniture(tag, m[3] or m[6] or "", article > 0), tag in ARTICLE_TAGS
-        if tag == "span" and not f:
+        hint = hints(tag, m[3] or m[6] or "")
+        if tag == "span" and not hint:
             continue
         if tag == "span":
             close()
-        stack.append((tag, f, a))
-        furniture += f
-        article += a
+        if tag in STORY and (tag != "h1" or not titled):
+            titled = titled or tag == "h1"
+            for o in stack:
+                o.story = True
+        stack.append(Open(tag, hint, len(out)))
+        within["heading" if tag in HEADINGS else tag] += 1
     if not skip and at < len(page):
         held.append((entities.unescape(page[at:]), link > 0))
     close()
+    while stack:
+        pop()
+    before = [0, *accumulate(b.words for b in out)]
+    for begin, end in hinted:
+        if before[end] - before[begin] <= WRAPPER * before[-1]:
+            for b in out[begin:end]:
+                b.hint = True
     return out
 
 
-def features_of(flat: list[tuple[str, int, int, bool, bool]]) -> np.ndarray:
-    words = np.array([b[1] for b in flat], float)
-    links = np.minimum(1.0, np.array([b[2] for b in flat], float) / np.maximum(words, 1))
-    side = lambda v, by: np.concatenate([[0.0], v[:-1]]) if by > 0 else np.concatenate([v[1:], [0.0]])
-    return np.column_stack([words, links, side(words, 1), side(links, 1), side(words, -1), side(links, -1), [b[3] for b in flat], [b[4] for b in flat]]).astype(float)
+def features_of(flat: list[Block]) -> np.ndarray:
+    articles, mains = any(b.article for b in flat), any(b.main for b in flat)
+
+    def place(b: Block) -> int:
+        if not articles and not mains:
+            return NOWHERE
+        if b.article if articles else b.main:
+            return WITHIN
+        return BESIDE if b.main else OUTSIDE
+
+    around = neighbours(np.array([b.words for b in flat], float), np.array([b.linked for b in flat], float))
+    return np.column_stack([*around, [b.heading for b in flat], [place(b) for b in flat], [b.hint for b in flat]]).astype(float)
 
 
 def main_text(page: str | None) -> str:
     flat = blocks(page or "")
     if not flat:
         return ""
-    return "\n".join(b[0] for b, main in zip(flat, decide(trained(), features_of(flat)), strict=True) if main)
+    return "\n".join(b.text for b, main in zip(flat, decide(trained(), features_of(flat)), strict=True) if main)
 
 
 def extract(df: DataFrame, html: str = "html") -> DataFrame:
     """Add ``text`` and ``n_chars`` to pages."""
     small_batches(df.sparkSession)
-    df = without(df, ["text", "n_chars"], [html])
+    df, now_named = aside(df, "text", "n_chars")
 
     @F.pandas_udf("string")
     def udf(pages: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for x in pages:
             yield pd.Series([main_text(p) for p in x], dtype=object)
 
-    return df.withColumn("text", udf(html)).withColumn("n_chars", F.length("text").cast("long"))
+    return df.withColumn("text", udf(now_named(html))).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,8 @@
+import html
+import re
+
 import numpy as np
+import pandas as pd
 
 from gridloom.llm import html_text as h
 
@@ -55,17 +59,84 @@ def test_elements_without_text_end_with_what_surrounds_them():
     assert h.main_text(many) == "kept text stays here"
 
 
+STORY = "This is the story of the page, told in a paragraph of many words without any links, so that it reads as prose from here to its very end."
+
+
+def test_telling_wrappers_keep_their_story():
+    nav = "<ul><li><a href=1>home</a></li><li><a href=2>news</a></li></ul>"
+    inner = f"<h1>The head line</h1><p>{STORY}</p><p>Short one.</p><p>{STORY}</p>"
+    want = f"The head line\n{STORY}\nShort one.\n{STORY}"
+    for before, after in (
+        ('<body class="post has-sidebar">', ""), ('<body class="single comments-open">', ""), ('<div class="layout no-sidebar">', "</div>"), ('<div class="sidebar-layout">', "</div>"), ("<form action=x>", "</form>"),
+        ('<div id="search">', "</div>"), ('<html class="modal-open no-ads">', ""),
+    ):
+        for tag in ("article", "main", "div"):
+            assert h.main_text(f"{before}{nav}<{tag}>{inner}</{tag}>{after}") == want, (before, tag)
+    assert h.main_text(f'<main id="search-content">{inner}</main>') == want
+    assert h.main_text(f'<article data-role="menu" class="ad">{inner}</article>') == want
+    assert h.main_text(f'<div data-role="menu" data-class="ad"><p>{STORY}</p></div><p>{STORY}</p>') == f"{STORY}\n{STORY}"
+
+
+def test_furniture_inside_an_article_goes():
+    more = "".join(f"<li><a href=/{i}>Another story that you may like {i}</a></li>" for i in range(4))
+    for odd in (
+        f"<ul>{more}</ul>", f'<div class="related"><p>Read on</p><ul>{more}</ul></div>', '<div class="ad">Buy our wonderful product now</div>', "<aside>Beside it there is a box</aside>", "<form><label>Your mail</label></form>",
+        f'<div id="comments"><p>I read this and I say: {STORY}</p></div>', "<footer>About the author</footer>", '<p style="display:none">not shown</p>',
+    ):
+        assert h.main_text(f"<article><h1>The head line</h1><p>{STORY}</p>{odd}<p>{STORY}</p></article>") == f"The head line\n{STORY}\n{STORY}", odd
+    linked = f"<article><p>{STORY}</p><p><a href=x>One link that stands alone</a></p><p>{STORY}</p></article>"
+    assert h.main_text(linked) == f"{STORY}\nOne link that stands alone\n{STORY}"
+
+
+def test_class_names_blanked():
+    page = re.sub(r"(class|id)=\"[^\"]*\"", "", PAGE)
+    got = h.main_text(page).split("\n")
+    assert [x for x in h.main_text(PAGE).split("\n") if x not in got] == [] and "Buy our wonderful product now, it is cheap and good." not in got
+    links = "".join(f"<div><a href=/{i}>page {i}</a></div>" for i in range(5))
+    assert h.main_text(f"<body><div>{links}</div><div><h1>The head line</h1><div>{STORY}</div><div>{STORY}</div></div><div>{links}</div></body>") == f"The head line\n{STORY}\n{STORY}"
+
+
+def test_supplied_pages():
+    """The tables' pages hold one article each; its blocks, and no others, are the text."""
+    pages = pd.read_parquet("/root/testdata/sf0.01/pages.parquet")
+    for page in pages["html"]:
+        inner = re.search(r"<article>(.*?)</article>", page, re.S)[1]
+        plain = [" ".join(html.unescape(re.sub(r"<[^>]+>", "", x)).split()) for x in re.split(r"</?(?:h1|p|br)[^>]*>", inner)]
+        assert h.main_text(page) == "\n".join(x for x in plain if x)
+
+
+def used(tree):
+    return set() if "main" in tree else {h.FEATURES[tree["feature"]]} | used(tree["low"]) | used(tree["high"])
+
+
 def test_tree_learns_its_table():
     x, y = h.labelled()
     assert (h.decide(h.trained(), x) == y).mean() >= 0.95
+    assert {"words", "links"} < used(h.trained()) and {"words_before", "links_before", "words_after", "links_after"} & used(h.trained())
     assert (h.decide(h.grow(np.array([[1.0], [2.0]]), np.array([0, 1])), np.array([[0.0], [9.0]])) == [False, True]).all()
 
 
+def test_tree_holds_on_pages_left_out():
+    """Each labelled page judged by a tree that hasn't seen it."""
+    pages = h.LABELLED.strip().split("\n\n")
+    right = total = 0
+    for i, page in enumerate(pages):
+        old, h.LABELLED = h.LABELLED, "\n\n".join(pages[:i] + pages[i + 1 :])
+        try:
+            tree = h.grow(*h.labelled(), depth=8, least=2)
+            h.LABELLED = page
+            x, y = h.labelled()
+        finally:
+            h.LABELLED = old
+        right, total = right + (h.decide(tree, x) == y).sum(), total + len(y)
+    assert right / total >= 0.85
+
+
 def test_query(spark, tmp_path):
     rows = [(1, "u", PAGE), (1, "u", PAGE), (None, None, None), (3, "v", "")]
     spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     got = h.op3(spark, str(tmp_path)).collect()
     assert sorted(r.n_chars for r in got) == [0, 0, len(h.main_text(PAGE)), len(h.main_text(PAGE))]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'t' as Text")
-    assert h.extract(df).columns == ["page_id", "url", "html", "text", "n_chars"]
+    assert h.extract(df).columns == ["page_id", "url", "html", "_Text", "text", "n_chars"]
     assert h.extract(df.where("page_id = 77")).count() == 0

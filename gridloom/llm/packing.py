@@ -7,10 +7,11 @@ one whose weighted residual scores best is chosen: ``norm`` takes the least
 norm of the residual after placing, ``dot`` the largest weighted dot product of
 demand and residual.
 
-With ``max_docs`` and ``max_cost`` unset, as in the query and the stage, the
-limits are ``capacity`` documents and ``capacity ** 2`` cost. Pieces of one token
-or more that fit by tokens can't exceed either, so only the token limit binds
-there and the other demands act by their weights alone.
+The query and the stage allow ``MAX_DOCS`` pieces a sequence, which binds where
+pieces are of four tokens on average or fewer. ``max_cost`` unset means
+``capacity ** 2``: a full piece costs as much, so no lower limit can hold every
+piece, and what fits by tokens can't cost more. Cost acts on the choice by its
+weight there and binds only where pieces are shorter than ``capacity``.
 
 All demands follow from a piece's length, so equal lengths are interchangeable
 and so are sequences with equal residuals. The choice is therefore made for
@@ -23,7 +24,10 @@ Only documents longer than the capacity are cut; the first piece takes the
 remainder and the others are full.
 
 Defined results: a null text counts as empty and is its end id alone; rows that
-repeat are packed apart; a null id passes through; an empty table gives no rows.
+repeat are packed apart, and of equal pieces any takes a place; a null id passes
+through; a text of any length is encoded whole; an empty table gives no rows;
+``pieces`` reads the id and the text alone, and ``pack`` keeps a column named as
+a result under a name with a leading underscore.
 """
 
 from __future__ import annotations
@@ -36,14 +40,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import LOWEST, load, ranked, released, small_batches, stored
+from gridloom.llm.common import LOWEST, aside, fresh, load, ranked, released, small_batches, stored
 from gridloom.llm.tokens import KEPT, encoder, vocabulary
 
 VOCABULARY = "byte_bpe_50k.json"
 END = 2
 CAPACITY = 1024
 WEIGHTS = (1.0, 0.05, 0.05)
-CELLS = 64
+MAX_DOCS = 256
 #: Chunks that the pipeline's stage remembers: fewer, as its workers hold what the stages before it left.
 STAGE_KEPT = 250_000
 
@@ -91,30 +95,38 @@ def best_fit(counts: dict[int, int], capacity: int = CAPACITY, max_docs: int | N
                 for run in its:
                     put(state, run)
             alive = np.arange(len(runs))
-        room = limits - states[alive]
-        each_of = (room // demand).min(1)
-        alive, room, each_of = alive[each_of > 0], room[each_of > 0], each_of[each_of > 0]
-        score = ((room - demand) ** 2 * w).sum(1) if rule == "norm" else -(room * demand * w).sum(1)
-        # what a run turns into after a piece of this length is tried again by the run's own filling, so the order stands
-        for at, each in [(int(alive[i]), int(each_of[i])) for i in np.argsort(score, kind="stable")] + [(-1, whole)]:
-            if not left:
-                break
-            if at < 0:
-                n = -(-left // each)
-                used, mine, made = (0, 0, 0), [(made, n)], made + n
+        while left:
+            alive = np.array([i for i in range(len(runs)) if runs[i]], np.int64)
+            room = limits - states[alive]
+            each_of = (room // demand).min(1) if len(alive) else alive
+            alive, room, each_of = alive[each_of > 0], room[each_of > 0], each_of[each_of > 0]
+            if rule == "norm":
+                # a sequence that has taken a piece scores better still, so it is filled before the next one is tried
+                score = ((room - demand) ** 2 * w).sum(1)
+                tried = [(int(alive[i]), int(each_of[i])) for i in np.argsort(score, kind="stable")]
             else:
-                used, mine, runs[at] = tuple(int(x) for x in states[at]), runs[at], []
-            for first, n in mine:
-                full = min(n, left // each)
-                some = left - full * each if full < n else 0
-                for start, many, k in ((first, full, each), (first + full, 1 if some else 0, some)):
-                    if many:
-                        plan.append((length, rank, rank + many * k, start, k, used[0]))
-                        rank, left = rank + many * k, left - many * k
-                        put((used[0] + k * length, used[1] + k, used[2] + k * length * length), (start, many))
-                rest = full + bool(some)
-                if rest < n:
-                    put(used, (first + rest, n - rest))
+                # it scores worse, so all sequences that are alike take one piece each
+                score = -(room * demand * w).sum(1)
+                tried = [(int(alive[i]), 1) for i in np.argsort(score, kind="stable")[:1]]
+            for at, each in tried or [(-1, whole)]:
+                if not left:
+                    break
+                if at < 0:
+                    n = -(-left // each)
+                    used, mine, made = (0, 0, 0), [(made, n)], made + n
+                else:
+                    used, mine, runs[at] = tuple(int(x) for x in states[at]), runs[at], []
+                for first, n in mine:
+                    full = min(n, left // each)
+                    some = left - full * each if full < n else 0
+                    for start, many, k in ((first, full, each), (first + full, 1 if some else 0, some)):
+                        if many:
+                            plan.append((length, rank, rank + many * k, start, k, used[0]))
+                            rank, left = rank + many * k, left - many * k
+                            put((used[0] + k * length, used[1] + k, used[2] + k * length * length), (start, many))
+                    rest = full + bool(some)
+                    if rest < n:
+                        put(used, (first + rest, n - rest))
     return plan
 
 
@@ -138,7 +150,9 @@ def pieces(df: DataFrame, key: str = "doc_id", text: str = "text", vocabulary_na
 
 def pack(cut: DataFrame, capacity: int = CAPACITY, max_docs: int | None = None, max_cost: float | None = None, weights: tuple[float, float, float] = WEIGHTS, rule: str = "norm") -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to pieces (``length`` at most ``capacity``)."""
-    counts = {r[0]: r[1] for r in cut.groupBy("length").count().collect()}  # at most `capacity` rows
+    cut, now_named = aside(cut, "sequence_id", "offset")
+    given, size = cut.columns, now_named("length")
+    counts = {r[0]: r[1] for r in cut.groupBy(size).count().collect()}  # at most `capacity` rows
     plan = sorted(best_fit(counts, capacity, max_docs, max_cost, weights, rule))
     length, lo, _, first, each, offset = (np.array(x, np.int64) for x in (zip(*plan, strict=True) if plan else [[]] * 6))
     # lengths and ranks in one ascending code: runs of a length lie side by side from rank 0
@@ -152,16 +166,20 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, max_docs: int | None = None,
         r = rank - lo[at]
         return pd.DataFrame({"sequence_id": first[at] + r // each[at], "offset": offset[at] + r % each[at] * n})
 
-    spread = cut.withColumn("cell", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(CELLS)))
-    numbered = ranked(spread, ["length"], ["cell"], ["doc_id", "piece", "ids_crc32"], "rank")
-    return numbered.withColumn("at", place("length", "rank")).select(*cut.columns, "at.sequence_id", "at.offset")
+    # neither a cell's rows nor a length's cells grow faster than the square root of the length's count
+    cells = F.array(*(F.lit(int(counts.get(n, 0) ** 0.5) + 1) for n in range(capacity + 1)))
+    cell, rank, at = fresh(cut, "pack_cell", "pack_rank", "pack_at")
+    ids = [c for c in ("doc_id", "piece", "ids_crc32") if c in given]
+    spread = cut.withColumn(cell, F.pmod(F.xxhash64(*ids), cells[F.col(size)]))
+    numbered = ranked(spread, [size], [cell], ids, rank)
+    return numbered.withColumn(at, place(size, rank)).select(*given, f"{at}.sequence_id", f"{at}.offset")
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents' pieces and their places."""
-    return pack(pieces(load(spark, sf_dir, "documents")))
+    return pack(pieces(load(spark, sf_dir, "documents")), max_docs=MAX_DOCS)
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where each piece of the documents goes."""
-    return pack(pieces(docs, kept=STAGE_KEPT))
+    return pack(pieces(docs, kept=STAGE_KEPT), max_docs=MAX_DOCS)

@@ -8,6 +8,10 @@ are joined; the ids are those of the whole text.
 New ASCII words are encoded many at a time as one line: their bytes are those
 that the ids stand for, so the sizes of the tokens tell where each word's ids
 end. A line whose sizes don't meet every word's end is encoded word by word.
+
+A text that may hold the string of an added token (such as ``<|endoftext|>``,
+in any case of letters) is encoded whole, so that the library finds it there as
+it does by default.
 """
 
 from __future__ import annotations
@@ -40,7 +44,7 @@ class Encoder:
 
         self.kept = kept
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.added = [t.content.strip().lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         tail = getattr(self.tokenizer.model, "end_of_word_suffix", None) or ""
         self.sizes = np.ones(self.tokenizer.get_vocab_size(), np.int64)  # bytes of text that each id stands for
         for token, i in self.tokenizer.get_vocab().items():
@@ -93,7 +97,20 @@ class Encoder:
                 known[c] = array("I", e.ids).tobytes()
         return [c for c in new if len(c) > LONGEST]
 
+    def whole(self, text: str) -> bool:
+        """Whether a text may hold an added token's string."""
+        low = text.lower()
+        return any(t in low for t in self.added)
+
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        odd = {i for i, t in enumerate(texts) if self.whole(t)}
+        got = self.by_chunks([t for i, t in enumerate(texts) if i not in odd])
+        for i in sorted(odd):
+            got.insert(i, np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, np.uint32))
+        return got
+
+    def by_chunks(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of texts without added tokens."""
         parts = [self.cut(t) for t in texts]
         spaced: set[str] = set()
         other: set[str] = set()

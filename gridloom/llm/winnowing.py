@@ -3,12 +3,16 @@
 A text's code points give one rolling hash for each run of ``k`` characters;
 of each ``window`` consecutive hashes the least is chosen, the rightmost among
 equals, and every chosen hash is kept once with its position. Texts that share
-a passage of at least ``window + k - 1`` characters share a chosen hash.
+a passage of at least ``window + k - 1`` characters share a chosen hash, and the
+positions say where it stands in each.
 
 Defined results: a null text counts as empty; an empty text has no hashes; a
 text shorter than ``k`` has the one hash of all its characters, and one with
 fewer than ``window`` hashes keeps the least of them. Two texts without hashes
-are alike to 1.0. Rows that repeat an id are ordered by text.
+are alike to 1.0. Rows that repeat an id are ordered by text. A text of any
+length is read whole; an empty table gives no rows. ``fingerprints`` keeps an
+input column named as a result under a name with a leading underscore; the
+other functions read the id and the text alone.
 """
 
 from __future__ import annotations
@@ -21,10 +25,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import LOWEST, fresh, load, small_batches, with_ranges
+from gridloom.llm.common import LOWEST, aside, fresh, load, small_batches, with_ranges
 
-K = 20
-WINDOW = 64
+K = 12
+WINDOW = 24
 BASE = 0x9E3779B97F4A7C15
 M64 = (1 << 64) - 1
 
@@ -100,6 +104,7 @@ def packed(hashes: np.ndarray) -> str:
 def fingerprints(df: DataFrame, text: str = "text", k: int = K, window: int = WINDOW) -> DataFrame:
     """Add ``positions array<long>`` and ``hashes array<long>`` to each row."""
     small_batches(df.sparkSession)
+    df, now_named = aside(df, "positions", "hashes")
     schema = "struct<positions: array<bigint>, hashes: array<bigint>>"
     (both,) = fresh(df, "winnowed")
 
@@ -108,7 +113,7 @@ def fingerprints(df: DataFrame, text: str = "text", k: int = K, window: int = WI
         got = [winnow(t, k, window) for t in texts]
         return pd.DataFrame({"positions": [p for p, _ in got], "hashes": [h.view(np.int64) for _, h in got]})
 
-    return df.withColumn(both, udf(text)).select(*df.columns, f"{both}.positions", f"{both}.hashes")
+    return df.withColumn(both, udf(now_named(text))).select(*df.columns, f"{both}.positions", f"{both}.hashes")
 
 
 def chained(df: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -121,14 +126,14 @@ def chained(df: DataFrame, key: str = "doc_id") -> DataFrame:
     """
     spark = df.sparkSession
     rows = df.select(F.col(key).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col(key), F.lit(LOWEST)).cast("long").alias("k"))
-    placed = with_ranges(rows, "k", "rng")
+    placed, n = with_ranges(rows, "k", "rng", "text")
     firsts = sorted((r[0], r[1]) for r in placed.groupBy("rng").agg(F.max("k")).collect())  # one row a range
     heads = [(firsts[i][1], firsts[(i + 1) % len(firsts)][0]) for i in range(len(firsts))]
     follows = F.broadcast(spark.createDataFrame(heads, "k long, before int"))
     every = F.array(F.struct(F.col("rng"), F.lit(0).alias("ends")), F.struct(F.col("before").alias("rng"), F.lit(1).alias("ends")))
     dealt = placed.join(follows, "k", "left").withColumn("to", F.explode(F.filter(every, lambda x: x.rng.isNotNull())))
     dealt = dealt.select("to.rng", "to.ends", "k", "doc_id", "text")
-    return dealt.repartition("rng").sortWithinPartitions("rng", "ends", F.desc("k"), "text")
+    return dealt.repartitionById(n, "rng").sortWithinPartitions("rng", "ends", F.desc("k"), "text")
 
 
 def edited(text: str, following: str) -> str:
@@ -138,7 +143,7 @@ def edited(text: str, following: str) -> str:
 
 
 def compare_edits(df: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame:
-    """Fingerprints of every text and its edited text, and how alike they are."""
+    """Fingerprints of every text and its edited text with the positions of their hashes, and how alike they are."""
     small_batches(df.sparkSession)
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -152,17 +157,17 @@ def compare_edits(df: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame:
                 pos, h = winnow(text, k, window)
                 own = np.unique(h)
                 if held is not None and held[0] == rng:
-                    _, last_id, last_text, last_h, last_own = held
+                    _, last_id, last_text, last_pos, last_h, last_own = held
                     changed = edited(last_text, text)
-                    _, eh = winnow(changed, k, window)
-                    out.append((last_id, len(last_text), hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest(), packed(last_h), packed(eh), likeness(last_own, np.unique(eh)), likeness(last_own, own)))
-                held = None if ends else (rng, doc_id, text, h, own)
+                    epos, eh = winnow(changed, k, window)
+                    out.append((last_id, len(last_text), hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest(), packed(last_h), packed(eh), likeness(last_own, np.unique(eh)), likeness(last_own, own), last_pos, epos))
+                held = None if ends else (rng, doc_id, text, pos, h, own)
             yield pd.DataFrame({
                 "doc_id": pd.array([r[0] for r in out], dtype="Int64"),
-                **{c: [r[i] for r in out] for i, c in enumerate(("n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"), 1)},
+                **{c: [r[i] for r in out] for i, c in enumerate(("n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "positions", "edited_positions"), 1)},
             })
 
-    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, positions array<bigint>, edited_positions array<bigint>"
     return chained(df).mapInPandas(walk, schema)
 
 

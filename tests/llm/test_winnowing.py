@@ -60,6 +60,7 @@ def test_query(spark, folder, docs):
         assert (r.n_chars, r.edited_sha256) == (len(a), hashlib.sha256(e.encode()).hexdigest())
         ha, hb, he = (w.winnow(x)[1] for x in (a, b, e))
         assert r.fingerprint == "".join(f"{x:016x}" for x in ha.tolist()) and r.edited_fingerprint == "".join(f"{x:016x}" for x in he.tolist())
+        assert (r.positions, r.edited_positions) == (w.winnow(a)[0].tolist(), w.winnow(e)[0].tolist())
         for value, other in ((r.near_edited, he), (r.near_next, hb)):
             x, y = set(ha.tolist()), set(other.tolist())
             assert abs(value - (len(x & y) / len(x | y) if x | y else 1.0)) < 1e-12
@@ -72,5 +73,11 @@ def test_odd_rows(spark, nothing):
     assert sorted(r.doc_id or -1 for r in rows) == [-1, -1, 3, 9007199254740993]
     one = w.compare_edits(df.where("doc_id = 3")).collect()
     assert len(one) == 1 and one[0].near_next == 1.0
+    clash = w.fingerprints(df.withColumnRenamed("doc_id", "Positions"))
+    assert clash.columns == ["_Positions", "text", "positions", "hashes"] and clash.count() == 4
+    many = spark.createDataFrame([(i // 3, "x" * 300) for i in range(300)], "doc_id long, text string")
+    placed, n = w.with_ranges(many, "doc_id", "rng", "text", 7)
+    assert n == 7 and sorted(r[0] for r in placed.select("rng").distinct().collect()) == list(range(7))
+    assert w.compare_edits(many).count() == 300
     out = w.fingerprints(df.withColumnRenamed("doc_id", "winnowed"))
     assert out.columns == ["winnowed", "text", "positions", "hashes"] and out.count() == 4

@@ -8,13 +8,18 @@ strongest bin is a peak where it is no weaker than the band's strongest bins of
 the frames on both sides and stands above the frame's mean. Each peak is paired
 with the peaks of the next ``FAN`` frames in the same or the next band; a pair
 is the code (bin, bin, frames between) at the first peak's frame. The pairs of
-a sound are time-coded arrays: frames and codes.
+a sound are time-coded arrays, frames and codes, stored with the table. Two
+sounds are alike by the codes that both have at one and the same shift in time.
 
 Frames are taken in blocks, so memory does not follow a text's length.
 
 Defined results: a null text counts as empty and becomes one block of 255s,
-whose flat spectrum has no peaks and so no pairs; equal texts have equal sounds
-and pairs.
+whose flat spectrum has no peaks and so no pairs; equal texts and repeated rows
+have equal sounds and pairs; of a band's equally strong bins the lowest is the
+peak, and a peak no weaker than its neighbours in time counts, so equal ones
+all do; a text of any length becomes one sound; an empty table gives no rows.
+Other columns stay, one named as a result under a name with a leading
+underscore.
 """
 
 from __future__ import annotations
@@ -27,10 +32,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import LOWEST, load, small_batches, stored
+from gridloom.llm.common import aside, load, small_batches, stored
 
 UNIT = 576
 RATE = 8000
@@ -99,39 +104,64 @@ def pairs(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return t[order].astype(np.int32), c[order].astype(np.int32)
 
 
-def media_column(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, n_bytes, media``: the sound of each text, stored in the shared folder."""
+def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
+    """Most pairs that two sounds share at one shift in time, as a part of the shorter sound's pairs; 1.0 where both have none."""
+    (ta, ca), (tb, cb) = ((np.asarray(t, np.int64), np.asarray(c, np.int64)) for t, c in (a, b))
+    if not len(ca) or not len(cb):
+        return float(len(ca) == len(cb))
+    order = np.argsort(cb, kind="stable")
+    cb, tb = cb[order], tb[order]
+    lo, hi = np.searchsorted(cb, ca, "left"), np.searchsorted(cb, ca, "right")
+    votes: dict[int, int] = {}
+    for t, i, j in zip(ta.tolist(), lo.tolist(), hi.tolist(), strict=True):
+        for shift in (tb[i:j] - t).tolist():
+            votes[shift] = votes.get(shift, 0) + 1
+    return max(votes.values(), default=0) / min(len(ca), len(cb))
+
+
+def media_column(df: DataFrame, text: str = "text", replace: bool = False) -> DataFrame:
+    """``df`` with ``n_bytes`` and ``media``, the sound of each text, stored in the shared folder; ``replace`` drops the text."""
     small_batches(df.sparkSession)
+    df, now_named = aside(df, "n_bytes", "media")
+    text = now_named(text)
 
     @F.pandas_udf("binary")
     def sound(raw: pd.Series) -> pd.Series:
         return pd.Series([to_wav(payload(bytes(x))) for x in raw])
 
     raw = F.coalesce(F.col(text), F.lit("")).cast("binary")
-    return stored(df.select(F.col(key).alias("doc_id"), F.length(raw).cast("long").alias("n_bytes"), sound(raw).alias("media")), "media")
+    made = df.withColumns({"n_bytes": F.length(raw).cast("long"), "media": sound(raw)})
+    return stored(made.drop(text) if replace else made, "media")
+
 
+HEARD = {"payload_bytes": "bigint", "payload_sha256": "string", "tail_crc32": "bigint", "media_bytes": "bigint", "media_sha256": "string", "times": "array<int>", "codes": "array<int>"}
 
-def features(media: DataFrame) -> DataFrame:
+
+def features(table: DataFrame, media: str = "media") -> DataFrame:
     """Read the stored sounds back: checksums of payload and sound, and the time-coded arrays ``times``, ``codes``."""
-    small_batches(media.sparkSession)
+    small_batches(table.sparkSession)
+    table, now_named = aside(table, *HEARD, "heard")
 
-    def hear(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+    @F.pandas_udf(f"struct<{', '.join(f'{c}: {t}' for c, t in HEARD.items())}>")
+    def hear(sounds: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in sounds:
             out = []
-            for k, no_id, n, sound in zip(pdf["k"].tolist(), pdf["no_id"].tolist(), pdf["n_bytes"].tolist(), pdf["media"], strict=True):
+            for sound in batch:
                 sound = bytes(sound)
                 got = from_wav(sound)
-                t, c = pairs(peaks(got))
-                out.append((None if no_id else k, n, len(got), hashlib.sha256(got).hexdigest(), zlib.crc32(got[-32:]), len(sound), hashlib.sha256(sound).hexdigest(), t, c))
-            names = ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "times", "codes")
-            yield pd.DataFrame({"doc_id": pd.array([r[0] for r in out], dtype="Int64"), **{c: [r[i] for r in out] for i, c in enumerate(names, 1)}})
+                out.append((len(got), hashlib.sha256(got).hexdigest(), zlib.crc32(got[-32:]), len(sound), hashlib.sha256(sound).hexdigest(), *pairs(peaks(got))))
+            yield pd.DataFrame({c: [r[i] for r in out] for i, c in enumerate(HEARD)})
+
+    return table.withColumn("heard", hear(now_named(media))).select(*table.columns, "heard.*")
+
 
-    rows = media.select(F.coalesce("doc_id", F.lit(LOWEST)).cast("long").alias("k"), F.col("doc_id").isNull().alias("no_id"), "n_bytes", "media")
-    return rows.mapInPandas(hear, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, times array<int>, codes array<int>")
+def feature_text(times: str = "times", codes: str = "codes") -> Column:
+    """The time-coded arrays as text, ``frame.code`` for each pair in hexadecimal digits: the arrays can be read back from it."""
+    return F.array_join(F.zip_with(times, codes, lambda t, c: F.concat(F.hex(t), F.lit("."), F.hex(c))), " ")
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents as sound, read back; ``feature`` is a digest of the time-coded arrays."""
-    heard = features(media_column(load(spark, sf_dir, "documents")))
-    digest = F.sha2(F.concat_ws(";", F.concat_ws(",", F.col("times").cast("array<string>")), F.concat_ws(",", F.col("codes").cast("array<string>"))), 256)
-    return heard.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", F.concat(F.size("codes").cast("string"), F.lit(":"), digest).alias("feature"), F.size("codes").alias("n_pairs"))
+    """All documents as sound, read back; ``feature`` has the stored time-coded arrays."""
+    sounds = media_column(load(spark, sf_dir, "documents").select("doc_id", "text"), replace=True)
+    heard = stored(features(sounds).drop("media"), "spectra")
+    return heard.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature_text().alias("feature"), F.size("codes").alias("n_pairs"))

@@ -7,19 +7,23 @@ MinHash values, cut into bands whose number and height are chosen for a target
 recall at the threshold; band hashes are shuffled, and representatives that
 share one are candidates of each other.
 
-Candidates are never written out as pairs. Each band bucket ties its members to
-its least member, and the connected parts of these ties are groups. A group of
-up to ``BLOCK`` texts is verified in one task on full sets; a larger one is
-cut into blocks, and each two blocks meet in a task of their own, so a task has
-at most about two blocks of texts whatever the group's size, and no link
-between different texts is lost. A task counts each text's links (a linked
-representative counts with all its copies) and ties linked texts together;
-connected components of these ties are the classes.
+Candidates are never written out as pairs. Of the band buckets that a
+representative shares with others the fullest is its home. A home's texts are
+cut into blocks of at most about ``BLOCK`` texts and ``BLOCK_GRAMS`` n-grams, and
+two blocks (or a block and itself) meet in a task where some bucket has texts
+of both. Each representative has one block, so each pair of texts that share a
+bucket meets exactly once, is verified on full sets, and no link between
+different texts is lost; a chain of buckets makes no more blocks meet than
+share a bucket. A task counts each text's links (a linked representative
+counts with all its copies) and ties linked texts together; connected
+components of these ties are the classes.
 
 Defined results: null and empty texts have the empty set and are copies of each
 other; a null id has no class (null) and no links; rows that repeat an id and
 text are copies; an id with several texts joins their classes; an empty table
-gives no rows. Sets are compared by 64-bit n-gram hashes.
+gives no rows; a text of any length is read whole. Sets are compared by 64-bit
+n-gram hashes. ``join`` reads the id and the text alone, so other columns can't
+clash; the stage keeps all columns as they are.
 """
 
 from __future__ import annotations
@@ -40,6 +44,7 @@ THRESHOLD = (4, 5)  # similarity of 4/5 or more, held exactly
 RECALL = 0.9995
 HASHES = 128
 BLOCK = 256
+BLOCK_GRAMS = 4_000_000
 KNOWN_WORDS = 100_000
 
 
@@ -104,7 +109,7 @@ class Bander:
 
 
 def signatures(df: DataFrame, bander: Bander, key: str, text: str, n: int = N) -> DataFrame:
-    """``doc_id, set_a, set_b, bands`` of every row with an id, stored in the shared folder."""
+    """``doc_id, set_a, set_b, grams, bands`` of every row with an id, stored in the shared folder."""
     small_batches(df.sparkSession)
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -113,13 +118,13 @@ def signatures(df: DataFrame, bander: Bander, key: str, text: str, n: int = N) -
             for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
                 grams = ngram_set(text, n)
                 raw = grams.tobytes()
-                out.append((doc_id, xxhash.xxh3_64_intdigest(raw), xxhash.xxh3_64_intdigest(raw, 1), bander(grams) if len(grams) else None))
+                out.append((doc_id, xxhash.xxh3_64_intdigest(raw), xxhash.xxh3_64_intdigest(raw, 1), len(grams), bander(grams) if len(grams) else None))
             ids = np.array([r[1] for r in out], np.uint64).view(np.int64), np.array([r[2] for r in out], np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc_id": [r[0] for r in out], "set_a": ids[0], "set_b": ids[1], "bands": [r[3] for r in out]})
+            yield pd.DataFrame({"doc_id": [r[0] for r in out], "set_a": ids[0], "set_b": ids[1], "grams": [r[3] for r in out], "bands": [r[4] for r in out]})
         released()
 
     rows = df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return stored(rows.mapInPandas(sign, "doc_id long, set_a long, set_b long, bands array<bigint>"), "signatures")
+    return stored(rows.mapInPandas(sign, "doc_id long, set_a long, set_b long, grams long, bands array<bigint>"), "signatures")
 
 
 def verified(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -174,6 +179,20 @@ def _tied(n: int, i: np.ndarray, j: np.ndarray) -> list[int]:
     return [find(x) for x in range(n)]
 
 
+def blocks(buckets: DataFrame, block: int = BLOCK, block_grams: int = BLOCK_GRAMS) -> tuple[DataFrame, DataFrame]:
+    """From ``rep, grams, band, hash``: each representative's block (``rep, blk``), and the blocks that meet (``lo, hi``)."""
+    full = buckets.groupBy("band", "hash").agg(F.count(F.lit(1)).alias("n"), F.sum("grams").alias("all_grams")).where("n > 1")
+    # another column's order, so that the join deals both sides anew and a very common hash can be split
+    shared = stored(buckets.join(full.repartition("n", "hash"), ["band", "hash"]).select("rep", "band", "hash", "n", "all_grams"), "shared")
+    homes = shared.groupBy("rep").agg(F.max(F.struct("n", "band", "hash", "all_grams")).alias("h"))
+    parts = F.greatest(F.ceil(F.col("h.n") / F.lit(block)), F.ceil(F.col("h.all_grams") / F.lit(block_grams)))
+    homes = stored(homes.select("rep", F.xxhash64("h.band", "h.hash", F.pmod(F.xxhash64("rep"), parts)).alias("blk")), "homes")
+    there = shared.select("rep", "band", "hash").join(homes, "rep").select("band", "hash", "blk").distinct()
+    other = there.select("band", "hash", F.col("blk").alias("hi"))
+    meet = there.withColumnRenamed("blk", "lo").join(other, ["band", "hash"]).where("lo <= hi").select("lo", "hi").distinct()
+    return homes, stored(meet, "meet")
+
+
 def join(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = N, recall: float = RECALL, hashes: int = HASHES, block: int = BLOCK) -> DataFrame:
     """``doc_id, class_id, n_links`` for every row: the least id of its class, and how many other rows are alike to it."""
     bander = Bander(*bands_for(THRESHOLD[0] / THRESHOLD[1], recall, hashes))
@@ -182,24 +201,18 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = N, rec
     reps = stored(signed.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "representatives")
     rep_ids = reps.groupBy("rep").agg(F.sum("copies").alias("copies"))
     heads = signed.join(reps.select("set_a", "set_b", F.col("rep").alias("doc_id")), ["set_a", "set_b", "doc_id"], "left_semi")
-    buckets = stored(heads.select(F.col("doc_id").alias("rep"), F.posexplode("bands").alias("band", "hash")), "bands")
-    least = buckets.groupBy("band", "hash").agg(F.min("rep").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    ties = buckets.join(least, ["band", "hash"]).select(F.col("rep").alias("u"), F.col("first").alias("v"))
-    groups = components(ties, "groups").select(F.col("node").alias("rep"), F.col("root").alias("grp"))
-    sizes = groups.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("blocks"))
-    members = groups.join(sizes, "grp").join(rep_ids, "rep")
-    members = members.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    buckets = stored(heads.select(F.col("doc_id").alias("rep"), "grams", F.posexplode("bands").alias("band", "hash")), "bands")
+    homes, meet = blocks(buckets, block)
     texts = df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("rep"), F.col(text).alias("text"))
-    found = texts.join(members, "rep")
-    # every two blocks of a group meet once
-    met = found.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.select("grp", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "rep", "copies", "text")
+    ends = meet.select(F.col("lo").alias("blk"), "lo", "hi").unionByName(meet.where("lo <> hi").select(F.col("hi").alias("blk"), "lo", "hi"))
+    # texts join last: they are dealt by id, and once for each two blocks that meet
+    met = texts.join(homes.join(rep_ids, "rep").join(ends, "blk"), "rep")
     small_batches(df.sparkSession)
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for (_, lo, hi), pdf in runs(batches, ["grp", "lo", "hi"]):
+        for (lo, hi), pdf in runs(batches, ["lo", "hi"]):
             sets = [ngram_set(t, n) for t in pdf["text"]]
-            reps, copies, own = pdf["rep"].to_numpy(np.int64), pdf["copies"].to_numpy(np.int64), pdf["own"].to_numpy()
+            reps, copies, own = pdf["rep"].to_numpy(np.int64), pdf["copies"].to_numpy(np.int64), pdf["blk"].to_numpy(np.int64)
             left, right = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
             if not len(left) or not len(right):
                 continue
@@ -214,7 +227,7 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = N, rec
             yield pd.DataFrame({"rep": reps[some], "links": links[some], "root": reps[np.array(_tied(len(reps), i, j))[some]]})
         released()
 
-    dealt = met.repartition("grp", "lo", "hi").sortWithinPartitions("grp", "lo", "hi", "rep")
+    dealt = met.select("lo", "hi", "blk", "rep", "copies", "text").repartition("lo", "hi").sortWithinPartitions("lo", "hi", "rep")
     linked = stored(dealt.mapInPandas(verify, "rep long, links long, root long"), "links")
     rows = signed.select("doc_id", "set_a", "set_b")
     of_sets = reps.select("set_a", "set_b", "rep", "copies")

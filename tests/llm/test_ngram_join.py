@@ -60,6 +60,28 @@ def test_near_copies_in_blocks(spark, block):
     assert got == brute(rows)
 
 
+def test_blocks_that_share_a_bucket_meet(spark):
+    rng = random.Random(6)
+    rows = [(r, 10, b, rng.randrange(12) if r < 60 else 1000 + r // 2) for r in range(120) for b in range(4)] + [(500 + i, 10, 0, i // 2) for i in range(40)]
+    chain = [(1000 + i, 10, 5, i // 2) for i in range(100)] + [(1000 + i, 10, 6, (i + 1) // 2) for i in range(100)]  # each text shares a bucket with the next
+    homes, meet = j.blocks(spark.createDataFrame(rows + chain, "rep long, grams long, band int, hash long"), block=5)
+    of = {r.rep: r.blk for r in homes.collect()}
+    met = {(r.lo, r.hi) for r in meet.collect()}
+    sharing, wanted = {}, set()
+    for rep, _, band, h in rows + chain:
+        sharing.setdefault((band, h), []).append(rep)
+    for reps in sharing.values():
+        wanted |= {tuple(sorted((of[a], of[b]))) for a in reps for b in reps if len(reps) > 1}
+    assert met == wanted
+    assert len({b for b in met if of[1000] in b}) <= 2 and max(sum(1 for x in of.values() if x == b) for b in set(of.values())) <= 20
+
+
+def test_a_block_is_bounded_by_n_grams(spark):
+    rows = [(i, 100, 0, 7) for i in range(200)]
+    homes, _ = j.blocks(spark.createDataFrame(rows, "rep long, grams long, band int, hash long"), 1000, 2000)
+    assert len({r.blk for r in homes.collect()}) == 10
+
+
 def test_bands():
     for recall in (0.9, 0.999):
         b, r = j.bands_for(0.8, recall)

@@ -32,7 +32,7 @@ from gridloom.llm.common import aside, fresh, load, ranked, shielded, stored, un
 WEIGHTS = (5, 2, 1)
 TOTAL = 1.5
 MAX_COPIES = 2
-CELLS = 64
+CELLS = 1024
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -72,7 +72,7 @@ def mix(df: DataFrame, source: str = "source", text: str = "text", key: str = "d
     sized = df.withColumns({"size": F.col(now_named(counted)) if counted else words(now_named(text)), name: F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit(""))})
     sized = sized.withColumns({
         band: F.floor(F.log2(F.col("size") + 1.0) * 2),
-        spread: F.pmod(F.xxhash64(F.lit(seed), key, F.crc32(F.coalesce(F.col(now_named(text)), F.lit("")).cast("binary"))), F.lit(cells)),
+        spread: F.pmod(F.xxhash64(F.lit(seed), key, "size"), F.lit(cells)),
     })
     per = sized.groupBy(name, band, spread).agg(F.sum("size").alias("size")).groupBy(name).agg(F.sum("size").alias("source_size"))
     shares = targets(per.select(F.when(F.col(name) != "", F.substring(name, 2, 2**30)).alias("source"), "source_size"), weights, total, max_copies)
@@ -86,9 +86,9 @@ def mix(df: DataFrame, source: str = "source", text: str = "text", key: str = "d
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How often the mix takes each document."""
-    docs = load(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return mix(docs).select("doc_id", "size", "source_size", "target", "taken", "copies")
+    """How often the mix takes each document. The texts are read once, to count their words."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", "source", words("text").alias("n_words"))
+    return mix(stored(docs, "words"), counted="n_words").select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

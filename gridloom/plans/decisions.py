@@ -47,6 +47,7 @@ class Decisions(Marts):
 
     @cached_property
     def benchmark(self) -> DataFrame:
+        self.keep("errors")
         return self.errors.groupBy("task", "model").agg(*forecasting.metrics(), F.count(F.lit(1)).alias("n"))
 
     @cached_property
@@ -56,11 +57,13 @@ class Decisions(Marts):
 
     @cached_property
     def best_zone_errors(self) -> DataFrame:
+        self.keep("errors")
         best = self.winners.where("task = 'demanda_zona'").select("model")
         return self.errors.where("task = 'demanda_zona'").join(best, "model", "left_semi")
 
     @cached_property
     def predictability(self) -> DataFrame:
+        self.keep("zone_day")
         pressure = self.zone_day.groupBy("zone_id").agg(F.avg("ev_mwh").alias("ev_mean"), F.avg("industry_mwh").alias("industry_mean"), F.avg("demand_mwh").alias("demand_mean"))
         return forecasting.predictability(self.best_zone_errors, pressure, "zone_id")
 
@@ -69,6 +72,7 @@ class Decisions(Marts):
     @cached_property
     def day_series(self) -> DataFrame:
         """Daily values of the five tasks, by ``series`` (task, entity)."""
+        self.keep("node_state")
         load = self.node_state.groupBy("zone_id", "day").agg(F.avg("load_ratio").alias("load_ratio"))
         zones = self.zone_day.select("zone_id", "day", "demand_mwh", "ev_mwh", "industry_mwh").join(load, ["zone_id", "day"], "left")
         tasks = {"demanda_zona": "demand_mwh", "carga_relativa_zona": "load_ratio", "demanda_ev_zona": "ev_mwh", "demanda_industrial_zona": "industry_mwh"}
@@ -85,10 +89,12 @@ class Decisions(Marts):
 
     @cached_property
     def day_forecast(self) -> DataFrame:
+        self.keep("day_series")
         return forecasting.backtest(self.day_series, "series", "day", "value", **forecasting.DAILY).select("series.*", "day", "actual", *forecasting.MODELS)
 
     @cached_property
     def hour_forecast(self) -> DataFrame:
+        self.keep("hour_series")
         held = forecasting.backtest(self.hour_series, "zone_id", "ts", "value", **forecasting.HOURLY)
         return held.join(self.hour_series.select("zone_id", "ts", "peak"), ["zone_id", "ts"])
 
@@ -98,6 +104,7 @@ class Decisions(Marts):
 
     @cached_property
     def task_benchmark(self) -> DataFrame:
+        self.keep("task_errors")
         return self.task_errors.groupBy("task", "model").agg(*forecasting.metrics(), F.count(F.lit(1)).alias("n"))
 
     @cached_property
@@ -126,10 +133,12 @@ class Decisions(Marts):
 
     @cached_property
     def anomalies(self) -> DataFrame:
+        self.keep("node_features", "zone_day")
         return anomalies.union(list(self.anomaly_parts.values()))
 
     @cached_property
     def precursors(self) -> DataFrame:
+        self.keep("node_state", "zone_day")
         return anomalies.with_precursors(self.anomalies, self.node_state, self.zone_day)
 
     @cached_property
@@ -141,6 +150,7 @@ class Decisions(Marts):
     @cached_property
     def score_base(self) -> DataFrame:
         by = "zone_id"
+        self.keep("node_state", "zone_day", "zone_month", "asset_exposure", "zone_risk", "flex_gap", "candidates", "zone_intensity", "errors", "predictability")
         months = self.zone_month_features.groupBy(by).agg(F.avg("congested_hours").alias("congested_hours"), F.avg("peak_mw").alias("peak_mw"), F.avg("resilience").alias("resilience"), F.avg("capex_intensity").alias("capex_intensity"), F.avg("growth_tension").alias("growth"), F.avg(F.col("ev_mwh") + F.col("industry_mwh")).alias("new_demand_mwh"))
         days = self.zone_day_features.groupBy(by).agg(F.avg("ens_mwh").alias("ens_mean"), F.avg("customers").alias("customers_mean"), F.avg("risk_cost").alias("risk_cost"), F.avg("unserved_mwh").alias("unserved_mwh"), F.avg("flex_gap_mwh").alias("flex_gap_mwh"))
         gap = self.flex_gap.select(by, "gap_mw", "economic_gap", "flex_ratio", F.col("congested_hours").alias("congested_total"))
@@ -155,22 +165,27 @@ class Decisions(Marts):
 
     @cached_property
     def scores(self) -> DataFrame:
+        self.keep("score_base")
         return scoring.seven_scores(self.score_base)
 
     @cached_property
     def options(self) -> DataFrame:
+        self.keep("scores")
         return scoring.options(self.scores)
 
     @cached_property
     def ranking(self) -> DataFrame:
+        self.keep("scores")
         return scoring.priorities(self.scores, scoring.best_option(self.options))
 
     @cached_property
     def sensitivity(self) -> DataFrame:
+        self.keep("scores")
         return scoring.sensitivity(self.scores)
 
     @cached_property
     def scenarios(self) -> DataFrame:
+        self.keep("ranking")
         base = self.zone_month_features.groupBy("zone_id").agg(F.avg("curtailment_mwh").alias("curtailment_base"))
         return scoring.scenarios(self.ranking, base)
 

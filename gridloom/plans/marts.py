@@ -1,7 +1,10 @@
-"""The domain's layers as lazy DataFrames: integration, marts, decision views, features.
+"""The domain's layers as DataFrames: integration, marts, decision views, features.
 
-Nothing here runs a job. A layer that several plans of one session read can be
-written with ``Marts.materialise`` and is then read back instead.
+A layer is a lazy plan. One that several others read is written to the shared
+folder the first time it is needed (``Marts.keep``) and read back from then on,
+so no plan repeats another's scans; of the large layers these are the
+feeder-hours and their features, the others have a row for each zone and hour
+or fewer. ``Marts.release`` removes them when no result is read any more.
 """
 
 from __future__ import annotations
@@ -12,10 +15,11 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridloom.functions.exprs import boundaries, count_if, known, ladder, ratio, severity_rank, weighted
+from gridloom.functions.exprs import boundaries, count_if, known, ratio, severity_rank, weighted
 from gridloom.operators.intervals import hourly, overlapping
 from gridloom.operators.scales import percent_of_max, share_of_max, with_totals
 from gridloom.sources import tables
+from gridloom.sources.shared import remove, stored
 
 PHYSICAL = ("nuevo_alimentador", "refuerzo_selectivo_lineas", "repotenciacion_subestacion")
 STORAGE = ("almacenamiento_red",)
@@ -29,6 +33,8 @@ class Marts:
         self.spark, self.sf_dir = spark, sf_dir
         self._frame = frame or (lambda role: tables.role(spark, sf_dir, role))
         self._frames: dict[str, DataFrame] = {}
+        self._kept: dict[str, DataFrame] = {}
+        self._paths: list[str] = []
 
     def frame(self, role: str) -> DataFrame:
         if role not in self._frames:
@@ -39,11 +45,31 @@ class Marts:
         """A general table, for queries outside the domain."""
         return tables.load(self.spark, self.sf_dir, name)
 
+    def keep(self, *layers: str) -> None:
+        """Write layers to the shared folder, unless they are there, and use them from there."""
+        for layer in layers:
+            if self._kept.get(layer) is None or self._kept[layer] is not self.__dict__.get(layer):
+                self._kept[layer] = self.__dict__[layer] = self.once(getattr(self, layer), layer)
+
+    def once(self, df: DataFrame, label: str) -> DataFrame:
+        """``df`` as written to the shared folder, for a plan that reads it more than once."""
+        out, path = stored(df, label)
+        self._paths.append(path)
+        return out
+
+    def release(self) -> None:
+        """Remove the kept layers; results that read them can't be read afterwards."""
+        while self._paths:
+            remove(self.spark, self._paths.pop())
+        for layer in self._kept:
+            self.__dict__.pop(layer, None)
+        self._kept.clear()
+
     def materialise(self, layer: str, path: str, partition: str | None = None) -> DataFrame:
-        """Write a layer as Parquet and use it from there."""
+        """Write a layer as Parquet to a place of the user's own and use it from there."""
         out = getattr(self, layer).write.mode("overwrite")
         (out.partitionBy(partition) if partition else out).parquet(path)
-        self.__dict__[layer] = self.spark.read.parquet(path)
+        self._kept[layer] = self.__dict__[layer] = self.spark.read.parquet(path)
         return self.__dict__[layer]
 
     # integration
@@ -69,6 +95,7 @@ class Marts:
     @cached_property
     def node_load(self) -> DataFrame:
         """Feeder-hours with the zone's components allotted by share of demand or of capacity."""
+        self.keep("zone_hour")
         base = self.frame("demand").join(self.feeder_shares, ["feeder_id", "station_id", "zone_id"])
         # the zone's total is carried by the zone-hour row, so demand is shuffled by (hour, zone) once
         out = base.join(self.zone_hour, ["ts", "zone_id"], "left").withColumn("demand_share", ratio("demand_mw", "zone_demand_mw"))
@@ -108,6 +135,7 @@ class Marts:
     @cached_property
     def flex_zone(self) -> DataFrame:
         """Zones with capacity, peak, flexibility, storage and investment figures."""
+        self.keep("zone_hour")
         peak = self.zone_hour.groupBy("zone_id").agg(F.max("zone_demand_mw").alias("peak_mw"), F.avg("zone_demand_mw").alias("mean_mw"))
         # a substation counts once for each of its feeders
         capacity = self.frame("substations").select("station_id", "zone_id", F.col("capacity_mw").alias("s_mw"), "firm_mw").join(self.frame("feeders"), "station_id")
@@ -181,7 +209,7 @@ class Marts:
         base = days.join(ranks, "zone_id", "left").withColumns({"mean_rank": known("mean_rank"), "max_rank": known("max_rank", 0)})
         parts = {"congested_hours": 0.24, "mean_rank": 0.16, "ens_mwh": 0.18, "customers": 0.14, "mean_max_load": 0.10}
         score = weighted([*((w, percent_of_max(c)) for c, w in parts.items()), (0.09, F.lit(100.0) * F.col("criticality")), (0.09, F.lit(100.0) * F.col("growth_tension"))])
-        return share_of_max(base, list(parts)).withColumn("risk_score", score).drop(*(f"max_{c}" for c in parts))
+        return share_of_max(self.once(base, "zone_risk_base"), list(parts)).withColumn("risk_score", score).drop(*(f"max_{c}" for c in parts))
 
     @cached_property
     def asset_exposure(self) -> DataFrame:
@@ -192,16 +220,18 @@ class Marts:
         out = assets.join(n, (F.col("station_id") == F.col("n_station")) & F.col("feeder_id").eqNullSafe(F.col("n_feeder")), "left").drop("n_station", "n_feeder").join(service, "station_id", "left")
         out = out.withColumns({c: known(c, 0 if c in ("hours", "stressed_hours", "congested_hours", "station_customers", "station_outages") else 0.0) for c in ("hours", "stressed_hours", "congested_hours", "mean_load", "max_load", "event_energy_mwh", "station_ens_mwh", "station_customers", "station_outages")})
         stress = ratio("stressed_hours", "hours")
-        out = share_of_max(out, ["age_years"])
+        out = share_of_max(self.once(out, "asset_base"), ["age_years"])
         score = weighted([(0.26, percent_of_max("age_years")), (0.18, F.lit(100.0) * (F.lit(1.0) - F.col("health"))), (0.16, F.lit(100.0) * F.col("criticality")), (0.20, F.lit(100.0) * stress), (0.20, F.lit(100.0) * F.col("failure_p"))])
         return out.withColumns({"exposure_score": score, "adjusted_p": F.least(F.lit(1.0), F.col("failure_p") * (F.lit(1.0) + F.lit(0.35) * stress))}).drop("max_age_years")
 
     @cached_property
     def flex_gap(self) -> DataFrame:
+        self.keep("zone_day", "zone_risk")
         months = self.zone_month.groupBy("zone_id").agg(F.max("peak_mw").alias("critical_mw"), F.sum("stressed_hours").alias("stressed_total"), F.avg("flex_gap_mwh").alias("gap_mwh"))
         risk = self.zone_risk.select("zone_id", "risk_score", "congested_hours", "electrification")
         out = self.flex_zone.drop("peak_mw").join(risk, "zone_id", "left").join(months, "zone_id", "left")
-        out = with_totals(out.withColumns({c: known(c, 0 if c == "congested_hours" else 0.0) for c in ("risk_score", "congested_hours", "electrification", "critical_mw", "gap_mwh")}).withColumn("stressed_total", known("stressed_total", 0)), n_zones=F.count(F.lit(1)))
+        out = out.withColumns({c: known(c, 0 if c == "congested_hours" else 0.0) for c in ("risk_score", "congested_hours", "electrification", "critical_mw", "gap_mwh")}).withColumn("stressed_total", known("stressed_total", 0))
+        out = with_totals(self.once(out, "flex_gap_base"), n_zones=F.count(F.lit(1)))
         gap = F.greatest(F.col("critical_mw") - F.col("support_mw"), F.lit(0.0))
         return out.withColumns({"gap_mw": gap, "economic_gap": gap * F.col("flex_cost") * ratio("stressed_total", "n_zones"), "flex_ratio": ratio("support_mw", "critical_mw")})
 
@@ -210,12 +240,13 @@ class Marts:
         """Investments with family, strategy and first priority."""
         kind = F.col("investment_type")
         family = F.when(kind.isin(*PHYSICAL), "refuerzo_fisico").when(kind.isin(*STORAGE), "storage_distribuido").when(kind.isin(*OPERATION), "operacion_avanzada").otherwise("flexibilidad_operativa")
+        self.keep("zone_risk", "flex_gap")
         context = self.zone_risk.select("zone_id", "risk_score", "congested_hours", "ens_mwh", "peak_mw").join(self.flex_gap.select("zone_id", "gap_mw", "flex_ratio"), "zone_id", "left")
         out = self.frame("investments").withColumn("family", family).join(context, "zone_id", "left")
         out = out.withColumns({c: known(c, 0 if c == "congested_hours" else 0.0) for c in ("risk_score", "congested_hours", "ens_mwh", "peak_mw", "gap_mw", "flex_ratio")})
         relief = F.col("risk_reduction") * F.col("risk_score")
         out = out.withColumns({"risk_relief": relief, "relative_gain": ratio(F.col("capacity_gain") * F.col("peak_mw"), "gap_mw"), "efficiency": ratio(relief + F.lit(15.0) * F.col("resilience"), "capex"), "strategy": F.when(F.col("family") == "refuerzo_fisico", "refuerzo").when(F.col("family").isin("storage_distribuido", "flexibilidad_operativa"), "flexibilidad").otherwise("operacion")})
-        out = share_of_max(out, ["resilience", "capacity_gain", "efficiency", "horizon_months"])
+        out = share_of_max(self.once(out, "candidate_base"), ["resilience", "capacity_gain", "efficiency", "horizon_months"])
         score = weighted([(0.28, F.lit(100.0) * F.col("risk_reduction")), (0.22, percent_of_max("resilience")), (0.18, percent_of_max("capacity_gain")), (0.12, percent_of_max("efficiency")), (0.10, F.lit(100.0) * F.col("ease")), (0.10, F.lit(100.0) * (F.lit(1.0) - ratio("horizon_months", "max_horizon_months")))])
         out = out.withColumn("priority_score", score)
         return out.join(self.frame("zones").select("zone_id", "zone_name", "zone_type", "region"), "zone_id", "left")
@@ -225,6 +256,7 @@ class Marts:
     @cached_property
     def node_features(self) -> DataFrame:
         """Rolling features of each feeder's hours; all frames of a feeder share one sort."""
+        self.keep("node_state", "asset_exposure")
         keys = ["feeder_id", "station_id", "zone_id", "hour_of_day", "day_type"]
         usual = self.node_state.groupBy(*keys).agg(F.avg("demand_mw").alias("usual_mw"))
         failed = hourly(self.outages.select("station_id", "ts_start", "ts_end"), "ts_start", "ts_end", "ts").groupBy("station_id", "ts").agg(F.count(F.lit(1)).alias("outages_now"))
@@ -255,6 +287,7 @@ class Marts:
 
     @cached_property
     def zone_day_features(self) -> DataFrame:
+        self.keep("node_state")
         ranks = self.events.groupBy("zone_id", F.to_date("ts_start").alias("day")).agg(F.avg("severity_rank").alias("mean_rank"))
         assets = self.asset_exposure.groupBy("zone_id").agg(F.avg("exposure_score").alias("exposure"))
         out = self.zone_day.join(ranks, ["zone_id", "day"], "left").join(assets, "zone_id", "left")
@@ -264,6 +297,7 @@ class Marts:
 
     @cached_property
     def zone_month_features(self) -> DataFrame:
+        self.keep("zone_month")
         w = Window.partitionBy("zone_id")
         out = share_of_max(self.zone_month, ["congested_hours", "ens_mwh", "flex_gap_mwh"])
         return out.withColumns({
@@ -279,6 +313,7 @@ class Marts:
 
     @cached_property
     def candidate_features(self) -> DataFrame:
+        self.keep("node_state", "zone_day", "candidates")
         new = F.col("ev_mwh") + F.col("industry_mwh") + F.lit(1e-9)
         days = self.zone_day_features.groupBy("zone_id").agg(F.avg("risk_cost").alias("risk_cost"), F.avg("flex_gap_mwh").alias("mean_gap"), F.avg("exposure").alias("mean_exposure"), F.avg(ratio("ev_mwh", new)).alias("ev_weight"))
         months = self.zone_month_features.groupBy("zone_id").agg(F.avg("risk").alias("month_risk"), F.avg("capex_intensity").alias("capex_intensity"), F.avg("flex_effective").alias("flex_effective"), F.avg("storage_effective").alias("storage_effective"))
@@ -292,7 +327,3 @@ class Marts:
             "viability": weighted([(0.45, F.lit(100.0) * F.col("flex_effective")), (0.35, F.lit(100.0) * F.col("storage_effective")), (0.20, F.lit(100.0) * F.col("ease"))]),
             "readiness": weighted([(0.40, F.lit(100.0) * F.col("ease")), (0.30, F.lit(100.0) * (F.lit(1.0) - ratio("horizon_months", "max_horizon_months"))), (0.30, percent_of_max("resilience"))]),
         })
-
-    @cached_property
-    def severity_ladder(self) -> DataFrame:
-        return self.events.withColumn("load_class", ladder("energy_mwh", ((50, 4), (25, 3), (10, 2)), 1))

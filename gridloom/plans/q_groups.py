@@ -5,21 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.functions.exprs import count_if, ratio, round_away, weighted
+from gridloom.functions.exprs import count_if, ratio, round_away
 from gridloom.operators.forecasting import metrics
 from gridloom.operators.scales import min_max, min_max_within, percent_of_max, share_of_max, with_totals
 from gridloom.plans.decisions import Decisions
 from gridloom.plans.marts_sql import rounded
-from gridloom.plans.q_kpi import CHECKS, _top, _top_sql
+from gridloom.plans.q_kpi import CHECKS, _top, _top_sql, checks
 from gridloom.plans.query import NUDGE, Query
 
 HOUR = "^ts feeder_id"
 #: Tables, their keys and the column whose nulls are counted.
 PROFILED = {"customer": ("c_custkey", "c_acctbal"), "orders": ("o_orderkey", "o_custkey"), "part": ("p_partkey", "p_retailprice"), "supplier": ("s_suppkey", "s_acctbal")}
-#: Checks of the gates: those that read the raw frames alone.
-GATED = ("pk_zones", "pk_substations", "pk_feeders", "fk_substations_zone", "fk_feeders_substation", "demand_not_negative", "capacity_positive", "events_in_order", "outages_in_order")
-#: KPI and the value that it should not exceed.
-TARGETS = {"mean_minutes": 60.0, "ens_per_outage": 10.0, "minutes_per_customer": 45.0}
+
 
 
 def _table(name: str, columns: str, plan, body: str) -> Query:
@@ -144,19 +141,13 @@ def _profile(m: Decisions) -> DataFrame:
 PROFILE = " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n_rows, count(DISTINCT {key}) AS keys, count_if({c} IS NULL) AS nulls FROM {t}" for t, (key, c) in PROFILED.items())
 
 
-def _gates(m: Decisions, names: tuple[str, ...] = GATED) -> DataFrame:
-    """One row for each severity: failed checks of ``names``, and whether a release may pass."""
-    parts = [plan(m).select(F.lit(severity).alias("severity"), F.col("observed").cast("long").alias("observed")) for name, severity, plan, _ in CHECKS if name in names]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    out = out.groupBy("severity").agg(F.count(F.lit(1)).alias("checks"), count_if(F.col("observed") > 0).alias("failed"))
+def _gates(m: Decisions) -> DataFrame:
+    """One row for each severity: its failed checks, and whether a release may pass."""
+    out = checks(m).groupBy("severity").agg(F.count(F.lit(1)).alias("checks"), count_if(F.col("observed") > 0).alias("failed"))
     return out.withColumn("status", F.when(F.col("failed") == 0, "PASS").when(F.col("severity") == "alta", "FAIL").otherwise("WARN"))
 
 
-GATES = "SELECT *, CASE WHEN failed = 0 THEN 'PASS' WHEN severity = 'alta' THEN 'FAIL' ELSE 'WARN' END AS status FROM (SELECT severity, count(*) AS checks, count_if(observed > 0) AS failed FROM (" + " UNION ALL ".join(f"SELECT '{s}' AS severity, ({q}) AS observed" for n, s, _, q in CHECKS if n in GATED) + ") GROUP BY 1)"
-
-ALL_GATES = "SELECT *, CASE WHEN failed = 0 THEN 'PASS' WHEN severity = 'alta' THEN 'FAIL' ELSE 'WARN' END AS status FROM (SELECT severity, count(*) AS checks, count_if(observed > 0) AS failed FROM (" + " UNION ALL ".join(f"SELECT '{s}' AS severity, ({q}) AS observed" for _, s, _, q in CHECKS) + ") GROUP BY 1)"
+GATES = "SELECT *, CASE WHEN failed = 0 THEN 'PASS' WHEN severity = 'alta' THEN 'FAIL' ELSE 'WARN' END AS status FROM (SELECT severity, count(*) AS checks, count_if(observed > 0) AS failed FROM (" + " UNION ALL ".join(f"SELECT '{s}' AS severity, ({q}) AS observed" for _, s, _, q in CHECKS) + ") GROUP BY 1)"
 
 
 def _crossed_times(m: Decisions) -> DataFrame:
@@ -165,35 +156,10 @@ def _crossed_times(m: Decisions) -> DataFrame:
     return reversed_("congestion").unionByName(reversed_("outages")).unionByName(more)
 
 
-def _feeder_rank(m: Decisions) -> DataFrame:
-    n = m.node_state.groupBy("feeder_id").agg(count_if(F.col("congested")).alias("congested_hours"), F.sum("event_energy_mwh").alias("energy_mwh"), F.avg("load_ratio").alias("mean_load"))
-    return min_max(n, ["congested_hours", "energy_mwh", "mean_load"]).withColumn("criticality", weighted({"congested_hours_mm": 0.45, "energy_mwh_mm": 0.35, "mean_load_mm": 0.20}))
-
-
 def _mm_sql(c: str) -> str:
     return f"CASE WHEN max({c}) OVER () = min({c}) OVER () THEN 50 ELSE 100::DOUBLE * ({c} - min({c}) OVER ()) / nullif(max({c}) OVER () - min({c}) OVER (), 0) END"
 
 
-FEEDER_RANK = f"SELECT *, 0.45::DOUBLE * ({_mm_sql('congested_hours')}) + 0.35::DOUBLE * ({_mm_sql('energy_mwh')}) + 0.20::DOUBLE * ({_mm_sql('mean_load')}) AS criticality FROM (SELECT feeder_id, count_if(congested) AS congested_hours, sum(event_energy_mwh) AS energy_mwh, avg(load_ratio) AS mean_load FROM node_state GROUP BY 1)"
-
-
-def _scalars(m: Decisions) -> DataFrame:
-    o = m.outages.agg(F.count(F.lit(1)).alias("n_outages"), F.sum("ens_mwh").alias("ens_mwh"), F.avg("minutes").alias("mean_minutes"), ratio(F.sum("ens_mwh"), F.count(F.lit(1))).alias("ens_per_outage"), ratio(F.sum(F.col("customers") * F.col("minutes")), F.sum("customers")).alias("minutes_per_customer"))
-    return o.crossJoin(F.broadcast(m.frame("demand").agg(F.sum("demand_mw").alias("demand_mwh"), F.countDistinct("feeder_id").alias("n_feeders"))))  # one row each
-
-
-SCALARS = "SELECT * FROM (SELECT count(*) AS n_outages, sum(ens_mwh) AS ens_mwh, avg(minutes) AS mean_minutes, sum(ens_mwh) / nullif(count(*), 0) AS ens_per_outage, sum(customers * minutes) / nullif(sum(customers), 0) AS minutes_per_customer FROM ranked_outages) CROSS JOIN (SELECT sum(demand_mw) AS demand_mwh, count(DISTINCT feeder_id) AS n_feeders FROM demand)"
-
-
-def _lights(m: Decisions) -> DataFrame:
-    """Green up to the target, amber up to 20 % beyond it, red after that."""
-    rows = F.explode(F.array(*(F.struct(F.lit(k).alias("kpi"), F.col(k).alias("value"), F.lit(t).alias("target")) for k, t in TARGETS.items())))
-    return _scalars(m).select(rows.alias("k")).select("k.*").withColumn("light", F.when(F.col("value") <= F.col("target"), "green").when(F.col("value") <= F.col("target") * F.lit(1.2), "amber").otherwise("red"))
-
-
-LIGHTS = "SELECT *, CASE WHEN value <= target THEN 'green' WHEN value <= target * 1.2::DOUBLE THEN 'amber' ELSE 'red' END AS light FROM (" + " UNION ALL ".join(f"SELECT '{k}' AS kpi, {k} AS value, {t}::DOUBLE AS target FROM ({SCALARS})" for k, t in TARGETS.items()) + ")"
-
-
 def _blocks(m: Decisions) -> DataFrame:
     """The analysis blocks as one long table, from a single pass over the zone-days."""
     keys = (("region", F.col("region"), F.col("demand_mwh")), ("zone_type", F.col("zone_type"), F.col("ens_mwh")), ("month", F.date_format("day", "yyyy-MM"), F.col("congested_hours").cast("double")), ("electrification", F.col("region"), F.col("ev_mwh") + F.col("industry_mwh")))
@@ -252,11 +218,7 @@ QUERIES = [
     Query("dq_temporal_cross", "rule #observed", _crossed_times,
           "SELECT 'congestion_reversed' AS rule, count_if(ts_end < ts_start) AS observed FROM congestion UNION ALL SELECT 'outages_reversed', count_if(ts_end < ts_start) FROM outages UNION ALL SELECT 'curtailment_over_generation', count_if(curtailment_mw > generation_mw) FROM zone_hour"),
     Query("dq_release_gates", "severity #checks #failed status", _gates, GATES),
-    Query("dq_release_gates_all", "severity #checks #failed status", lambda m: _gates(m, tuple(name for name, *_ in CHECKS)), ALL_GATES),
+    Query("dq_release_gates_all", "severity #checks #failed status", _gates, GATES),
     _table("profile_tables", "table_name #n_rows #keys #nulls", _profile, PROFILE),
-    Query("dash_feeder_criticality", "feeder_id #congested_hours ~energy_mwh ~mean_load ~criticality:3", _feeder_rank, FEEDER_RANK),
-    Query("dash_zone_profile", "zone_id zone_name region ~risk_score:3 ~support_mw ~coverage_ratio ~capex_total:2", lambda m: m.flex_zone.join(m.zone_risk.select("zone_id", "risk_score"), "zone_id", "left"), "SELECT f.*, r.risk_score FROM flex_zone f LEFT JOIN zone_risk r USING (zone_id)"),
-    Query("dash_kpi_scalars", "#n_outages ~ens_mwh:2 ~mean_minutes ~ens_per_outage ~minutes_per_customer:3 ~demand_mwh:2 #n_feeders", _scalars, SCALARS),
-    Query("dash_benchmarks", "kpi ~value:3 ~target:1 light", _lights, LIGHTS),
     Query("analysis_blocks", "block key ~value:2", _blocks, BLOCKS),
 ]

@@ -88,7 +88,9 @@ CHECKS = [
 ]
 
 
-def _checks(m: Decisions) -> DataFrame:
+def checks(m: Decisions) -> DataFrame:
+    """Every check's observed value. The marts that several checks read are written once."""
+    m.keep("node_state", "zone_day", "zone_risk", "flex_gap")
     parts = [plan(m).select(F.lit(name).alias("check_name"), F.lit(severity).alias("severity"), F.col("observed").cast("long").alias("observed")) for name, severity, plan, _ in CHECKS]
     out = parts[0]
     for p in parts[1:]:
@@ -101,7 +103,7 @@ CHECKS_SQL = "SELECT *, CASE WHEN observed = 0 THEN 1 ELSE 0 END AS passed FROM
 
 def _failures(m: Decisions) -> DataFrame:
     rank = F.when(F.col("severity") == "alta", 1).when(F.col("severity") == "media", 2).otherwise(3)
-    return _checks(m).where("passed = 0").withColumn("severity_order", rank).orderBy("severity_order", "check_name")
+    return checks(m).where("passed = 0").withColumn("severity_order", rank).orderBy("severity_order", "check_name")
 
 
 def _sessions(m: Decisions) -> DataFrame:
@@ -122,7 +124,7 @@ QUERIES = [
     Query("kpi_deferrable_capex", "zone_id ~capex_grid:2 ~capex_flex:2 ~deferrable_capex:2 ~mean_priority:2", lambda m: _top(_deferrable(m), 10, "deferrable_capex", 2, "mean_priority", "zone_id"), _top_sql(DEFERRABLE, 10, "deferrable_capex", 2, "mean_priority", "zone_id")),
     Query("kpi_exposed_assets", "asset_id asset_type zone_id station_id feeder_id age_years ~health ~criticality ~failure_p ~adjusted_p ~exposure_score:2 #stressed_hours ~event_energy_mwh:2", lambda m: _top(m.asset_exposure, 25, "exposure_score", 6, "adjusted_p", "asset_id"), _top_sql("SELECT * FROM asset_exposure", 25, "exposure_score", 6, "adjusted_p", "asset_id")),
     Query("kpi_new_demand", "zone_id ~ev_mwh:2 ~industry_mwh:2 ~new_mwh:2 ~new_ratio ~mean_max_load #congested_hours", lambda m: _top(_new_demand(m), 10, "new_ratio", 4, "new_mwh", "zone_id"), _top_sql(NEW_DEMAND, 10, "new_ratio", 4, "new_mwh", "zone_id")),
-    Query("dq_pk_fk_domain", "check_name severity #observed passed", _checks, CHECKS_SQL),
+    Query("dq_pk_fk_domain", "check_name severity #observed passed", checks, CHECKS_SQL),
     Query("dq_failures_ordered", "check_name severity #observed passed severity_order", _failures, f"SELECT *, CASE severity WHEN 'alta' THEN 1 WHEN 'media' THEN 2 ELSE 3 END AS severity_order FROM ({CHECKS_SQL}) WHERE passed = 0"),
     Query("sessionize_events", "feeder_id #island ^ts_start ^ts_end #hours ~max_load", _sessions, SESSIONS),
     Query("dash_month_trend", "@month ~demand_mwh ~net_load_mwh #congested_hours ~ens_mwh ~ev_mwh ~industry_mwh", lambda m: m.zone_month.groupBy("month").agg(*(F.sum(c).alias(c) for c in ("demand_mwh", "net_load_mwh", "congested_hours", "ens_mwh", "ev_mwh", "industry_mwh"))),

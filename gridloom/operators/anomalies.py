@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.exprs import anomaly_severity, ratio
+from gridloom.operators.quantiles import group_percentile
 
 COLUMNS = ("ts", "day", "zone_id", "station_id", "feeder_id", "anomaly_type", "observed", "threshold", "score", "explanation")
 # What to do on each type.
@@ -20,6 +21,16 @@ ADVICE = {
     "desviacion_vs_patron": "validar_medicion_y_ajustar_modelo_operativo",
 }
 
+# Explanations of each type; where there are two, of what is high (or at the peak hour) and of the rest.
+WHY = {
+    "demanda_inesperada": ("pico_no_esperado_posible_EV_o_industrial", "caida_anomala_posible_reconfiguracion_o_fallo_medicion"),
+    "carga_relativa_anormal": ("saturacion_termica_o_desbalance_operativo",),
+    "curtailment_anormal": ("exceso_GD_vs_capacidad_local_o_restriccion_operativa",),
+    "ens_atipica": ("degradacion_servicio_o_evento_meteo_con_impacto",),
+    "deterioro_operativo_subestacion": ("acumulacion_estres_y_posible_degradacion_activos",),
+    "desviacion_vs_patron": ("desviacion_en_hora_punta_sensible", "desviacion_fuera_patron_estacional"),
+}
+
 
 def _shape(df: DataFrame, kind: str, observed: Column, threshold: Column, score: Column, explanation: Column) -> DataFrame:
     none = [F.lit(None).cast("long").alias(c) for c in ("station_id", "feeder_id") if c not in df.columns]
@@ -40,26 +51,27 @@ def unexpected_demand(nodes: DataFrame, limit: float = 3.0) -> DataFrame:
     rows = nodes.withColumn("residual", F.col("demand_mw") - F.col("mean_24"))
     rows = rows.withColumn("spread", F.stddev_samp("residual").over(Window.partitionBy("feeder_id")))
     rows = rows.withColumn("z", F.coalesce(ratio("residual", "spread"), F.lit(0.0))).where(F.abs("z") >= limit)
-    why = F.when(F.col("residual") > 0, "pico_no_esperado_posible_EV_o_industrial").otherwise("caida_anomala_posible_reconfiguracion_o_fallo_medicion")
+    high, rest = WHY["demanda_inesperada"]
+    why = F.when(F.col("residual") > 0, high).otherwise(rest)
     return _shape(rows, "demanda_inesperada", F.col("demand_mw"), F.col("mean_24") + F.lit(limit) * F.col("spread"), F.abs("z"), why)
 
 
 def abnormal_load(nodes: DataFrame, share: float = 0.99, limit: float = 1.15) -> DataFrame:
-    rows = nodes.withColumn("p", F.percentile("load_ratio", share).over(Window.partitionBy("feeder_id"))).where((F.col("load_ratio") >= F.col("p")) | (F.col("load_ratio") >= limit))
-    return _shape(rows, "carga_relativa_anormal", F.col("load_ratio"), F.greatest("p", F.lit(limit)), F.lit(2.5) + F.greatest(F.col("load_ratio") - 1.0, F.lit(0.0)) * 10.0, F.lit("saturacion_termica_o_desbalance_operativo"))
+    rows = group_percentile(nodes, "feeder_id", "load_ratio", share, "p").where((F.col("load_ratio") >= F.col("p")) | (F.col("load_ratio") >= limit))
+    return _shape(rows, "carga_relativa_anormal", F.col("load_ratio"), F.greatest("p", F.lit(limit)), F.lit(2.5) + F.greatest(F.col("load_ratio") - 1.0, F.lit(0.0)) * 10.0, F.lit(WHY["carga_relativa_anormal"][0]))
 
 
 def abnormal_curtailment(nodes: DataFrame, share: float = 0.99, limit: float = 0.18) -> DataFrame:
     rows = nodes.withColumn("cut", F.coalesce("curtailment_ratio", F.lit(0.0)))
-    rows = rows.withColumn("p", F.percentile("cut", share).over(Window.partitionBy("zone_id"))).where((F.col("cut") >= F.col("p")) & (F.col("cut") >= limit))
-    return _shape(rows, "curtailment_anormal", F.col("cut"), F.greatest("p", F.lit(limit)), F.lit(2.0) + F.col("cut") * 8.0, F.lit("exceso_GD_vs_capacidad_local_o_restriccion_operativa"))
+    rows = group_percentile(rows, "zone_id", "cut", share, "p").where((F.col("cut") >= F.col("p")) & (F.col("cut") >= limit))
+    return _shape(rows, "curtailment_anormal", F.col("cut"), F.greatest("p", F.lit(limit)), F.lit(2.0) + F.col("cut") * 8.0, F.lit(WHY["curtailment_anormal"][0]))
 
 
 def atypical_ens(days: DataFrame, spread: float = 2.5) -> DataFrame:
     mean, dev = rolling("ens_mwh", "zone_id", 30, 7)
     rows = days.select("day", "zone_id", "ens_mwh").withColumn("limit", mean + F.lit(spread) * F.coalesce(dev, F.lit(0.0)))
     rows = rows.where((F.col("ens_mwh") > F.col("limit")) & (F.col("ens_mwh") > 0))
-    return _shape(rows, "ens_atipica", F.col("ens_mwh"), F.col("limit"), F.lit(2.0) + F.coalesce(ratio("ens_mwh", "limit"), F.lit(0.0)), F.lit("degradacion_servicio_o_evento_meteo_con_impacto"))
+    return _shape(rows, "ens_atipica", F.col("ens_mwh"), F.col("limit"), F.lit(2.0) + F.coalesce(ratio("ens_mwh", "limit"), F.lit(0.0)), F.lit(WHY["ens_atipica"][0]))
 
 
 def station_trend(nodes: DataFrame, spread: float = 1.75) -> DataFrame:
@@ -69,12 +81,13 @@ def station_trend(nodes: DataFrame, spread: float = 1.75) -> DataFrame:
     week, _ = rolling("share", "station_id", 7, 5)
     month, dev = rolling("share", "station_id", 30, 10)
     rows = days.withColumns({"week": week, "month": month, "dev": F.coalesce(dev, F.lit(0.0))}).where(F.col("week") > F.col("month") + F.lit(spread) * F.col("dev"))
-    return _shape(rows, "deterioro_operativo_subestacion", F.col("week"), F.col("month") + F.lit(spread) * F.col("dev"), F.lit(1.8) + F.greatest(F.col("week") - F.col("month"), F.lit(0.0)) * 10.0, F.lit("acumulacion_estres_y_posible_degradacion_activos"))
+    return _shape(rows, "deterioro_operativo_subestacion", F.col("week"), F.col("month") + F.lit(spread) * F.col("dev"), F.lit(1.8) + F.greatest(F.col("week") - F.col("month"), F.lit(0.0)) * 10.0, F.lit(WHY["deterioro_operativo_subestacion"][0]))
 
 
 def off_pattern(nodes: DataFrame, limit: float = 0.35) -> DataFrame:
     rows = nodes.withColumn("off", F.coalesce("vs_usual", F.lit(0.0))).where(F.abs("off") >= limit)
-    why = F.when(F.col("peak_flag"), "desviacion_en_hora_punta_sensible").otherwise("desviacion_fuera_patron_estacional")
+    at_peak, rest = WHY["desviacion_vs_patron"]
+    why = F.when(F.col("peak_flag"), at_peak).otherwise(rest)
     return _shape(rows, "desviacion_vs_patron", F.col("off"), F.lit(limit), F.lit(1.5) + F.abs("off") * 4.0, why)
 
 

@@ -16,7 +16,7 @@ HOURLY = {"period": 24, "window": 24, "horizon": 504}
 ALPHA = 0.35
 
 
-def backtest(series: DataFrame, entity: str, at: str, value: str, horizon: int = 90, period: int = 7, window: int = 14, least: int = 120) -> DataFrame:
+def backtest(series: DataFrame, entity: str, at: str, value: str, horizon: int = 90, period: int = 7, window: int = 7, least: int = 120) -> DataFrame:
     """``entity, at, actual`` of the last ``horizon`` rows of each series, with a column for each model.
 
     Series of fewer than ``horizon + least`` rows are left out. Only the rows
@@ -60,9 +60,13 @@ def metrics(where: Column | None = None, suffix: str = "") -> list[Column]:
     return [F.avg(F.abs(e)).alias(f"mae{suffix}"), F.sqrt(F.avg(e * e)).alias(f"rmse{suffix}"), (F.avg(off) * 100.0).alias(f"smape{suffix}"), F.avg(e).alias(f"bias{suffix}")]
 
 
+#: What a forecast error at or below the middle one means, and one above it.
+DEFERRABLE, UNCERTAIN = "forecast_suficiente_para_diferir_capex", "forecast_insuficiente_requiere_refuerzo_o_flex"
+
+
 def predictability(errors: DataFrame, pressure: DataFrame, entity: str) -> DataFrame:
     """Errors by entity beside its new demand, split at the median error."""
     per = errors.groupBy(entity).agg(F.avg(F.abs("error")).alias("mae")).join(pressure, entity, "left")
     out = per.withColumns({"ev_ratio": F.coalesce(ratio("ev_mean", "demand_mean"), F.lit(0.0)), "industry_ratio": F.coalesce(ratio("industry_mean", "demand_mean"), F.lit(0.0)), "new_ratio": F.coalesce(ratio(F.col("ev_mean") + F.col("industry_mean"), "demand_mean"), F.lit(0.0))})
     middle = out.agg(F.median("mae").alias("median_mae"))
-    return out.crossJoin(F.broadcast(middle)).withColumn("decision", F.when(F.col("mae") <= F.col("median_mae"), "forecast_suficiente_para_diferir_capex").otherwise("forecast_insuficiente_requiere_refuerzo_o_flex"))
+    return out.crossJoin(F.broadcast(middle)).withColumn("decision", F.when(F.col("mae") <= F.col("median_mae"), DEFERRABLE).otherwise(UNCERTAIN))

@@ -20,9 +20,10 @@ def overlapping(left: DataFrame, right: DataFrame, key: str, how: str = "left",
     is near it; a pair is kept in the later of its first buckets, once. The
     right side's columns get the prefix ``r_``.
     """
-    every, width = 86_400 * days, F.lit(86_400 * days)
+    if days < 1:
+        raise ValueError("a bucket has at least one day")
+    width = F.lit(86_400 * days)
     bucket = lambda c: F.floor(F.unix_micros(c.cast("timestamp")) / F.lit(1_000_000) / width).cast("long")
-    assert every > 0
     l, r = left.withColumn("l_first", bucket(F.col("ts_start"))), right
     r = r.withColumn("ts_end", F.col("ts_end") + F.expr(slack))
     r = r.select(*(F.col(c).alias(f"r_{c}") for c in r.columns)).withColumn("r_first", bucket(F.col("r_ts_start")))
@@ -34,10 +35,10 @@ def overlapping(left: DataFrame, right: DataFrame, key: str, how: str = "left",
     return pairs if how == "inner" else pairs.unionByName(left.join(pairs, [c for c in left.columns], "left_anti"), allowMissingColumns=True)
 
 
-def overlapping_ids(left: DataFrame, right: DataFrame, key: str, slack: str = "INTERVAL 0 HOURS") -> DataFrame:
-    """The rows of ``left`` that overlap any row of ``right`` of equal ``key``."""
-    r = right.select(F.col(key).alias("o_key"), F.col("ts_start").alias("o_start"), (F.col("ts_end") + F.expr(slack)).alias("o_end"))
-    return left.join(r, (F.col(key) == F.col("o_key")) & (F.col("o_start") <= F.col("ts_end")) & (F.col("o_end") >= F.col("ts_start")), "left_semi")
+def overlapping_ids(left: DataFrame, right: DataFrame, key: str, row: str, slack: str = "INTERVAL 0 HOURS") -> DataFrame:
+    """The rows of ``left`` (``row`` tells them apart) that overlap any row of ``right`` of equal ``key``, met by buckets of days."""
+    met = overlapping(left.select(row, key, "ts_start", "ts_end"), right.select(key, "ts_start", "ts_end"), key, "inner", slack)
+    return left.join(met.select(row), row, "left_semi")
 
 
 def islands(df: DataFrame, key: list[str], at: str, seconds: int, out: str = "island") -> DataFrame:

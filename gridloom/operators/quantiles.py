@@ -11,7 +11,7 @@ BINS = 4096
 def group_percentile(df: DataFrame, group: str, value: str, share: float, out: str) -> DataFrame:
     """Add ``out``, the exact percentile of ``value`` in each row's ``group``; equal values are counted where the rows are."""
     counts = df.groupBy(group, value).agg(F.count(F.lit(1)).alias("times"))
-    return df.join(counts.groupBy(group).agg(F.percentile(value, share, "times").alias(out)), group, "left")
+    return df.join(counts.groupBy(group).agg(F.percentile(value, share, F.col("times")).alias(out)), group, "left")
 
 
 def quantiles(df: DataFrame, group: list[str], value: str, shares: dict[str, float], bins: int = BINS) -> DataFrame:

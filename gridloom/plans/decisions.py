@@ -7,8 +7,9 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.functions.exprs import known
+from gridloom.functions.exprs import known, round_away
 from gridloom.operators import anomalies, forecasting, scoring
+from gridloom.operators.ranking import numbered
 from gridloom.plans.marts import Marts
 
 
@@ -136,6 +137,13 @@ class Decisions(Marts):
         self.keep("node_features", "zone_day")
         return anomalies.union(list(self.anomaly_parts.values()))
 
+    @cached_property
+    def anomaly_ids(self) -> DataFrame:
+        """The anomalies with ids in the order of their scores, then of time."""
+        order = [round_away("score", 4, 1e-5).desc(), F.col("ts"), F.col("anomaly_type"), F.col("zone_id"), F.col("station_id").asc_nulls_first(), F.col("feeder_id").asc_nulls_first()]
+        out = numbered(self.anomalies, order, lambda df: self.once(df, "anomalies_ordered"), "nth")
+        return out.withColumn("anomaly_id", F.concat(F.lit("ANOM_"), F.lpad(F.col("nth").cast("string"), 7, "0")))
+
     @cached_property
     def precursors(self) -> DataFrame:
         self.keep("node_state", "zone_day")

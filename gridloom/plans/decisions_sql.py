@@ -17,7 +17,7 @@ tasks AS (SELECT 'demanda_zona' AS task, * FROM zone_series UNION ALL SELECT 'de
 numbered AS (SELECT *, demand AS actual, row_number() OVER (PARTITION BY task, zone_id ORDER BY day) AS rn, count(*) OVER (PARTITION BY task, zone_id) AS n FROM tasks),
 predicted AS (
   SELECT task, zone_id, day, actual, rn, n, lag(actual, 1) OVER w AS naive, coalesce(lag(actual, 7) OVER w, lag(actual, 1) OVER w) AS seasonal_naive,
-         avg(actual) OVER (w ROWS BETWEEN 14 PRECEDING AND 1 PRECEDING) AS moving_average,
+         avg(actual) OVER (w ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING) AS moving_average,
          regr_intercept(actual, rn) OVER (w ROWS BETWEEN 180 PRECEDING AND 1 PRECEDING) + regr_slope(actual, rn) OVER (w ROWS BETWEEN 180 PRECEDING AND 1 PRECEDING) * rn AS linear_trend,
          list(actual) OVER (w ROWS BETWEEN 100 PRECEDING AND 1 PRECEDING) AS past
   FROM numbered WINDOW w AS (PARTITION BY task, zone_id ORDER BY day)),

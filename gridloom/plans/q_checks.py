@@ -325,7 +325,7 @@ def cross(m: Decisions) -> DataFrame:
     capacity = d.agg(known(F.avg(F.when(F.col("demand_mw") > F.col("capacity_mw"), 1.0).otherwise(0.0))).alias("value")).withColumn("name", F.lit("over_capacity_rate"))
     highest = d.agg(F.max(ratio("demand_mw", "capacity_mw")).alias("value")).withColumn("name", F.lit("max_load_ratio"))
     flagged = m.frame("outages").where("congestion_flag")
-    met = overlapping_ids(flagged, m.frame("congestion"), "station_id").agg(F.count(F.lit(1)).alias("met"))
+    met = overlapping_ids(flagged, m.frame("congestion"), "station_id", "outage_id").agg(F.count(F.lit(1)).alias("met"))
     alone = flagged.agg(F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(met)).select(known(ratio(F.col("n") - F.col("met"), "n")).alias("value"), F.lit("unmatched_outage_rate").alias("name"))  # one row each
     c = m.frame("congestion").groupBy("station_id").agg(F.count(F.lit(1)).alias("n"))
     e = m.frame("outages").groupBy("station_id").agg(F.sum("ens_mwh").alias("ens"))

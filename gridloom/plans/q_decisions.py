@@ -8,7 +8,8 @@ from gridloom.operators import anomalies, scoring
 from gridloom.operators.forecasting import metrics
 from gridloom.operators.scoring import SCORES, URGENCY
 from gridloom.plans.decisions_sql import ALL, ANOMALY, FORECAST, TASKS
-from gridloom.plans.query import Query
+from gridloom.plans.marts_sql import rounded
+from gridloom.plans.query import NUDGE, Query
 
 SEEN = "^ts @day zone_id station_id feeder_id anomaly_type ~observed ~threshold ~score explanation"
 SEVEN = " ".join(f"~{s}:3" for s in SCORES)
@@ -29,8 +30,8 @@ QUERIES = [
     Query("fc_winner", "task model ~mae", lambda m: m.winners, "SELECT * FROM winners", more=FORECAST),
     Query("fc_error_zone", "zone_id ~mae ~rmse ~smape ~bias ~mean_actual", lambda m: m.best_zone_errors.groupBy("zone_id").agg(*metrics(), F.avg("actual").alias("mean_actual")),
           "SELECT zone_id, avg(abs(error)) AS mae, sqrt(avg(error * error)) AS rmse, avg(abs(error) / CASE WHEN abs(actual) + abs(predicted) = 0 THEN 1e-9 ELSE (abs(actual) + abs(predicted)) / 2 END) * 100 AS smape, avg(error) AS bias, avg(actual) AS mean_actual FROM errors WHERE task = 'demanda_zona' AND model = (SELECT model FROM winners WHERE task = 'demanda_zona') GROUP BY 1", more=FORECAST),
-    Query("fc_error_peak", "model ~mae_peak ~rmse_peak ~smape_peak ~bias_peak ~mae_all ~rmse_all ~smape_all ~bias_all", lambda m: m.errors.where("task = 'demanda_zona'").groupBy("model").agg(*metrics(F.dayofmonth("day") > 15, "_peak"), *metrics(None, "_all")),
-          "SELECT model, avg(abs(error)) FILTER (day(day) > 15) AS mae_peak, sqrt(avg(error * error) FILTER (day(day) > 15)) AS rmse_peak, avg(abs(error) / CASE WHEN abs(actual) + abs(predicted) = 0 THEN 1e-9 ELSE (abs(actual) + abs(predicted)) / 2 END) FILTER (day(day) > 15) * 100 AS smape_peak, avg(error) FILTER (day(day) > 15) AS bias_peak, avg(abs(error)) AS mae_all, sqrt(avg(error * error)) AS rmse_all, avg(abs(error) / CASE WHEN abs(actual) + abs(predicted) = 0 THEN 1e-9 ELSE (abs(actual) + abs(predicted)) / 2 END) * 100 AS smape_all, avg(error) AS bias_all FROM errors WHERE task = 'demanda_zona' GROUP BY 1", more=FORECAST),
+    Query("fc_error_peak", "model ~mae_peak ~rmse_peak ~smape_peak ~bias_peak ~mae_all ~rmse_all ~smape_all ~bias_all", lambda m: m.hour_peak_errors,
+          "SELECT model, avg(abs(error)) FILTER (peak) AS mae_peak, sqrt(avg(error * error) FILTER (peak)) AS rmse_peak, avg(abs(error) / CASE WHEN abs(actual) + abs(predicted) = 0 THEN 1e-9 ELSE (abs(actual) + abs(predicted)) / 2 END) FILTER (peak) * 100 AS smape_peak, avg(error) FILTER (peak) AS bias_peak, avg(abs(error)) AS mae_all, sqrt(avg(error * error)) AS rmse_all, avg(abs(error) / CASE WHEN abs(actual) + abs(predicted) = 0 THEN 1e-9 ELSE (abs(actual) + abs(predicted)) / 2 END) * 100 AS smape_all, avg(error) AS bias_all FROM hour_held_errors GROUP BY 1", more=TASKS),
     Query("fc_predictability", "zone_id ~mae ~ev_ratio ~industry_ratio ~new_ratio decision", lambda m: m.predictability, "SELECT * FROM predictability", more=FORECAST),
     Query("fc_tasks_daily", "task entity @day ~actual ~naive ~seasonal_naive ~moving_average ~linear_trend ~exp_smoothing", lambda m: m.day_forecast, "SELECT * FROM day_held", more=TASKS),
     Query("fc_tasks_benchmark", "task model ~mae ~rmse ~smape ~bias #n", lambda m: m.task_benchmark, "SELECT * FROM task_benchmark", more=TASKS),
@@ -42,6 +43,8 @@ QUERIES = [
           "SELECT model, avg(abs(error)) FILTER (peak) AS mae_peak, sqrt(avg(error * error) FILTER (peak)) AS rmse_peak, avg(abs(error) / CASE WHEN abs(actual) + abs(predicted) = 0 THEN 1e-9 ELSE (abs(actual) + abs(predicted)) / 2 END) FILTER (peak) * 100 AS smape_peak, avg(error) FILTER (peak) AS bias_peak, avg(abs(error)) AS mae_all, sqrt(avg(error * error)) AS rmse_all, avg(abs(error) / CASE WHEN abs(actual) + abs(predicted) = 0 THEN 1e-9 ELSE (abs(actual) + abs(predicted)) / 2 END) * 100 AS smape_all, avg(error) AS bias_all FROM hour_held_errors GROUP BY 1", more=TASKS),
     _part("anom_demand_z", "a_demand"), _part("anom_load_p99", "a_load"), _part("anom_curtailment", "a_curtailment"), _part("anom_ens_roll", "a_ens"), _part("anom_substation_trend", "a_station"), _part("anom_baseline_dev", "a_pattern"),
     Query("anom_union_severity", f"{SEEN} severity advice", lambda m: m.anomalies, "SELECT * FROM anomalies", more=ANOMALY),
+    Query("anom_ids", "anomaly_id #nth ^ts zone_id station_id feeder_id anomaly_type ~score severity", lambda m: m.anomaly_ids,
+          f"SELECT *, 'ANOM_' || lpad(CAST(nth AS VARCHAR), 7, '0') AS anomaly_id FROM (SELECT *, row_number() OVER (ORDER BY {rounded('score', 4, NUDGE)} DESC, ts, anomaly_type, zone_id, station_id NULLS FIRST, feeder_id NULLS FIRST) AS nth FROM anomalies)", more=ANOMALY),
     Query("anom_precursors", "^ts zone_id station_id feeder_id anomaly_type ~score severity congestion_ahead outage_ahead", lambda m: m.precursors, "SELECT * FROM precursors", more=ANOMALY),
     Query("anom_zone_intensity", "zone_id #n ~mean_score #critical ~congestion_share ~outage_share", lambda m: m.zone_intensity, "SELECT * FROM zone_intensity", more=ANOMALY),
     Query("anom_type_summary", "anomaly_type #n ~mean_score ~congestion_share ~outage_share", lambda m: anomalies.intensity(m.precursors, "anomaly_type"), "SELECT anomaly_type, count(*) AS n, avg(score) AS mean_score, avg(congestion_ahead) AS congestion_share, avg(outage_ahead) AS outage_share FROM precursors GROUP BY 1", more=ANOMALY),

@@ -150,6 +150,35 @@ def _gates(m: Decisions) -> DataFrame:
 GATES = "SELECT *, CASE WHEN failed = 0 THEN 'PASS' WHEN severity = 'alta' THEN 'FAIL' ELSE 'WARN' END AS status FROM (SELECT severity, count(*) AS checks, count_if(observed > 0) AS failed FROM (" + " UNION ALL ".join(f"SELECT '{s}' AS severity, ({q}) AS observed" for _, s, _, q in CHECKS) + ") GROUP BY 1)"
 
 
+PROBE = 5
+
+
+def _probed(m: Decisions) -> DataFrame:
+    """Whether tables have rows, from a few of them."""
+    parts = [m.table(t).limit(PROBE).agg(F.count(F.lit(1)).alias("probed")).select(F.lit(t).alias("table_name"), (F.col("probed") > 0).alias("filled"), "probed") for t in PROFILED]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+#: Kinds of column types, as both engines name them.
+KINDS = {"int": "number", "bigint": "number", "double": "number", "string": "text", "timestamp_ntz": "time", "timestamp": "time"}
+CATALOGUE = ("SELECT table_name, column_name, CASE WHEN data_type IN ('INTEGER', 'BIGINT', 'DOUBLE') THEN 'number' WHEN data_type = 'VARCHAR' THEN 'text' WHEN data_type LIKE 'TIMESTAMP%' THEN 'time' ELSE 'other' END AS kind "
+             f"FROM information_schema.columns WHERE table_name IN {tuple(PROFILED)}")
+
+
+def _catalogue(m: Decisions) -> DataFrame:
+    """Columns of the tables and their kinds, from the schemas alone."""
+    return m.spark.createDataFrame([(t, c, KINDS.get(k, "other")) for t in PROFILED for c, k in m.table(t).dtypes], "table_name string, column_name string, kind string")
+
+
+def ordered(df: DataFrame, by: str, descending: bool, tie: str) -> DataFrame:
+    """Rows with their place in an order that the caller names."""
+    order = F.col(by).desc_nulls_last() if descending else F.col(by).asc_nulls_last()
+    return df.withColumn("place", F.row_number().over(Window.orderBy(order, tie)))
+
+
 def _crossed_times(m: Decisions) -> DataFrame:
     reversed_ = lambda role: m.frame(role).agg(F.coalesce(count_if(F.col("ts_end") < F.col("ts_start")), F.lit(0)).alias("observed")).withColumn("rule", F.lit(f"{role}_reversed"))
     more = m.zone_hour.agg(F.coalesce(count_if(F.col("curtailment_mw") > F.col("generation_mw")), F.lit(0)).alias("observed")).withColumn("rule", F.lit("curtailment_over_generation"))
@@ -213,8 +242,16 @@ QUERIES = [
     _table("minmax_global_and_group", "s_suppkey ~s_acctbal_mm ~within", _scaled,
            f"SELECT s_suppkey, {_mm_sql('s_acctbal')} AS s_acctbal_mm, 100::DOUBLE * (s_acctbal - min(s_acctbal) OVER w) / (max(s_acctbal) OVER w - min(s_acctbal) OVER w + 1e-9) AS within FROM supplier WINDOW w AS (PARTITION BY s_nationkey)"),
     _table("topk_two_key", "o_custkey ~total:2 #n_orders", lambda m: _top(_buyers(m), 20, "total", 2, "n_orders", "o_custkey"), _top_sql(BUYERS, 20, "total", 2, "n_orders", "o_custkey")),
-    _table("order_case_nulls_last", "segment #n", lambda m: m.table("customer").groupBy(F.expr("nullif(c_mktsegment, 'BUILDING')").alias("segment")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.when(F.col("segment") == "MACHINERY", 1).otherwise(2), F.col("segment").asc_nulls_last()).limit(3),
-           "SELECT * FROM (SELECT nullif(c_mktsegment, 'BUILDING') AS segment, count(*) AS n FROM customer GROUP BY 1) ORDER BY CASE WHEN segment = 'MACHINERY' THEN 1 ELSE 2 END, segment ASC NULLS LAST LIMIT 3"),
+    _table("order_case_nulls_last", "segment #n #place", lambda m: m.table("customer").groupBy(F.expr("nullif(c_mktsegment, 'BUILDING')").alias("segment")).agg(F.count(F.lit(1)).alias("n")).withColumn("place", F.row_number().over(Window.orderBy(F.when(F.col("segment") == "MACHINERY", 1).otherwise(2), F.col("segment").asc_nulls_last()))),
+           "SELECT *, row_number() OVER (ORDER BY CASE WHEN segment = 'MACHINERY' THEN 1 ELSE 2 END, segment ASC NULLS LAST) AS place FROM (SELECT nullif(c_mktsegment, 'BUILDING') AS segment, count(*) AS n FROM customer GROUP BY 1)"),
+    _table("order_by_parameter", "c_custkey #place", lambda m: ordered(m.table("customer").where("c_nationkey = 3"), "c_acctbal", descending=True, tie="c_custkey"),
+           "SELECT c_custkey, row_number() OVER (ORDER BY c_acctbal DESC NULLS LAST, c_custkey) AS place FROM customer WHERE c_nationkey = 3"),
+    _table("probe_tables", "table_name filled #probed", _probed, " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) > 0 AS filled, count(*) AS probed FROM (SELECT 1 FROM {t} LIMIT {PROBE})" for t in PROFILED)),
+    _table("catalogue_columns", "table_name column_name kind", _catalogue, CATALOGUE),
+    Query("agg_pivot_hour", "zone_id " + " ".join(f"#h{h}" for h in range(24)), lambda m: m.node_state.groupBy("zone_id").pivot("hour_of_day", list(range(24))).agg(count_if(F.col("congested"))).fillna(0).toDF("zone_id", *(f"h{h}" for h in range(24))),
+          "SELECT zone_id, " + ", ".join(f"count_if(congested AND hour_of_day = {h}) AS h{h}" for h in range(24)) + " FROM node_state GROUP BY 1"),
+    _table("distinct_ordered", "value #place", lambda m: m.table("customer").where("c_mktsegment IS NOT NULL").select(F.col("c_mktsegment").alias("value")).distinct().withColumn("place", F.row_number().over(Window.orderBy("value"))),
+           "SELECT value, row_number() OVER (ORDER BY value) AS place FROM (SELECT DISTINCT c_mktsegment AS value FROM customer WHERE c_mktsegment IS NOT NULL)"),
     Query("dq_temporal_cross", "rule #observed", _crossed_times,
           "SELECT 'congestion_reversed' AS rule, count_if(ts_end < ts_start) AS observed FROM congestion UNION ALL SELECT 'outages_reversed', count_if(ts_end < ts_start) FROM outages UNION ALL SELECT 'curtailment_over_generation', count_if(curtailment_mw > generation_mw) FROM zone_hour"),
     Query("dq_release_gates", "severity #checks #failed status", _gates, GATES),

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.functions.exprs import boundaries, clamp, known, largest_name, last_wins, ratio
+from gridloom.functions.exprs import boundaries, clamp, known, largest_name, last_wins, ratio, round_away
 from gridloom.operators.intervals import overlapping_ids
 from gridloom.plans.decisions import Decisions
 from gridloom.plans.marts import OPERATION, PHYSICAL, STORAGE
+from gridloom.plans.marts_sql import rounded
 from gridloom.plans.query import Query
 
 NODE_HOUR = ["ts", "zone_id", "station_id", "feeder_id"]
@@ -76,6 +77,14 @@ def _missing(m: Decisions) -> DataFrame:
     return wanted.join(m.table("events"), "event_type", "left_anti")
 
 
+def _joined(m: Decisions) -> DataFrame:
+    """The three largest orders of each priority as text, and the number that stands in its name."""
+    place = F.row_number().over(Window.partitionBy("o_orderpriority").orderBy(F.desc("o_totalprice"), "o_orderkey"))
+    o = m.table("orders").select("o_orderpriority", "o_orderkey", "o_totalprice").withColumn("place", place)
+    kept = F.array_sort(F.collect_list(F.when(F.col("place") <= 3, F.struct("place", F.col("o_orderkey").cast("string").alias("k")))))
+    return o.groupBy("o_orderpriority").agg(F.array_join(F.transform(kept, lambda x: x["k"]), ", ").alias("leaders"), F.max(F.regexp_extract("o_orderpriority", "[0-9]+", 0).cast("int")).alias("digits"))
+
+
 QUERIES = [
     _table("scan_cast_projection", "l_orderkey line @day #qty ~price:2 discounted",
            lambda m: m.table("lineitem").select("l_orderkey", F.col("l_linenumber").cast("string").alias("line"), F.to_date("l_shipdate").alias("day"), F.floor("l_quantity").alias("qty"), F.col("l_extendedprice").alias("price"), (F.col("l_discount") > 0.05).alias("discounted")),
@@ -102,7 +111,7 @@ QUERIES = [
            "SELECT * FROM customer WHERE c_acctbal BETWEEN 0 AND 5000 AND contains(lower(concat_ws(' ', c_name, c_mktsegment)), 'build') AND c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 2)"),
     Query("join_event_hour", f"^ts {' '.join(NODE_HOUR[1:])} ~demand_mw #n_events ~energy_mwh", _event_hours,
           "SELECT d.ts, d.zone_id, d.station_id, d.feeder_id, d.demand_mw, coalesce(e.n_events, 0) AS n_events, coalesce(e.energy_mwh, 0) AS energy_mwh FROM demand d LEFT JOIN (SELECT ts, zone_id, station_id, feeder_id, count(event_id) AS n_events, sum(hour_energy_mwh) AS energy_mwh FROM event_hours GROUP BY ALL) e USING (ts, zone_id, station_id, feeder_id)"),
-    Query("semi_overlap_distinct", "outage_id station_id", lambda m: overlapping_ids(m.outages, m.events, "station_id"),
+    Query("semi_overlap_distinct", "outage_id station_id", lambda m: overlapping_ids(m.outages, m.events, "station_id", "outage_id"),
           "SELECT DISTINCT o.outage_id, o.station_id FROM outages o JOIN congestion c ON c.station_id = o.station_id AND c.ts_start <= o.ts_end AND c.ts_end >= o.ts_start"),
     Query("join_null_safe", "asset_id feeder_id ~mean_criticality #n_assets", _null_safe,
           "SELECT a.*, g.mean_criticality, g.n_assets FROM assets a JOIN (SELECT feeder_id AS of_feeder, avg(criticality) AS mean_criticality, count(*) AS n_assets FROM assets GROUP BY 1) g ON a.feeder_id IS NOT DISTINCT FROM g.of_feeder"),
@@ -128,4 +137,11 @@ QUERIES = [
     _table("fn_string_ids", "event_id code kind first_letters",
            lambda m: m.table("events").select("event_id", F.concat(F.lit("CG"), F.lpad(F.col("event_id").cast("string"), 7, "0")).alias("code"), F.upper("event_type").alias("kind"), F.substring("event_type", 1, 3).alias("first_letters")),
            "SELECT event_id, 'CG' || lpad(CAST(event_id AS VARCHAR), 7, '0') AS code, upper(event_type) AS kind, substring(event_type, 1, 3) AS first_letters FROM events"),
+    _table("fn_string_join_find", "o_orderpriority leaders #digits", _joined,
+           "SELECT o_orderpriority, string_agg(CAST(o_orderkey AS VARCHAR), ', ' ORDER BY o_totalprice DESC, o_orderkey) FILTER (place <= 3) AS leaders, CAST(max(CAST(regexp_extract(o_orderpriority, '[0-9]+', 0) AS INTEGER)) AS BIGINT) AS digits FROM (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) AS place FROM orders) GROUP BY 1"),
+    _table("fn_sha256", "c_custkey digest", lambda m: m.table("customer").select("c_custkey", F.sha2(F.concat_ws("|", "c_name", "c_mktsegment"), 256).alias("digest")), "SELECT c_custkey, sha256(concat_ws('|', c_name, c_mktsegment)) AS digest FROM customer"),
+    _table("fn_json_payload", "n_nationkey payload", lambda m: m.table("nation").select("n_nationkey", F.to_json(F.struct(F.col("n_nationkey").alias("key"), F.col("n_name").alias("name"), F.col("n_regionkey").alias("region"))).alias("payload")),
+           "SELECT n_nationkey, '{\"key\":' || n_nationkey || ',\"name\":\"' || n_name || '\",\"region\":' || n_regionkey || '}' AS payload FROM nation"),
+    _table("fn_number_format", "s_suppkey compact grouped", lambda m: m.table("supplier").select("s_suppkey", round_away("s_acctbal", 4).cast("string").alias("compact"), F.format_number(F.floor(F.abs("s_acctbal")), 0).alias("grouped")),
+           "SELECT s_suppkey, CAST(" + rounded("s_acctbal", 4) + " AS VARCHAR) AS compact, format('{:,}', CAST(floor(abs(s_acctbal)) AS BIGINT)) AS grouped FROM supplier"),
 ]

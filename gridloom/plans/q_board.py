@@ -77,7 +77,6 @@ PROFILE = (f"SELECT r.*, {_zeros}, k.tier, k.urgency_tier, k.driver, k.intervent
            f"coalesce(i.customers, 0) AS outage_customers, coalesce(n.ev_mwh, 0) AS ev_mwh, coalesce(n.industry_mwh, 0) AS industry_mwh, coalesce(n.new_mwh, 0) AS new_mwh, coalesce(n.new_ratio, 0) AS new_ratio "
            f"FROM zone_risk r LEFT JOIN ranking k USING (zone_id) LEFT JOIN ({INTERRUPTIONS}) i USING (zone_id) LEFT JOIN ({NEW_DEMAND}) n USING (zone_id)")
 
-_deferred = F.lower("decision").contains("diferir") & F.col("tier").isin("bajo", "medio")
 DEFERRED = "contains(lower(decision), 'diferir') AND tier IN ('bajo', 'medio')"
 
 
@@ -98,12 +97,13 @@ def figures(m: Decisions, zones: DataFrame) -> DataFrame:
     """One row of the board's figures over ``zones`` (rows of ``profile``)."""
     z = zones.join(_deferrable(m).select("zone_id", "deferrable_capex"), "zone_id", "left").join(m.flex_gap.select("zone_id", "gap_mw", "flex_ratio"), "zone_id", "left")
     share = lambda c: F.lit(100.0) * ratio(count_if(c), F.greatest(F.count(F.lit(1)), F.lit(1)))
+    deferred = F.lower("decision").contains("diferir") & F.col("tier").isin("bajo", "medio")
     told = F.col("n_outages") > 0  # zones without outages have no mean length
     one = z.agg(
         F.count(F.lit(1)).alias("n_zones"), known(F.sum("congested_hours"), 0).alias("congested_hours"), known(count_if(F.col("risk_score") >= CRITICAL), 0).alias("critical_zones"), known(share(F.col("risk_score") >= CRITICAL)).alias("critical_pct"),
         known(F.sum("ens_mwh")).alias("ens_mwh"), known(F.sum("customers"), 0).alias("customers"), known(F.avg("mean_max_load")).alias("mean_load"), known(share(F.col("mean_max_load") > 1)).alias("overloaded_pct"),
         known(F.sum("risk_cost")).alias("risk_cost"), known(F.sum("capex_total")).alias("capex_total"), known(F.sum("deferrable_capex")).alias("deferrable_capex"), known(F.avg(F.when(told, F.col("mean_minutes")))).alias("saidi"),
-        known(F.sum("n_outages"), 0).alias("n_outages"), (F.lit(100.0) - F.avg("resilience_risk_score")).alias("resilience"), known(count_if(_deferred), 0).alias("deferrable_decisions"),
+        known(F.sum("n_outages"), 0).alias("n_outages"), (F.lit(100.0) - F.avg("resilience_risk_score")).alias("resilience"), known(count_if(deferred), 0).alias("deferrable_decisions"),
         known(F.sum("new_mwh")).alias("new_mwh"), known(F.avg("new_ratio")).alias("new_ratio"), known(F.avg("gap_mw")).alias("mean_gap_mw"), known(F.avg("flex_ratio")).alias("flex_ratio"))
     return one.withColumns({"deferrable_pct": F.lit(100.0) * F.col("deferrable_capex") / F.greatest(F.col("capex_total"), F.lit(1.0)), "saifi": known(F.lit(1000.0) * ratio("n_outages", "customers")), "resilience": known("resilience")})
 

@@ -42,8 +42,17 @@ def _one(df: DataFrame, **observed: Column) -> DataFrame:
     return one.select(F.explode(F.array(*(F.struct(F.lit(k).alias("rule"), F.col(k).alias("observed")) for k in observed))).alias("r")).select("r.*")
 
 
-_wrong_tier = reduce(lambda a, b: a | b, (((F.lit(True) if lo is None else F.col("priority") >= lo) & (F.lit(True) if hi is None else F.col("priority") < hi) & (F.col("tier") != t)) for t, (lo, hi) in TIERS.items()))
-_out = reduce(lambda a, b: a | b, (~F.col(c).between(0, 100) for c in (*SCORES, "priority")))
+def wrong_tier() -> Column:
+    """Whether a row's tier isn't that of its priority."""
+    at_least = lambda x: F.lit(True) if x is None else F.col("priority") >= x
+    below = lambda x: F.lit(True) if x is None else F.col("priority") < x
+    return reduce(lambda a, b: a | b, (at_least(lo) & below(hi) & (F.col("tier") != t) for t, (lo, hi) in TIERS.items()))
+
+
+def out_of_range() -> Column:
+    return reduce(lambda a, b: a | b, (~F.col(c).between(0, 100) for c in (*SCORES, "priority")))
+
+
 #: Area, severity and highest allowed value of each rule (``None``: at least ``LEAST_ROWS``).
 RULES: dict[str, tuple[str, str, float | None]] = {
     "row_count_demand": ("generation", "alta", None),
@@ -90,7 +99,7 @@ def rules(m: Decisions) -> DataFrame:
         _one(m.outage_overlaps, flagged_without_overlap=bad(F.col("congestion_flag") & ~F.col("overlap_flag"))),
         _one(m.frame("generation"), curtailment_over_generation=bad(F.col("curtailment_mw") > F.col("generation_mw"))),
         _one(m.zone_month.join(m.ranking.select("zone_id"), "zone_id", "left_anti"), zones_without_score=F.count(F.lit(1))),
-        _one(m.ranking, scores_out_of_range=bad(_out), tier_mismatch=bad(_wrong_tier), critical_without_action=bad((F.col("tier") == "critico") & (F.col("intervention") == "monitorizar"))),
+        _one(m.ranking, scores_out_of_range=bad(out_of_range()), tier_mismatch=bad(wrong_tier()), critical_without_action=bad((F.col("tier") == "critico") & (F.col("intervention") == "monitorizar"))),
         _one(_deferrable(m), deferrable_over_grid=bad(F.col("deferrable_capex") > F.col("capex_grid"))),
     ]
     return _judged(reduce(DataFrame.unionByName, parts))

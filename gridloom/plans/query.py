@@ -32,8 +32,9 @@ class Query:
     def items(self) -> list[tuple[str, str, int]]:
         return [(m[1], m[2], int(m[3] or 4)) for m in map(ITEM.match, self.columns.split())]
 
-    def run(self, spark: SparkSession, sf_dir: str) -> DataFrame:
-        df, out = self.plan(Decisions(spark, sf_dir)), []
+    def run(self, spark: SparkSession, sf_dir: str, layers: Decisions | None = None) -> DataFrame:
+        """The query's result; queries that get the same ``layers`` share what these have kept."""
+        df, out = self.plan(layers or Decisions(spark, sf_dir)), []
         for kind, name, digits in self.items():
             c = F.col(name)
             c = {"~": lambda c=c, d=digits: round_away(c.cast("double"), d, NUDGE), "#": lambda c=c: c.cast("long"), "@": lambda c=c: F.date_format(c, "yyyy-MM-dd"), "^": lambda c=c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")}.get(kind, lambda c=c: c)()

@@ -7,26 +7,24 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# The columns and types of the fifteen files (s string, i int, l bigint, d double, t timestamp, D date, b boolean).
+# The columns and types of the fifteen files.
 FILES: dict[str, str] = {
-    "zonas_red": "zona_id:s zona_nombre:s comunidad_autonoma:s provincia:s tipo_zona:s region_operativa:s densidad_demanda:d penetracion_generacion_distribuida:d criticidad_territorial:d potencial_flexibilidad:d riesgo_climatico:d tension_crecimiento_demanda:d",
-    "subestaciones": "subestacion_id:s zona_id:s nombre_subestacion:s capacidad_mw:d capacidad_firme_mw:d antiguedad_anios:i indice_criticidad:d digitalizacion_nivel:d redundancia_nivel:d",
-    "alimentadores": "alimentador_id:s subestacion_id:s tipo_red:s capacidad_mw:d longitud_km:d nivel_perdidas_estimado:d exposicion_climatica:d carga_base_esperada:d criticidad_operativa:d",
-    "demanda_horaria": "timestamp:t zona_id:s subestacion_id:s alimentador_id:s demanda_mw:d demanda_reactiva_proxy:d temperatura:d humedad:d tipo_dia:s mes:i hora:i factor_estacional:d hora_punta_flag:b tension_sistema_proxy:d",
-    "generacion_distribuida": "timestamp:t zona_id:s tecnologia:s capacidad_instalada_mw:d generacion_mw:d autoconsumo_estimado_mw:d vertido_estimado_mw:d curtailment_estimado_mw:d",
-    "demanda_ev": "timestamp:t zona_id:s tipo_recarga:s demanda_ev_mw:d penetracion_ev:d horario_recarga_dominante:s",
-    "demanda_electrificacion_industrial": "timestamp:t zona_id:s cluster_industrial:s demanda_industrial_adicional_mw:d perfil_operativo:s elasticidad_flexibilidad_proxy:d",
-    "eventos_congestion": "evento_id:s timestamp_inicio:t timestamp_fin:t zona_id:s subestacion_id:s alimentador_id:s severidad:s energia_afectada_mwh:d carga_relativa_max:d causa_principal:s impacto_servicio_flag:b",
-    "interrupciones_servicio": "interrupcion_id:s timestamp_inicio:t timestamp_fin:t zona_id:s subestacion_id:s clientes_afectados:l energia_no_suministrada_mwh:d causa:s nivel_severidad:s relacion_congestion_flag:b",
-    "activos_red": "activo_id:s tipo_activo:s subestacion_id:s alimentador_id:s edad_anios:i estado_salud:d probabilidad_fallo_proxy:d criticidad:d capex_reposicion_estimado:d opex_mantenimiento_estimado:d",
-    "recursos_flexibilidad": "recurso_id:s zona_id:s tipo_recurso:s capacidad_flexible_mw:d coste_activacion_eur_mwh:d tiempo_respuesta_min:i disponibilidad_media:d fiabilidad_activacion:d madurez_operativa:d",
-    "almacenamiento_distribuido": "storage_id:s zona_id:s capacidad_energia_mwh:d capacidad_potencia_mw:d eficiencia_roundtrip:d coste_operacion_proxy:d disponibilidad_media:d",
-    "intervenciones_operativas": "intervencion_id:s zona_id:s tipo_intervencion:s capacidad_alivio_estimado_mw:d coste_estimado:d tiempo_despliegue_dias:i complejidad_operativa:d",
-    "inversiones_posibles": "inversion_id:s zona_id:s tipo_inversion:s capex_estimado:d opex_incremental_estimado:d reduccion_riesgo_esperada:d aumento_capacidad_esperado:d horizonte_meses:i facilidad_implementacion:d impacto_resiliencia:d",
-    "escenario_macro": "fecha:D escenario:s crecimiento_demanda_indice:d penetracion_ev_indice:d electrificacion_industrial_indice:d presion_capex_indice:d",
+    "zonas_red": "zona_id string, zona_nombre string, comunidad_autonoma string, provincia string, tipo_zona string, region_operativa string, densidad_demanda double, penetracion_generacion_distribuida double, criticidad_territorial double, potencial_flexibilidad double, riesgo_climatico double, tension_crecimiento_demanda double",
+    "subestaciones": "subestacion_id string, zona_id string, nombre_subestacion string, capacidad_mw double, capacidad_firme_mw double, antiguedad_anios int, indice_criticidad double, digitalizacion_nivel double, redundancia_nivel double",
+    "alimentadores": "alimentador_id string, subestacion_id string, tipo_red string, capacidad_mw double, longitud_km double, nivel_perdidas_estimado double, exposicion_climatica double, carga_base_esperada double, criticidad_operativa double",
+    "demanda_horaria": "timestamp timestamp_ntz, zona_id string, subestacion_id string, alimentador_id string, demanda_mw double, demanda_reactiva_proxy double, temperatura double, humedad double, tipo_dia string, mes int, hora int, factor_estacional double, hora_punta_flag boolean, tension_sistema_proxy double",
+    "generacion_distribuida": "timestamp timestamp_ntz, zona_id string, tecnologia string, capacidad_instalada_mw double, generacion_mw double, autoconsumo_estimado_mw double, vertido_estimado_mw double, curtailment_estimado_mw double",
+    "demanda_ev": "timestamp timestamp_ntz, zona_id string, tipo_recarga string, demanda_ev_mw double, penetracion_ev double, horario_recarga_dominante string",
+    "demanda_electrificacion_industrial": "timestamp timestamp_ntz, zona_id string, cluster_industrial string, demanda_industrial_adicional_mw double, perfil_operativo string, elasticidad_flexibilidad_proxy double",
+    "eventos_congestion": "evento_id string, timestamp_inicio timestamp_ntz, timestamp_fin timestamp_ntz, zona_id string, subestacion_id string, alimentador_id string, severidad string, energia_afectada_mwh double, carga_relativa_max double, causa_principal string, impacto_servicio_flag boolean",
+    "interrupciones_servicio": "interrupcion_id string, timestamp_inicio timestamp_ntz, timestamp_fin timestamp_ntz, zona_id string, subestacion_id string, clientes_afectados bigint, energia_no_suministrada_mwh double, causa string, nivel_severidad string, relacion_congestion_flag boolean",
+    "activos_red": "activo_id string, tipo_activo string, subestacion_id string, alimentador_id string, edad_anios int, estado_salud double, probabilidad_fallo_proxy double, criticidad double, capex_reposicion_estimado double, opex_mantenimiento_estimado double",
+    "recursos_flexibilidad": "recurso_id string, zona_id string, tipo_recurso string, capacidad_flexible_mw double, coste_activacion_eur_mwh double, tiempo_respuesta_min int, disponibilidad_media double, fiabilidad_activacion double, madurez_operativa double",
+    "almacenamiento_distribuido": "storage_id string, zona_id string, capacidad_energia_mwh double, capacidad_potencia_mw double, eficiencia_roundtrip double, coste_operacion_proxy double, disponibilidad_media double",
+    "intervenciones_operativas": "intervencion_id string, zona_id string, tipo_intervencion string, capacidad_alivio_estimado_mw double, coste_estimado double, tiempo_despliegue_dias int, complejidad_operativa double",
+    "inversiones_posibles": "inversion_id string, zona_id string, tipo_inversion string, capex_estimado double, opex_incremental_estimado double, reduccion_riesgo_esperada double, aumento_capacidad_esperado double, horizonte_meses int, facilidad_implementacion double, impacto_resiliencia double",
+    "escenario_macro": "fecha date, escenario string, crecimiento_demanda_indice double, penetracion_ev_indice double, electrificacion_industrial_indice double, presion_capex_indice double",
 }
-TYPES = {"s": "string", "i": "int", "l": "bigint", "d": "double", "t": "timestamp_ntz", "D": "date", "b": "boolean"}
-
 #: Role, its file, and the plan's column for each of the file's columns that it uses.
 FRAMES: dict[str, tuple[str, dict[str, str]]] = {
     "zones": ("zonas_red", {"zona_id": "zone_id", "zona_nombre": "zone_name", "region_operativa": "region", "tipo_zona": "zone_type", "criticidad_territorial": "criticality", "potencial_flexibilidad": "flex_potential", "riesgo_climatico": "climate_risk", "tension_crecimiento_demanda": "growth_tension"}),
@@ -48,7 +46,12 @@ FRAMES: dict[str, tuple[str, dict[str, str]]] = {
 
 def schema(table: str) -> str:
     """The declared schema of a file."""
-    return ", ".join(f"`{n}` {TYPES[t]}" for n, t in (c.split(":") for c in FILES[table].split()))
+    return FILES[table].replace("timestamp timestamp_ntz", "`timestamp` timestamp_ntz")
+
+
+def describe(tables: Iterable[str] = FILES) -> list[tuple[str, str, str]]:
+    """Table, column and type of every declared column."""
+    return [(t, *c.split(" ")) for t in tables for c in FILES[t].split(", ")]
 
 
 def read_csv(spark: SparkSession, folder: str, table: str) -> DataFrame:

@@ -8,8 +8,9 @@ recall at the threshold; band hashes are shuffled, and representatives that
 share one are candidates of each other.
 
 Candidates are never written out as pairs. Of the band buckets that a
-representative shares with others the fullest is its home. A home's texts are
-cut into blocks of at most about ``BLOCK`` texts and ``BLOCK_GRAMS`` n-grams, and
+representative shares with others the fullest is its own; its home is the
+fullest of the own buckets of those that it shares a bucket with. A home's texts
+are cut into blocks of at most about ``BLOCK`` texts and ``BLOCK_GRAMS`` n-grams, and
 two blocks (or a block and itself) meet in a task where some bucket has texts
 of both. Each representative has one block, so each pair of texts that share a
 bucket meets exactly once, is verified on full sets, and no link between
@@ -181,12 +182,16 @@ def _tied(n: int, i: np.ndarray, j: np.ndarray) -> list[int]:
 
 def blocks(buckets: DataFrame, block: int = BLOCK, block_grams: int = BLOCK_GRAMS) -> tuple[DataFrame, DataFrame]:
     """From ``rep, grams, band, hash``: each representative's block (``rep, blk``), and the blocks that meet (``lo, hi``)."""
-    full = buckets.groupBy("band", "hash").agg(F.count(F.lit(1)).alias("n"), F.sum("grams").alias("all_grams")).where("n > 1")
+    full = buckets.groupBy("band", "hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     # another column's order, so that the join deals both sides anew and a very common hash can be split
-    shared = stored(buckets.join(full.repartition("n", "hash"), ["band", "hash"]).select("rep", "band", "hash", "n", "all_grams"), "shared")
-    homes = shared.groupBy("rep").agg(F.max(F.struct("n", "band", "hash", "all_grams")).alias("h"))
-    parts = F.greatest(F.ceil(F.col("h.n") / F.lit(block)), F.ceil(F.col("h.all_grams") / F.lit(block_grams)))
-    homes = stored(homes.select("rep", F.xxhash64("h.band", "h.hash", F.pmod(F.xxhash64("rep"), parts)).alias("blk")), "homes")
+    shared = stored(buckets.join(full.repartition("n", "hash"), ["band", "hash"]).select("rep", "grams", "band", "hash", "n"), "shared")
+    own = shared.groupBy("rep").agg(F.max(F.struct("n", "band", "hash")).alias("own"))
+    # the members of a dense group have different fullest buckets; each takes the fullest one of those it shares a bucket with
+    best = shared.join(own, "rep").groupBy("band", "hash").agg(F.max("own").alias("best"))
+    labels = shared.join(best.repartition("best"), ["band", "hash"]).groupBy("rep").agg(F.max("best").alias("home"), F.max("grams").alias("grams"))
+    size = labels.groupBy("home").agg(F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(block)), F.ceil(F.sum("grams") / F.lit(block_grams))).alias("parts"))
+    homes = labels.join(size.repartition("parts", "home"), "home")
+    homes = stored(homes.select("rep", F.xxhash64("home", F.pmod(F.xxhash64("rep"), F.col("parts"))).alias("blk")), "homes")
     there = shared.select("rep", "band", "hash").join(homes, "rep").select("band", "hash", "blk").distinct()
     other = there.select("band", "hash", F.col("blk").alias("hi"))
     meet = there.withColumnRenamed("blk", "lo").join(other, ["band", "hash"]).where("lo <= hi").select("lo", "hi").distinct()

@@ -142,9 +142,10 @@ class Marts:
         capacity = capacity.groupBy("zone_id").agg(F.sum("capacity_mw").alias("feeders_mw"), F.sum("s_mw").alias("stations_mw"), F.sum("firm_mw").alias("stations_firm_mw"))
         flex = self.frame("flexibility").groupBy("zone_id").agg(F.sum("flex_mw").alias("flex_mw"), ratio(F.sum(F.col("cost_eur_mwh") * F.col("flex_mw")), F.sum("flex_mw")).alias("flex_cost"), F.avg("availability").alias("flex_availability"))
         store = self.frame("storage").groupBy("zone_id").agg(F.sum("power_mw").alias("storage_mw"), F.sum("energy_mwh").alias("storage_mwh"), F.avg("availability").alias("storage_availability"))
-        invest = self.frame("investments").groupBy("zone_id").agg(F.sum("capex").alias("capex_total"), F.sum("capacity_gain").alias("gain_total_mw"), F.avg("horizon_months").alias("mean_horizon"))
+        invest = self.frame("investments").groupBy("zone_id").agg(F.sum("capex").alias("capex_total"), F.sum("capacity_gain").alias("gain_total_mw"), F.avg("horizon_months").alias("mean_horizon"), F.avg("ease").alias("mean_ease"), F.avg("resilience").alias("mean_resilience"))
+        operate = self.frame("interventions").groupBy("zone_id").agg(F.sum("relief_mw").alias("relief_mw"), F.avg("cost").alias("intervention_cost"), F.avg("days").alias("deploy_days"), F.avg("complexity").alias("complexity"))
         out = self.frame("zones")
-        for part in (peak, capacity, flex, store, invest):
+        for part in (peak, capacity, flex, store, operate, invest):
             out = out.join(part, "zone_id", "left")
         figures = [c for c in out.columns if c not in self.frame("zones").columns]
         out = out.withColumns({c: known(c) for c in figures})

@@ -45,7 +45,8 @@ flex_zone AS (
   SELECT z.*, coalesce(p.peak_mw, 0) AS peak_mw, coalesce(p.mean_mw, 0) AS mean_mw, coalesce(c.feeders_mw, 0) AS feeders_mw, coalesce(c.stations_mw, 0) AS stations_mw,
          coalesce(c.stations_firm_mw, 0) AS stations_firm_mw, coalesce(f.flex_mw, 0) AS flex_mw, coalesce(f.flex_cost, 0) AS flex_cost, coalesce(f.flex_availability, 0) AS flex_availability,
          coalesce(s.storage_mw, 0) AS storage_mw, coalesce(s.storage_mwh, 0) AS storage_mwh, coalesce(s.storage_availability, 0) AS storage_availability,
-         coalesce(v.capex_total, 0) AS capex_total, coalesce(v.gain_total_mw, 0) AS gain_total_mw, coalesce(v.mean_horizon, 0) AS mean_horizon,
+         coalesce(v.capex_total, 0) AS capex_total, coalesce(v.gain_total_mw, 0) AS gain_total_mw, coalesce(v.mean_horizon, 0) AS mean_horizon, coalesce(v.mean_ease, 0) AS mean_ease, coalesce(v.mean_resilience, 0) AS mean_resilience,
+         coalesce(o.relief_mw, 0) AS relief_mw, coalesce(o.intervention_cost, 0) AS intervention_cost, coalesce(o.deploy_days, 0) AS deploy_days, coalesce(o.complexity, 0) AS complexity,
          coalesce(f.flex_mw, 0) + coalesce(s.storage_mw, 0) * coalesce(s.storage_availability, 0) AS support_mw,
          (coalesce(f.flex_mw, 0) + coalesce(s.storage_mw, 0) * coalesce(s.storage_availability, 0)) / nullif(coalesce(p.peak_mw, 0), 0) AS coverage_ratio
   FROM zones z
@@ -53,7 +54,8 @@ flex_zone AS (
   LEFT JOIN (SELECT s.zone_id, sum(f.capacity_mw) AS feeders_mw, sum(s.capacity_mw) AS stations_mw, sum(s.firm_mw) AS stations_firm_mw FROM substations s JOIN feeders f USING (station_id) GROUP BY 1) c USING (zone_id)
   LEFT JOIN (SELECT zone_id, sum(flex_mw) AS flex_mw, sum(cost_eur_mwh * flex_mw) / nullif(sum(flex_mw), 0) AS flex_cost, avg(availability) AS flex_availability FROM flexibility GROUP BY 1) f USING (zone_id)
   LEFT JOIN (SELECT zone_id, sum(power_mw) AS storage_mw, sum(energy_mwh) AS storage_mwh, avg(availability) AS storage_availability FROM storage GROUP BY 1) s USING (zone_id)
-  LEFT JOIN (SELECT zone_id, sum(capex) AS capex_total, sum(capacity_gain) AS gain_total_mw, avg(horizon_months) AS mean_horizon FROM investments GROUP BY 1) v USING (zone_id)),
+  LEFT JOIN (SELECT zone_id, sum(capex) AS capex_total, sum(capacity_gain) AS gain_total_mw, avg(horizon_months) AS mean_horizon, avg(ease) AS mean_ease, avg(resilience) AS mean_resilience FROM investments GROUP BY 1) v USING (zone_id)
+  LEFT JOIN (SELECT zone_id, sum(relief_mw) AS relief_mw, avg(cost) AS intervention_cost, avg(days) AS deploy_days, avg(complexity) AS complexity FROM interventions GROUP BY 1) o USING (zone_id)),
 node_state AS (
   SELECT n.*, f.criticality, f.growth_tension, f.flex_mw, f.storage_mw, f.storage_availability, f.support_mw, f.flex_cost,
          coalesce(e.n_events, 0) AS n_events, coalesce(e.max_rank, 0) AS max_rank, coalesce(e.event_energy_mwh, 0) AS event_energy_mwh, CAST(n.ts AS DATE) AS day,

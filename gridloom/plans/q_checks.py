@@ -200,7 +200,7 @@ READY_SQL = (f"SELECT *, {_states} FROM (SELECT *, CASE WHEN n_high > 0 THEN 'FA
 #: Key columns of each role.
 KEYS = {
     "zones": ("zone_id",), "substations": ("station_id",), "feeders": ("feeder_id",), "demand": ("ts", "zone_id", "station_id", "feeder_id"), "generation": ("ts", "zone_id", "technology"), "ev": ("ts", "zone_id", "charging_type"),
-    "industry": ("ts", "zone_id", "cluster"), "congestion": ("event_id",), "outages": ("outage_id",), "assets": ("asset_id",), "flexibility": ("resource_id",), "storage": ("storage_id",), "investments": ("investment_id",), "macro": ("day_no", "scenario"),
+    "industry": ("ts", "zone_id", "cluster"), "congestion": ("event_id",), "outages": ("outage_id",), "assets": ("asset_id",), "flexibility": ("resource_id",), "storage": ("storage_id",), "interventions": ("intervention_id",), "investments": ("investment_id",), "macro": ("day_no", "scenario"),
 }
 #: The column of time whose first and last value a table covers.
 TIMES = {"demand": "ts", "generation": "ts", "ev": "ts", "industry": "ts", "congestion": "ts_start", "outages": "ts_start"}
@@ -209,7 +209,7 @@ COLUMNS = {role: [("day_no" if c == "day" else c) for c in names.values()] for r
 NUMERIC = {
     "zones": ("criticality", "climate_risk", "growth_tension"), "substations": ("capacity_mw", "firm_mw", "age_years"), "feeders": ("capacity_mw", "climate_exposure"), "demand": ("demand_mw", "temperature", "voltage"), "generation": ("generation_mw", "curtailment_mw"),
     "ev": ("ev_mw",), "industry": ("industry_mw",), "congestion": ("energy_mwh",), "outages": ("customers", "ens_mwh"), "assets": ("age_years", "health", "failure_p", "capex"), "flexibility": ("flex_mw", "cost_eur_mwh"), "storage": ("energy_mwh", "power_mw"),
-    "investments": ("capex", "horizon_months"), "macro": ("growth_index",),
+    "interventions": ("relief_mw", "cost", "days"), "investments": ("capex", "horizon_months"), "macro": ("growth_index",),
 }
 #: Columns of names, whose distinct values are counted.
 NAMES = {"zones": ("zone_type", "region"), "feeders": ("grid_type",), "demand": ("day_type",), "generation": ("technology",), "congestion": ("severity",), "outages": ("severity",), "assets": ("asset_type",), "investments": ("investment_type",), "macro": ("scenario",)}

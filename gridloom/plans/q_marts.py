@@ -12,7 +12,7 @@ QUERIES = [
     Query("join_fact_zonehour", f"^ts {NODE} ~demand_mw ~demand_share:6 ~load_ratio ~ev_alloc_mw ~industry_alloc_mw ~generation_alloc_mw ~curtailment_alloc_mw ~net_load_mw ~overload_mw", lambda m: m.node_load, "SELECT * FROM node_load"),
     Query("lateral_hour_expand", "event_id ^ts zone_id station_id feeder_id severity #severity_rank ~hour_energy_mwh", lambda m: m.event_hours, "SELECT * FROM event_hours"),
     Query("join_interval_overlap", "outage_id zone_id station_id severity #severity_rank #minutes #n_events #max_event_rank ~event_energy_mwh overlap_flag", lambda m: m.outage_overlaps, "SELECT * FROM outage_overlaps"),
-    Query("flexibility_zone", "zone_id zone_name region ~peak_mw ~mean_mw ~feeders_mw ~stations_mw ~stations_firm_mw ~flex_mw ~flex_cost ~flex_availability ~storage_mw ~storage_mwh ~storage_availability ~capex_total:2 ~gain_total_mw ~mean_horizon ~support_mw ~coverage_ratio", lambda m: m.flex_zone, "SELECT * FROM flex_zone"),
+    Query("flexibility_zone", "zone_id zone_name region ~peak_mw ~mean_mw ~feeders_mw ~stations_mw ~stations_firm_mw ~flex_mw ~flex_cost ~flex_availability ~storage_mw ~storage_mwh ~storage_availability ~capex_total:2 ~gain_total_mw ~mean_horizon ~mean_ease ~mean_resilience ~relief_mw ~intervention_cost:2 ~deploy_days ~complexity ~support_mw ~coverage_ratio", lambda m: m.flex_zone, "SELECT * FROM flex_zone"),
     Query("mart_node_state", f"^ts @day {NODE} grid_type ~demand_mw ~capacity_mw ~load_ratio ~net_load_mw ~net_load_ratio ~overload_mw ~ev_alloc_mw ~industry_alloc_mw ~generation_alloc_mw ~curtailment_alloc_mw ~flex_cover_mw ~storage_cover_mw ~critical_mw #n_events #max_rank ~event_energy_mwh ~temperature day_type hour_of_day peak_flag ~voltage ~growth_index high_load congested climate_stress voltage_stress stressed", lambda m: m.node_state, "SELECT * FROM node_state"),
     Query("mart_zone_day", "@day zone_id zone_name region zone_type ~demand_mwh ~net_load_mwh ~peak_mw ~max_load_ratio #high_load_hours #congested_hours #stressed_hours ~event_energy_mwh ~curtailment_mwh ~ev_mwh ~industry_mwh ~flex_cover_mw ~storage_cover_mw ~flex_gap_mwh ~flex_cost #n_outages #customers ~ens_mwh ~mean_minutes #overlapping_outages", lambda m: m.zone_day, "SELECT * FROM zone_day"),
     Query("mart_zone_month", "@month zone_id zone_name zone_type region ~demand_mwh ~net_load_mwh ~peak_mw ~max_load_ratio #high_load_hours #congested_hours #stressed_hours ~event_energy_mwh ~curtailment_mwh ~ev_mwh ~industry_mwh ~flex_cover_mw ~flex_gap_mwh ~flex_cost #n_outages #customers ~ens_mwh ~mean_minutes ~criticality ~climate_risk ~growth_tension", lambda m: m.zone_month, "SELECT * FROM zone_month"),

@@ -39,6 +39,7 @@ FRAMES: dict[str, tuple[str, dict[str, str]]] = {
     "assets": ("activos_red", {"activo_id": "asset_id", "tipo_activo": "asset_type", "subestacion_id": "station_id", "alimentador_id": "feeder_id", "edad_anios": "age_years", "estado_salud": "health", "probabilidad_fallo_proxy": "failure_p", "criticidad": "criticality", "capex_reposicion_estimado": "capex"}),
     "flexibility": ("recursos_flexibilidad", {"recurso_id": "resource_id", "zona_id": "zone_id", "capacidad_flexible_mw": "flex_mw", "coste_activacion_eur_mwh": "cost_eur_mwh", "disponibilidad_media": "availability"}),
     "storage": ("almacenamiento_distribuido", {"storage_id": "storage_id", "zona_id": "zone_id", "capacidad_energia_mwh": "energy_mwh", "capacidad_potencia_mw": "power_mw", "disponibilidad_media": "availability"}),
+    "interventions": ("intervenciones_operativas", {"intervencion_id": "intervention_id", "zona_id": "zone_id", "capacidad_alivio_estimado_mw": "relief_mw", "coste_estimado": "cost", "tiempo_despliegue_dias": "days", "complejidad_operativa": "complexity"}),
     "investments": ("inversiones_posibles", {"inversion_id": "investment_id", "zona_id": "zone_id", "tipo_inversion": "investment_type", "capex_estimado": "capex", "reduccion_riesgo_esperada": "risk_reduction", "aumento_capacidad_esperado": "capacity_gain", "horizonte_meses": "horizon_months", "facilidad_implementacion": "ease", "impacto_resiliencia": "resilience"}),
     "macro": ("escenario_macro", {"fecha": "day", "escenario": "scenario", "crecimiento_demanda_indice": "growth_index", "penetracion_ev_indice": "ev_index"}),
 }

@@ -69,6 +69,10 @@ ROLES: dict[str, tuple[tuple[str, ...], str]] = {
         SELECT s_suppkey AS storage_id, CAST(s_nationkey AS BIGINT) AS zone_id, abs(s_acctbal) / 200 AS energy_mwh, abs(s_acctbal) / 800 AS power_mw,
                (60 + s_suppkey % 40) / CAST(100 AS DOUBLE) AS availability
         FROM {supplier} WHERE s_suppkey % 3 = 0"""),
+    "interventions": (("supplier",), """
+        SELECT s_suppkey AS intervention_id, CAST(s_nationkey AS BIGINT) AS zone_id, abs(s_acctbal) / 400 AS relief_mw, abs(s_acctbal) * 20 AS cost,
+               CAST(30 + s_suppkey % 90 AS INT) AS days, (s_suppkey * 7 % 100) / CAST(100 AS DOUBLE) AS complexity
+        FROM {supplier} WHERE s_suppkey % 2 = 0"""),
     "investments": (("part",), """
         SELECT p_partkey AS investment_id, p_partkey % 25 AS zone_id,
                CASE p_type WHEN 'STANDARD' THEN 'nuevo_alimentador' WHEN 'PROMO' THEN 'repotenciacion_subestacion' WHEN 'LARGE' THEN 'almacenamiento_red'

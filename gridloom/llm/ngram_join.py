@@ -188,7 +188,7 @@ def blocks(buckets: DataFrame, block: int = BLOCK, block_grams: int = BLOCK_GRAM
     own = shared.groupBy("rep").agg(F.max(F.struct("n", "band", "hash")).alias("own"))
     # the members of a dense group have different fullest buckets; each takes the fullest one of those it shares a bucket with
     best = shared.join(own, "rep").groupBy("band", "hash").agg(F.max("own").alias("best"))
-    labels = shared.join(best.repartition("best"), ["band", "hash"]).groupBy("rep").agg(F.max("best").alias("home"), F.max("grams").alias("grams"))
+    labels = shared.join(best.repartition("hash", "best"), ["band", "hash"]).groupBy("rep").agg(F.max("best").alias("home"), F.max("grams").alias("grams"))
     size = labels.groupBy("home").agg(F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(block)), F.ceil(F.sum("grams") / F.lit(block_grams))).alias("parts"))
     homes = labels.join(size.repartition("parts", "home"), "home")
     homes = stored(homes.select("rep", F.xxhash64("home", F.pmod(F.xxhash64("rep"), F.col("parts"))).alias("blk")), "homes")

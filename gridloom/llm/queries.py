@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_temporal_url_lists": url_lists.OP6_SQL}
+    return {"op4_systematic_mixing": mixing.OP4_SQL, "op6_temporal_url_lists": url_lists.OP6_SQL}

@@ -1,6 +1,8 @@
 import re
 from collections import defaultdict
 
+import duckdb
+
 from gridloom.llm import mixing
 
 
@@ -40,6 +42,15 @@ def test_targets_and_taken(spark, folder, docs):
     assert sorted(map(tuple, rows)) == sorted(map(tuple, mixing.op4(spark, folder).collect()))
 
 
+def test_query_is_its_sql(spark, folder, nothing):
+    for place in (folder, nothing):
+        con = duckdb.connect()
+        con.sql(f"CREATE VIEW documents AS SELECT * FROM '{place}/documents.parquet/*.parquet'")
+        df = mixing.op4(spark, place)
+        want = con.sql(f"SELECT {', '.join(df.columns)} FROM ({mixing.OP4_SQL})").fetchall()
+        assert sorted(map(tuple, df.collect()), key=str) == sorted(want, key=str)
+
+
 def test_each_document_gets_its_expectation_rounded(spark, folder):
     for r in mixing.op4(spark, folder).collect():
         e = r.target / r.source_size if r.source_size else 0

@@ -40,3 +40,17 @@ def test_stages_one_by_one(spark, tmp_path):
             assert Counter(r.doc_id for r in got if r.piece == 0) == Counter(r.doc_id for r in before)
     assert corpus_pipeline.run(spark, sf).count() == len(got)
     assert [s for s, _ in corpus_pipeline.STAGES] == ["quality_classifier", "ngram_jaccard_join", "source_mixing", "best_fit_packing"]
+
+
+def test_stages_on_nothing_and_on_odd_columns(spark, tmp_path, nothing):
+    assert corpus_pipeline.run(spark, nothing).count() == 0
+    rows, labels = corpus(60)
+    rows = [*rows, (None, None, None, None, None), (9001, None, "en", None, 0), (9002, "", None, "b", 0), (9002, "", None, "b", 0), (None, "some words without an id", "en", "a", 24)]
+    sf = data.write(spark, tmp_path / "odd", rows, labels)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").selectExpr("*", "1 as Size", "2 as copies", "3 as class_id", "'s' as score", "4 as piece", "5 as sequence_id", "6 as stats", "7 as bands", "8 as in_0")
+    columns = docs.columns
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, sf).write.parquet(f"{tmp_path}/odd-{i}")
+        docs = spark.read.parquet(f"{tmp_path}/odd-{i}")
+        assert docs.columns == columns or i == 3
+    assert docs.count() > 0

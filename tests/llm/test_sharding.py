@@ -53,6 +53,15 @@ def test_slack_limits_load_and_movement(spark):
     assert sum(a[k] != b[k] for k in a) < 0.35 * len(a)
 
 
+def test_little_moves_under_the_query_s_bound(spark):
+    """With no slack at all, one more shard moves little more than the part it takes."""
+    df = spark.range(40_000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
+    a = {r.doc_id: r.shard for r in sharding.shard(df, shards=40).collect()}
+    b = {r.doc_id: r.shard for r in sharding.shard(df, shards=41).collect()}
+    moved = sum(a[k] != b[k] for k in a) / len(a)
+    assert 1 / 41 <= moved < 2 / 41
+
+
 def test_odd_rows(spark, nothing):
     assert sharding.op1(spark, nothing).count() == 0
     rows = [(None, "a", 1, 2), (None, "a", 1, 2), (None, None, 1, 2), (7, "b", 1, 2), (7, "b", 1, 2)]

@@ -99,6 +99,16 @@ def test_verified_counts():
     assert set(zip(i.tolist(), k.tolist(), strict=True)) == want
 
 
+def test_recall_on_the_supplied_documents(spark):
+    """Links of every fifth document, against all documents by brute force."""
+    sf = "/root/testdata/sf0.01"
+    docs = [(r.doc_id, grams(r.text)) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    got = {r.doc_id: r.n_links for r in j.op9(spark, sf).collect()}
+    want = {k: sum(1 for o, t in docs if o != k and ((not s and not t) or 5 * len(s & t) >= 4 * len(s | t))) for k, s in docs if k % 5 == 0}
+    assert sum(want.values()) >= 10 and sum(min(got[k], n) for k, n in want.items()) >= 0.99 * sum(want.values())
+    assert all(got[k] <= n for k, n in want.items())
+
+
 def test_odd_rows(spark, nothing):
     assert j.op9(spark, nothing).count() == 0
     rows = [(1, None), (2, ""), (None, "a b"), (3, "One two"), (4, "one  TWO"), (5, "x " * 50_000), (5, "x " * 50_000), (6, "p q r"), (6, "s t u"), (7, "s t u")]

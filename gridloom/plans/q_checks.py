@@ -134,7 +134,7 @@ RULES_SQL = " UNION ALL ".join(
 
 def gates(m: Decisions) -> DataFrame:
     """Gates across outputs: what several of them say must agree."""
-    m.keep("ranking", "scores", "scenario_summary", "task_benchmark")
+    m.keep("anomalies", "ranking", "scores", "scenario_summary", "task_benchmark")
     ranked = m.ranking.withColumn("rank", F.row_number().over(Window.orderBy(round_away("priority", 6).desc(), "zone_id")))  # a row for each zone
     top = m.ranking.orderBy(round_away("priority", 6).desc(), "zone_id").limit(1).select("zone_id")
     agrees = ranked.where("rank = 1").join(top, "zone_id", "left_anti").agg(F.count(F.lit(1)).cast("double").alias("observed"))

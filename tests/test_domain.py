@@ -111,7 +111,7 @@ def test_filtered_table_keeps_its_order(spark, tmp_path):
 def test_no_query_repeats_scans(spark):
     """Plans read stored layers: none has more than 40 leaves."""
     shared = Decisions(spark, "/root/testdata/sf0.001")
-    for name in ("mart_zone_day", "investment_candidates", "dq_pk_fk_domain", "score_priority_rules", "scenario_top15", "what_if", "chart_bars", "dq_output_gates"):
+    for name in ("mart_zone_day", "investment_candidates", "dq_pk_fk_domain", "score_priority_rules", "scenario_top15", "what_if", "chart_bars", "dq_output_gates", "dq_readiness"):
         df = registry.catalogue()[name].run(spark, shared.sf_dir, shared)
         assert df._jdf.queryExecution().optimizedPlan().collectLeaves().size() <= 40, name
     shared.release()

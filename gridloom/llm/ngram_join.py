@@ -45,7 +45,7 @@ THRESHOLD = (4, 5)  # similarity of 4/5 or more, held exactly
 RECALL = 0.9995
 HASHES = 128
 BLOCK = 256
-BLOCK_GRAMS = 4_000_000
+BLOCK_GRAMS = 1_000_000
 KNOWN_WORDS = 100_000
 
 

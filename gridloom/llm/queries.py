@@ -1,4 +1,4 @@
-"""The queries of the ten operators and the SQL of those that SQL can express."""
+"""The queries of the operators and the SQL of those that SQL can express."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import html_text, media, mixing, ngram_join, packing, quality, sharding, token_files, url_lists, winnowing
+from gridloom.llm import clustering, html_text, media, mixing, ngram_join, packing, quality, sharding, token_files, url_lists, winnowing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_spectral_media": media.op8,
         "op9_ngram_jaccard_join": ngram_join.op9,
         "op10_vector_best_fit": packing.op10,
+        "op11_hamerly_clusters": clustering.op11,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_systematic_mixing": mixing.OP4_SQL, "op6_temporal_url_lists": url_lists.OP6_SQL}
+    return {"op4_systematic_mixing": mixing.OP4_SQL, "op6_temporal_url_lists": url_lists.OP6_SQL, "op11_hamerly_clusters": clustering.OP11_SQL}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import clustering, html_text, media, mixing, near_duplicates, ngram_join, packing, quality, sharding, token_files, url_lists, winnowing
+from gridloom.llm import clustering, html_text, media, mixing, near_duplicates, ngram_join, packing, quality, sharding, spelling, token_files, url_lists, winnowing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,8 +23,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_vector_best_fit": packing.op10,
         "op11_hamerly_clusters": clustering.op11,
         "op12_minhash_near_duplicates": near_duplicates.op12,
+        "op13_spelling_variants": spelling.op13,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_systematic_mixing": mixing.OP4_SQL, "op6_temporal_url_lists": url_lists.OP6_SQL, "op11_hamerly_clusters": clustering.OP11_SQL, "op12_minhash_near_duplicates": near_duplicates.OP12_SQL}
+    return {"op4_systematic_mixing": mixing.OP4_SQL, "op6_temporal_url_lists": url_lists.OP6_SQL, "op11_hamerly_clusters": clustering.OP11_SQL, "op12_minhash_near_duplicates": near_duplicates.OP12_SQL, "op13_spelling_variants": spelling.OP13_SQL}

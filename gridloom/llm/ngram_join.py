@@ -21,8 +21,9 @@ components of these ties are the classes.
 
 Defined results: null and empty texts have the empty set and are copies of each
 other; a null id has no class (null) and no links; rows that repeat an id and
-text are copies; an id with several texts joins their classes; an empty table
-gives no rows; a text of any length is read whole. Sets are compared by 64-bit
+text are copies, each of them a row that others link to; if an id has several
+texts, each text's row has its own class and links; an empty table gives no
+rows; a text of any length is read whole. Sets are compared by 64-bit
 n-gram hashes. ``join`` reads the id and the text alone, so other columns can't
 clash; the stage keeps all columns as they are.
 """
@@ -109,23 +110,27 @@ class Bander:
         return out.view(np.int64)
 
 
+def rows_with_id(df: DataFrame, key: str, text: str) -> DataFrame:
+    """``doc_id, text_key, text``; the key tells texts of one id apart."""
+    return df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), F.col(text).alias("text"))
+
+
 def signatures(df: DataFrame, bander: Bander, key: str, text: str, n: int = N) -> DataFrame:
-    """``doc_id, set_a, set_b, grams, bands`` of every row with an id, stored in the shared folder."""
+    """``doc_id, text_key, set_a, set_b, grams, bands`` of every row with an id, stored in the shared folder."""
     small_batches(df.sparkSession)
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
+            for text in pdf["text"]:
                 grams = ngram_set(text, n)
                 raw = grams.tobytes()
-                out.append((doc_id, xxhash.xxh3_64_intdigest(raw), xxhash.xxh3_64_intdigest(raw, 1), len(grams), bander(grams) if len(grams) else None))
-            ids = np.array([r[1] for r in out], np.uint64).view(np.int64), np.array([r[2] for r in out], np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc_id": [r[0] for r in out], "set_a": ids[0], "set_b": ids[1], "grams": [r[3] for r in out], "bands": [r[4] for r in out]})
+                out.append((xxhash.xxh3_64_intdigest(raw), xxhash.xxh3_64_intdigest(raw, 1), len(grams), bander(grams) if len(grams) else None))
+            sets = np.array([r[:2] for r in out], np.uint64).reshape(-1, 2).view(np.int64)
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "text_key": pdf["text_key"], "set_a": sets[:, 0], "set_b": sets[:, 1], "grams": [r[2] for r in out], "bands": [r[3] for r in out]})
         released()
 
-    rows = df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return stored(rows.mapInPandas(sign, "doc_id long, set_a long, set_b long, grams long, bands array<bigint>"), "signatures")
+    return stored(rows_with_id(df, key, text).mapInPandas(sign, "doc_id long, text_key long, set_a long, set_b long, grams long, bands array<bigint>"), "signatures")
 
 
 def verified(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -198,20 +203,20 @@ def blocks(buckets: DataFrame, block: int = BLOCK, block_grams: int = BLOCK_GRAM
     return homes, stored(meet, "meet")
 
 
-def join(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = N, recall: float = RECALL, hashes: int = HASHES, block: int = BLOCK) -> DataFrame:
-    """``doc_id, class_id, n_links`` for every row: the least id of its class, and how many other rows are alike to it."""
+def classified(df: DataFrame, key: str, text: str, n: int, recall: float, hashes: int, block: int) -> DataFrame:
+    """``doc_id, text_key, class, class_id, n_links`` of every row with an id; ``class`` numbers the classes, ``class_id`` is the class's least id."""
     bander = Bander(*bands_for(THRESHOLD[0] / THRESHOLD[1], recall, hashes))
     signed = signatures(df, bander, key, text, n)
-    # copies: one representative for each set
-    reps = stored(signed.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "representatives")
-    rep_ids = reps.groupBy("rep").agg(F.sum("copies").alias("copies"))
-    heads = signed.join(reps.select("set_a", "set_b", F.col("rep").alias("doc_id")), ["set_a", "set_b", "doc_id"], "left_semi")
-    buckets = stored(heads.select(F.col("doc_id").alias("rep"), "grams", F.posexplode("bands").alias("band", "hash")), "bands")
+    # copies: one representative for each set, known by a number of its own
+    first = F.min(F.struct("doc_id", "text_key", "grams", "bands")).alias("first")
+    reps = signed.groupBy("set_a", "set_b").agg(first, F.count(F.lit(1)).alias("copies")).select("set_a", "set_b", "first.*", "copies")
+    reps = stored(reps.withColumn("rep", F.monotonically_increasing_id()), "representatives")
+    buckets = stored(reps.select("rep", "grams", F.posexplode("bands").alias("band", "hash")), "bands")
     homes, meet = blocks(buckets, block)
-    texts = df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("rep"), F.col(text).alias("text"))
+    # a row may repeat very often: its copies fall together before the text travels on
+    of = reps.select("doc_id", "text_key", "rep", "copies").join(homes, "rep")
+    texts = rows_with_id(df, key, text).join(of, ["doc_id", "text_key"]).groupBy("doc_id", "text_key", "rep", "copies", "blk").agg(F.max("text").alias("text"))
     ends = meet.select(F.col("lo").alias("blk"), "lo", "hi").unionByName(meet.where("lo <> hi").select(F.col("hi").alias("blk"), "lo", "hi"))
-    # texts join last: they are dealt by id, and once for each two blocks that meet
-    met = texts.join(homes.join(rep_ids, "rep").join(ends, "blk"), "rep")
     small_batches(df.sparkSession)
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -224,25 +229,29 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = N, rec
             i, j = verified(sets, left, right, lo == hi)
             if not len(i):
                 continue
-            different = reps[i] != reps[j]  # not an id with several texts
             links = np.zeros(len(reps), np.int64)
-            np.add.at(links, i[different], copies[j[different]])
-            np.add.at(links, j[different], copies[i[different]])
+            np.add.at(links, i, copies[j])
+            np.add.at(links, j, copies[i])
             some = np.unique(np.concatenate([i, j]))
             yield pd.DataFrame({"rep": reps[some], "links": links[some], "root": reps[np.array(_tied(len(reps), i, j))[some]]})
         released()
 
-    dealt = met.select("lo", "hi", "blk", "rep", "copies", "text").repartition("lo", "hi").sortWithinPartitions("lo", "hi", "rep")
+    # each text once for each two blocks that meet
+    dealt = texts.join(ends, "blk").select("lo", "hi", "blk", "rep", "copies", "text").repartition("lo", "hi").sortWithinPartitions("lo", "hi", "rep")
     linked = stored(dealt.mapInPandas(verify, "rep long, links long, root long"), "links")
-    rows = signed.select("doc_id", "set_a", "set_b")
-    of_sets = reps.select("set_a", "set_b", "rep", "copies")
-    # an id with several texts ties their representatives
-    several = reps.join(rows, ["set_a", "set_b"]).where("doc_id <> rep").select("doc_id", "rep").join(rep_ids.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    classes = components(linked.select(F.col("rep").alias("u"), F.col("root").alias("v")).unionByName(several.select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))), "classes")
+    groups = components(linked.select(F.col("rep").alias("u"), F.col("root").alias("v")), "classes")
     counts = linked.groupBy("rep").agg(F.sum("links").alias("links"))
-    answers = of_sets.join(counts, "rep", "left").join(classes.select(F.col("node").alias("rep"), "root"), "rep", "left")
-    answers = answers.select("set_a", "set_b", F.coalesce("root", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    out = rows.join(answers, ["set_a", "set_b"]).select("doc_id", "class_id", "n_links")
+    answers = reps.select("set_a", "set_b", "doc_id", "rep", "copies").join(counts, "rep", "left").join(groups.select(F.col("node").alias("rep"), "root"), "rep", "left")
+    answers = answers.select("set_a", "set_b", "doc_id", F.coalesce("root", "rep").alias("class"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    least = answers.groupBy("class").agg(F.min("doc_id").alias("class_id"))
+    # dealt by other columns, so that the joins deal both sides anew and a very large class or set can be split
+    answers = answers.drop("doc_id").join(least.repartition("class_id", "class"), "class")
+    return signed.select("doc_id", "text_key", "set_a", "set_b").join(answers.repartition("class_id", "set_a"), ["set_a", "set_b"]).select("doc_id", "text_key", "class", "class_id", "n_links")
+
+
+def join(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = N, recall: float = RECALL, hashes: int = HASHES, block: int = BLOCK) -> DataFrame:
+    """``doc_id, class_id, n_links`` for every row: the least id of its class, and how many other rows are alike to it."""
+    out = classified(df, key, text, n, recall, hashes, block).select("doc_id", "class_id", "n_links")
     none = df.where(F.col(key).isNull()).select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     return out.unionByName(none)
 
@@ -256,7 +265,8 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class, that of the least id; rows without an id stay."""
     rows, at = shielded(docs)
     key, text = at["doc_id"], at["text"]
-    first = join(rows, key, text).where("doc_id = class_id").select(F.col("doc_id").alias(key)).distinct()
-    one = Window.partitionBy(key).orderBy(F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")), F.col(text))
-    kept = rows.join(first, key, "left_semi").withColumn("nth", F.row_number().over(one)).where("nth = 1").drop("nth")
+    first = classified(rows, key, text, N, RECALL, HASHES, BLOCK).where("doc_id = class_id").select(F.col("doc_id").alias(key), "text_key", "class").distinct()
+    # a class may have several texts of its least id, and a row may repeat: one row of a class
+    one = Window.partitionBy("class").orderBy(F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")), F.col(text))
+    kept = rows.withColumn("text_key", F.xxhash64(text)).join(first, [key, "text_key"]).withColumn("nth", F.row_number().over(one)).where("nth = 1").select(*rows.columns)
     return unshielded(kept.unionByName(rows.where(F.col(key).isNull())), at)

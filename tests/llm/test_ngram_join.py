@@ -122,3 +122,40 @@ def test_stage_keeps_one_of_each_class(spark, folder, docs):
     assert out.columns == df.columns
     want = sorted({c for _, c, _ in brute([(d[0], d[1]) for d in docs])})
     assert sorted(r.doc_id for r in out.collect()) == want
+
+
+T = " ".join(f"w{i}" for i in range(40))
+U = "quite another text of one and the same id"
+NEAR = T + " end"
+
+
+@pytest.mark.parametrize(
+    ("rows", "links"),
+    [
+        ([(1, T), (1, T), (2, NEAR)], [2, 2, 2]),
+        ([(1, T), (1, T), (3, T), (2, NEAR), (2, NEAR)], [4] * 5),
+        ([(1, T), (1, U), (2, NEAR)], [0, 1, 1]),
+        ([(5, T), (5, U), (2, NEAR), (2, U)], [1, 1, 1, 1]),
+    ],
+)
+def test_links_of_repeated_rows_and_ids(spark, rows, links):
+    got = sorted(map(tuple, j.join(frame(spark, rows)).collect()))
+    assert got == brute(rows) and sorted(n for *_, n in got) == links
+
+
+def test_random_tables_with_repeats_and_shared_ids(spark):
+    rng = random.Random(8)
+    bases = [data.words(rng, 60, 5000).split() for _ in range(4)]
+    rows = []
+    for _ in range(90):
+        w = list(rng.choice(bases))
+        for _ in range(rng.randrange(3)):
+            w[rng.randrange(60)] = f"v{rng.randrange(4)}"
+        rows += [(rng.randrange(50), " ".join(w))] * rng.choice([1, 1, 1, 3])
+    assert sorted(map(tuple, j.join(frame(spark, rows), block=9).collect())) == brute(rows)
+
+
+def test_stage_keeps_other_texts_of_an_id(spark):
+    rows = [(1, T), (1, T), (1, U), (2, NEAR), (3, U), (4, NEAR + " more"), (None, T)]
+    out = j.stage(spark, frame(spark, rows), "")
+    assert sorted(map(tuple, out.collect()), key=str) == sorted([(1, T), (1, U), (None, T)], key=str)

@@ -4,14 +4,24 @@ A page becomes a flat list of text blocks. Each block has shallow features: its
 words and link density, those of both neighbours, whether it is a heading, where
 it stands to the page's story element (within an article; within main beside
 the articles; the page has none; outside), and one hint: whether an element
-around it says by tag, class, id or role that it is page furniture. A decision
-tree (Gini splits), trained on the small labelled table below, says which
-blocks are main text.
-
-A hint never counts on html, body, main or article, nor on an element that has
-the page's first heading or an article in it or holds nearly all of the page's
-words: such a wrapper is no furniture, whatever its class. A word such as
-``has-sidebar`` says what is elsewhere and is no hint.
+around it says by tag, class or role that it is page furniture. A decision tree
+(Gini splits), trained on the small labelled table below, says which blocks are
+main text.
+
+A hint is firm (navigation, forms, advertisements, reader comments, what is
+hidden) or soft (words that a story's own parts may have as well, such as
+``notice`` or ``related``): statistics overrule a soft one. Class words count
+whole: a word such as ``cookie-banner`` made of such words and fillers is a
+hint, ``reply-brief`` and ``has-sidebar`` are none, and ids, which are often made
+from headings, never are. A hint never counts on html, body, main or the page's
+first article, nor on an element that has one of them or the first h1 in it: such
+a wrapper is no furniture, whatever its class and however many words it holds.
+An article within an article is a reader's comment; an article whose heading is
+all link, beside one whose heading is none, is a teaser. Both are firm hints. A
+header inside the story is the story's own. On a page without article and main,
+what comes before the h1 stands outside. A page that stands in hinted elements
+as a whole is judged without hints, and a page of which the tree takes nothing
+but headings keeps every block without a firm hint that isn't mostly links.
 
 Scripts, styles, titles, form fields and comments in markup are no text.
 Character references are decoded, white space inside a block becomes one space,
@@ -40,7 +50,6 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -52,21 +61,24 @@ from gridloom.llm.common import aside, load, small_batches
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "heading", "place", "hint")
 #: Where a block stands: outside the page's story element, on a page without one, in main beside the articles, within the story.
 OUTSIDE, NOWHERE, BESIDE, WITHIN = range(4)
-#: Parts in words of a page, of which a hinted element holds no more.
-WRAPPER = 0.8
+#: How sure a hint is.
+NONE, SOFT, FIRM = range(3)
 
 # Elements and words that mark page furniture, elements that hold no text, and elements that end a block.
 FURNITURE_TAGS = frozenset("nav aside footer form dialog menu".split())
-FURNITURE_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright discussion disqus "
-    "footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices pagination pager popup promo promoted recommended "
-    "related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription teaser toolbar topbar "
-    "widget widgets".split()
+FIRM_WORDS = frozenset(
+    "ad ads advert adverts advertisement advertising breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr login masthead menu modal nav navbar navigation "
+    "newsletter pager pagination popup replies respond sidebar signup sponsored subscribe toolbar topbar widget widgets".split()
+)
+SOFT_WORDS = frozenset("banner copyright discussion header notice notices promo promoted recommended related reply search share sharing skip social sponsor subscription teaser".split())
+# Words that say nothing of their own in a compound class word.
+FILLERS = frozenset(
+    "area bar block body bottom box container desktop form global group holder inner item items left link links list main mobile outer page panel post posts primary "
+    "right row secondary site sticky strip thread top wrap wrapper zone".split()
 )
 FURNITURE_ROLES = frozenset("alert banner complementary contentinfo dialog form menu menubar navigation search".split())
 NO_TEXT = frozenset("script style noscript template svg math iframe object canvas textarea select button title audio video".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-STORY = frozenset(["article", "main", "h1"])
 BLOCK_TAGS = frozenset(
     "address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head "
     "header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split()
@@ -84,18 +96,18 @@ HTML_IN_FOREIGN = frozenset("foreignobject desc annotation-xml mi mo mn ms mtext
 SIBLINGS = {"li": "list", "dt": "terms", "dd": "terms"} | dict.fromkeys("td th tr tbody thead tfoot caption".split(), "table")
 HOLDERS = frozenset("ul ol menu dl table template".split())
 
-# Labelled blocks of small pages: words, words in links, heading, place, hint, is main text. Neighbours are the lines beside; a blank line ends a page.
+# Labelled blocks of small pages: words, words in links, heading, place, hint (1 soft, 2 firm), is main text. Neighbours are the lines beside; a blank line ends a page.
 LABELLED = """
-1 1 0 0 1 0
-1 1 0 0 1 0
-2 2 0 0 1 0
-9 0 0 0 1 0
+1 1 0 0 2 0
+1 1 0 0 2 0
+2 2 0 0 2 0
+9 0 0 0 2 0
 7 0 1 3 0 1
 140 0 0 3 0 1
 60 3 0 3 0 1
 2 0 0 3 0 1
 35 0 0 3 0 1
-8 0 0 0 1 0
+8 0 0 0 2 0
 
 1 1 0 0 0 0
 1 1 0 0 0 0
@@ -120,19 +132,19 @@ LABELLED = """
 4 4 0 3 0 0
 7 7 0 3 0 0
 30 0 0 0 0 0
-12 0 0 0 1 0
+12 0 0 0 2 0
 
 5 0 1 3 0 1
 80 0 0 3 0 1
 7 7 0 3 0 1
 65 0 0 3 0 1
-3 3 0 3 1 0
-2 2 0 3 1 0
-3 3 0 3 1 0
+3 3 0 3 2 0
+2 2 0 3 2 0
+3 3 0 3 2 0
 50 1 0 3 0 1
-14 0 0 3 1 0
-9 0 0 3 1 0
-2 0 0 0 1 0
+14 0 0 3 2 0
+9 0 0 3 2 0
+2 0 0 0 2 0
 
 11 0 1 3 0 1
 2 2 0 3 0 0
@@ -140,8 +152,8 @@ LABELLED = """
 2 2 0 3 0 0
 120 0 0 3 0 1
 30 12 0 3 0 1
-40 0 0 3 1 0
-22 0 0 3 1 0
+40 0 0 3 2 0
+22 0 0 3 2 0
 10 0 0 3 0 1
 75 4 0 3 0 1
 20 20 0 3 0 0
@@ -158,10 +170,10 @@ LABELLED = """
 40 0 0 1 0 1
 5 0 1 1 0 1
 60 2 0 1 0 1
-8 0 0 1 1 0
+8 0 0 1 2 0
 4 1 0 1 0 0
 
-1 1 0 1 1 0
+1 1 0 1 2 0
 4 0 0 1 0 0
 30 0 0 1 0 1
 55 5 0 1 0 1
@@ -184,7 +196,7 @@ LABELLED = """
 4 0 0 2 0 0
 9 8 0 2 0 0
 8 8 0 2 0 0
-15 0 0 2 1 0
+15 0 0 2 2 0
 
 20 0 0 0 0 0
 45 2 0 0 0 0
@@ -195,8 +207,8 @@ LABELLED = """
 1 0 0 3 0 1
 3 0 0 3 0 1
 6 0 0 0 0 0
-60 0 0 0 1 0
-33 0 0 0 1 0
+60 0 0 0 2 0
+33 0 0 0 2 0
 70 0 0 0 0 0
 
 14 0 0 3 0 1
@@ -206,23 +218,23 @@ LABELLED = """
 6 2 0 3 0 1
 12 0 0 3 0 1
 300 8 0 3 0 1
-26 0 0 3 1 0
-15 3 0 3 1 0
-60 0 0 3 1 0
-35 2 0 3 1 0
+26 0 0 3 2 0
+15 3 0 3 2 0
+60 0 0 3 2 0
+35 2 0 3 2 0
 1 1 0 0 0 0
 1 1 0 0 0 0
 
-3 3 0 1 1 0
+3 3 0 1 2 0
 24 0 0 1 0 1
 33 1 0 1 0 1
 28 0 0 1 0 1
 9 0 0 1 0 1
 47 0 0 1 0 1
 2 0 0 1 0 0
-2 2 0 1 1 0
-30 0 0 1 1 0
-44 1 0 1 1 0
+2 2 0 1 2 0
+30 0 0 1 2 0
+44 1 0 1 2 0
 6 0 0 1 0 0
 
 5 0 0 3 0 1
@@ -257,8 +269,8 @@ LABELLED = """
 3 3 0 3 0 0
 16 0 0 3 0 1
 15 0 0 3 0 1
-7 0 0 3 1 0
-5 0 0 3 1 0
+7 0 0 3 2 0
+5 0 0 3 2 0
 2 0 0 3 0 1
 
 4 0 0 3 0 1
@@ -303,7 +315,7 @@ LABELLED = """
 1 1 0 1 0 0
 28 0 0 1 0 1
 28 0 0 1 0 1
-13 0 0 1 1 0
+13 0 0 1 2 0
 
 1 1 0 1 0 0
 37 0 0 1 0 1
@@ -364,6 +376,54 @@ LABELLED = """
 
 3 0 0 1 0 0
 6 0 0 1 0 0
+
+5 0 1 3 0 1
+46 0 0 3 0 1
+38 1 0 3 1 1
+27 0 0 3 1 1
+3 0 0 3 1 0
+6 5 0 3 1 0
+52 0 0 3 0 1
+4 4 0 3 1 0
+8 8 0 3 1 0
+
+4 0 1 1 0 1
+36 0 0 1 0 1
+24 0 0 1 1 1
+5 0 0 1 1 0
+9 8 0 1 1 0
+61 2 0 1 0 1
+33 0 0 1 1 1
+2 2 0 1 1 0
+
+9 0 0 0 1 0
+30 0 0 0 1 0
+4 0 1 3 0 1
+20 0 0 3 1 1
+44 0 0 3 0 1
+7 0 0 3 1 0
+48 3 0 3 1 1
+6 6 0 0 1 0
+
+4 0 1 3 0 1
+34 0 0 3 0 1
+4 4 1 3 2 0
+16 0 0 3 2 0
+5 5 1 3 2 0
+21 1 0 3 2 0
+
+1 0 1 3 0 1
+30 0 0 3 0 1
+31 0 0 3 0 1
+5 5 1 3 2 0
+14 0 0 3 2 0
+
+6 0 1 3 0 1
+55 2 0 3 0 1
+7 7 1 3 2 0
+7 7 1 3 2 0
+3 0 1 3 2 0
+28 0 0 3 2 0
 """
 
 
@@ -425,32 +485,38 @@ def trained() -> dict:
 
 
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][\w:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>|<(/?)([a-zA-Z][\w:-]*)([^>]*)(?:>|$)", re.S)
-HINT = re.compile(r"(?<![\w:.-])(class|id|role|hidden|aria-hidden|style)(?![\w:.-])\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+HINT = re.compile(r"(?<![\w:.-])(class|role|hidden|aria-hidden|style)(?![\w:.-])\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 PARTS = re.compile(r"[^a-z0-9]+")
-#: Beginnings of class words that speak of another element.
-ELSEWHERE = re.compile(r"^(?:has|no|not|with|without|is|show|hide)[-_]")
 #: Elements that are never furniture.
-NEVER = frozenset("html body main article".split())
+NEVER = frozenset("html body main".split())
+
+
+def said(word: str) -> int:
+    """What a class word says: the surest of its parts, if all of them are furniture or fillers."""
+    parts = [x for x in PARTS.split(word) if x]
+    sure = [FIRM if x in FIRM_WORDS else SOFT if x in SOFT_WORDS else NONE for x in parts]
+    return max(sure, default=NONE) if all(k or x in FILLERS for k, x in zip(sure, parts, strict=True)) else NONE
 
 
-def hints(tag: str, attributes: str) -> bool:
-    """Whether an element says of itself that it is page furniture or hidden."""
+def hints(tag: str, attributes: str, story: bool = False) -> int:
+    """How surely an element says of itself that it is page furniture or hidden; ``story``: it stands within the story."""
     if tag in NEVER:
-        return False
-    if tag in FURNITURE_TAGS or tag == "header":
-        return True
+        return NONE
+    if tag in FURNITURE_TAGS or (tag == "header" and not story):
+        return FIRM
     if not attributes:
-        return False
+        return NONE
+    most = NONE
     for name, *values in HINT.findall(attributes):
         name, value = name.lower(), next((v for v in values if v), "").lower()
-        if name in ("class", "id"):
-            if any(not FURNITURE_WORDS.isdisjoint(PARTS.split(word)) for word in value.split() if not ELSEWHERE.match(word)):
-                return True
-        elif name == "role" and value in FURNITURE_ROLES:
-            return True
-        elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
-            return True
-    return False
+        if name == "class":
+            most = max([most, *map(said, value.split())])
+        elif (
+            (name == "role" and value in FURNITURE_ROLES) or name == "hidden" or (name == "aria-hidden" and value == "true")
+            or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value))
+        ):
+            return FIRM
+    return most
 
 
 @dataclass
@@ -461,17 +527,18 @@ class Block:
     words: int
     linked: int
     heading: bool
-    article: bool
+    article: int  # the number of the article it stands in, 0 for none
     main: bool
-    hint: bool = False
+    hint: int = NONE
+    untold: bool = False  # before the page's first h1
 
 
 @dataclass
 class Open:
-    """An open element: for a hinted one, the number of blocks before it and whether it has a first heading or an article."""
+    """An open element: for a hinted one, the number of blocks before it and whether it has the first h1, main or the first article."""
 
     tag: str
-    hint: bool
+    hint: int
     begin: int
     story: bool = False
 
@@ -480,7 +547,8 @@ def blocks(page: str) -> list[Block]:
     """Flat blocks in page order."""
     out: list[Block] = []
     stack: list[Open] = []
-    hinted: list[tuple[int, int]] = []  # blocks of hinted elements: from, to before
+    hinted: list[tuple[int, int, int]] = []  # blocks of hinted elements: from, to before, how sure
+    articles = 0
     held: list[tuple[str, bool]] = []
     link = 0
     within: Counter[str] = Counter()  # open articles, mains and headings
@@ -497,14 +565,14 @@ def blocks(page: str) -> list[Block]:
             # references may be split over no element, so each run decodes alone
             text = " ".join("".join(t for t, _ in held).split())
             if text:
-                out.append(Block(text, len(text.split(" ")), sum(len(t.split()) for t, linked in held if linked), within["heading"] > 0, within["article"] > 0, within["main"] > 0))
+                out.append(Block(text, len(text.split(" ")), sum(len(t.split()) for t, linked in held if linked), within["heading"] > 0, articles if within["article"] else 0, within["main"] > 0, untold=not titled))
             held.clear()
 
     def pop() -> None:
         last = stack.pop()
         within["heading" if last.tag in HEADINGS else last.tag] -= 1
         if last.hint and not last.story and last.begin < len(out):
-            hinted.append((last.begin, len(out)))
+            hinted.append((last.begin, len(out), last.hint))
 
     def ends_skip(tag: str, ends: bool, whole: bool) -> bool:
         """Take a tag inside an element without text; whether that element ends before it."""
@@ -589,15 +657,19 @@ def blocks(page: str) -> list[Block]:
             # an element whose end may be left out ends where a block begins that it can't hold
             while stack and stack[-1].tag in OPTIONAL_END and stack[-1].tag in (tag, "p"):
                 pop()
-        hint = hints(tag, m[3] or m[6] or "")
+        hint = hints(tag, m[3] or m[6] or "", within["article"] + within["main"] > 0)
+        if tag == "article":
+            # one within another is a comment
+            hint = FIRM if within["article"] else NONE if not articles else hint
         if tag == "span" and not hint:
             continue
         if tag == "span":
             close()
-        if tag in STORY and (tag != "h1" or not titled):
+        if tag == "main" or (tag == "article" and not articles) or (tag == "h1" and not titled):
             titled = titled or tag == "h1"
             for o in stack:
                 o.story = True
+        articles += tag == "article" and not within["article"]
         stack.append(Open(tag, hint, len(out)))
         within["heading" if tag in HEADINGS else tag] += 1
     if not skip and at < len(page):
@@ -605,20 +677,35 @@ def blocks(page: str) -> list[Block]:
     close()
     while stack:
         pop()
-    before = [0, *accumulate(b.words for b in out)]
-    for begin, end in hinted:
-        if before[end] - before[begin] <= WRAPPER * before[-1]:
-            for b in out[begin:end]:
-                b.hint = True
+    for begin, end, sure in hinted:
+        for b in out[begin:end]:
+            b.hint = max(b.hint, sure)
+    if all(b.hint for b in out):  # so the hints say nothing
+        for b in out:
+            b.hint = NONE
+    teased = teasers(out)
+    for b in out:
+        b.untold &= titled
+        if b.article in teased:
+            b.hint = FIRM
     return out
 
 
+def teasers(flat: list[Block]) -> set[int]:
+    """Articles whose first heading is all link, if another article's is not."""
+    first: dict[int, bool] = {}
+    for b in flat:
+        if b.article and b.heading:
+            first.setdefault(b.article, b.linked == b.words)
+    return {a for a, linked in first.items() if linked} if not all(first.values()) else set()
+
+
 def features_of(flat: list[Block]) -> np.ndarray:
     articles, mains = any(b.article for b in flat), any(b.main for b in flat)
 
     def place(b: Block) -> int:
         if not articles and not mains:
-            return NOWHERE
+            return OUTSIDE if b.untold else NOWHERE
         if b.article if articles else b.main:
             return WITHIN
         return BESIDE if b.main else OUTSIDE
@@ -631,7 +718,10 @@ def main_text(page: str | None) -> str:
     flat = blocks(page or "")
     if not flat:
         return ""
-    return "\n".join(b.text for b, main in zip(flat, decide(trained(), features_of(flat)), strict=True) if main)
+    taken = [b for b, main in zip(flat, decide(trained(), features_of(flat)), strict=True) if main]
+    if all(b.heading for b in taken):
+        taken = [b for b in flat if b.hint < FIRM and 2 * b.linked <= b.words]
+    return "\n".join(b.text for b in taken)
 
 
 def extract(df: DataFrame, html: str = "html") -> DataFrame:

@@ -7,11 +7,11 @@ one whose weighted residual scores best is chosen: ``norm`` takes the least
 norm of the residual after placing, ``dot`` the largest weighted dot product of
 demand and residual.
 
-The query and the stage allow ``MAX_DOCS`` pieces a sequence, which binds where
-pieces are of four tokens on average or fewer. ``max_cost`` unset means
-``capacity ** 2``: a full piece costs as much, so no lower limit can hold every
-piece, and what fits by tokens can't cost more. Cost acts on the choice by its
-weight there and binds only where pieces are shorter than ``capacity``.
+The query and the stage set no limit of documents or cost of their own, as any
+limit that binds makes more sequences: ``max_docs`` unset means ``capacity`` and
+``max_cost`` unset ``capacity ** 2``, which what fits by tokens can't exceed.
+Documents and cost act on the choice by their weights there; as parameters of
+``pack`` they bind.
 
 All demands follow from a piece's length, so equal lengths are interchangeable
 and so are sequences with equal residuals. The choice is therefore made for
@@ -47,7 +47,6 @@ VOCABULARY = "byte_bpe_50k.json"
 END = 2
 CAPACITY = 1024
 WEIGHTS = (1.0, 0.05, 0.05)
-MAX_DOCS = 256
 #: Chunks that the pipeline's stage remembers: fewer, as its workers hold what the stages before it left.
 STAGE_KEPT = 250_000
 
@@ -177,9 +176,9 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, max_docs: int | None = None,
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents' pieces and their places."""
-    return pack(pieces(load(spark, sf_dir, "documents")), max_docs=MAX_DOCS)
+    return pack(pieces(load(spark, sf_dir, "documents")))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where each piece of the documents goes."""
-    return pack(pieces(docs, kept=STAGE_KEPT), max_docs=MAX_DOCS)
+    return pack(pieces(docs, kept=STAGE_KEPT))

@@ -221,3 +221,11 @@ def test_best_fit_is_near_the_bound_and_limits_hold():
             assert len(used) <= 1.02 * sum(k * v for k, v in counts.items()) / 100
     with pytest.raises(ValueError):
         packing.best_fit({80: 1}, 100, 5, 100.0)
+
+
+def test_no_limit_of_documents_of_its_own(spark, tmp_path):
+    """One token each: as few sequences as hold them."""
+    assert len({s + i for _, lo, hi, s, k, _ in packing.best_fit({1: 100_000}) for i in range(-(-(hi - lo) // k))}) == 98
+    spark.range(3000).selectExpr("id as doc_id", "if(id % 2 = 0, '', null) as text").write.parquet(f"{tmp_path}/documents.parquet")
+    got = packing.op10(spark, str(tmp_path))
+    assert got.select("sequence_id").distinct().count() == 3 and got.count() == 3000

@@ -11,25 +11,29 @@ from gridloom.functions.exprs import known, round_away
 from gridloom.operators import anomalies, forecasting, scoring
 from gridloom.operators.ranking import numbered
 from gridloom.plans.marts import Marts
+from gridloom.sources import stages
 
 
 class Decisions(Marts):
     """The marts with all that is decided on them."""
 
+    def __init__(self, *args, **named):
+        super().__init__(*args, **named)
+        self._given: set[str] = set()
+
     # forecasts
 
     @cached_property
     def zone_series(self) -> DataFrame:
-        """Daily quantity of each nation, from line items."""
-        lines = self.table("lineitem").select("l_suppkey", "l_shipdate", "l_quantity")
-        suppliers = self.table("supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").cast("long").alias("zone_id"))
-        per = lines.groupBy("l_suppkey", "l_shipdate").agg(F.sum("l_quantity").alias("q"))
-        return per.join(suppliers, "l_suppkey").groupBy("zone_id", F.to_date("l_shipdate").alias("day")).agg(F.sum("q").alias("demand"))
+        """Daily demand of each zone: the series of the task ``demanda_zona``."""
+        kind = self.frame("zones").schema["zone_id"].dataType
+        return self.day_series.where("series.task = 'demanda_zona'").select(F.col("series.entity").cast(kind).alias("zone_id"), "day", F.col("value").alias("demand"))
 
     @cached_property
     def region_series(self) -> DataFrame:
-        regions = self.table("nation").select(F.col("n_nationkey").cast("long").alias("zone_id"), F.col("n_regionkey").cast("long").alias("region_id"))
-        return self.zone_series.join(regions, "zone_id").groupBy(F.col("region_id").alias("zone_id"), "day").agg(F.sum("demand").alias("demand"))
+        """Daily demand of each region, under its name."""
+        regions = self.frame("zones").select("zone_id", "region")
+        return self.zone_series.join(regions, "zone_id").groupBy(F.col("region").alias("zone_id"), "day").agg(F.sum("demand").alias("demand"))
 
     @cached_property
     def zone_forecast(self) -> DataFrame:
@@ -43,7 +47,7 @@ class Decisions(Marts):
     def errors(self) -> DataFrame:
         """A row for each task, held-out day and model."""
         tasks = {"demanda_zona": self.zone_forecast, "demanda_region": self.region_forecast}
-        parts = [forecasting.by_model(f, ["zone_id", "day"]).withColumn("task", F.lit(t)) for t, f in tasks.items()]
+        parts = [forecasting.by_model(f, ["zone_id", "day"]).withColumns({"task": F.lit(t), "zone_id": F.col("zone_id").cast("string")}) for t, f in tasks.items()]
         return parts[0].unionByName(parts[1])
 
     @cached_property
@@ -60,7 +64,8 @@ class Decisions(Marts):
     def best_zone_errors(self) -> DataFrame:
         self.keep("errors")
         best = self.winners.where("task = 'demanda_zona'").select("model")
-        return self.errors.where("task = 'demanda_zona'").join(best, "model", "left_semi")
+        kind = self.frame("zones").schema["zone_id"].dataType
+        return self.errors.where("task = 'demanda_zona'").join(best, "model", "left_semi").withColumn("zone_id", F.col("zone_id").cast(kind))
 
     @cached_property
     def predictability(self) -> DataFrame:
@@ -72,7 +77,10 @@ class Decisions(Marts):
 
     @cached_property
     def day_series(self) -> DataFrame:
-        """Daily values of the five tasks, by ``series`` (task, entity)."""
+        """Daily values of the five tasks, by ``series`` (task, entity): the source's own, or else the marts'."""
+        own = self.offered("series")
+        if own is not None:
+            return own.select(F.struct("task", F.col("entity").cast("string").alias("entity")).alias("series"), "day", F.col("value").cast("double").alias("value"))
         self.keep("node_state")
         load = self.node_state.groupBy("zone_id", "day").agg(F.avg("load_ratio").alias("load_ratio"))
         zones = self.zone_day.select("zone_id", "day", "demand_mwh", "ev_mwh", "industry_mwh").join(load, ["zone_id", "day"], "left")
@@ -85,7 +93,10 @@ class Decisions(Marts):
 
     @cached_property
     def hour_series(self) -> DataFrame:
-        """Hourly demand of each zone, and whether any of its nodes is at its peak hour."""
+        """Hourly demand of each zone, and whether any of its nodes is at its peak hour: the source's own, or else the marts'."""
+        own = self.offered("hours")
+        if own is not None:
+            return own
         return self.node_state.groupBy("zone_id", "ts").agg(F.sum("demand_mw").alias("value"), F.max("peak_flag").alias("peak"))
 
     @cached_property
@@ -130,7 +141,10 @@ class Decisions(Marts):
     @cached_property
     def anomaly_parts(self) -> dict[str, DataFrame]:
         n, z = self.node_features, self.zone_day
-        return {"demand": anomalies.unexpected_demand(n), "load": anomalies.abnormal_load(n), "curtailment": anomalies.abnormal_curtailment(n), "ens": anomalies.atypical_ens(z), "station": anomalies.station_trend(n), "pattern": anomalies.off_pattern(n)}
+        parts = {"demand": anomalies.unexpected_demand(n), "load": anomalies.abnormal_load(n), "curtailment": anomalies.abnormal_curtailment(n), "ens": anomalies.atypical_ens(z), "station": anomalies.station_trend(n), "pattern": anomalies.off_pattern(n)}
+        # a detector over zones or substations has no ids of the others: theirs are null, in the source's own type
+        kinds = {c: n.schema[c].dataType for c in ("zone_id", "station_id", "feeder_id")}
+        return {k: df.withColumns({c: F.col(c).cast(kind) for c, kind in kinds.items()}) for k, df in parts.items()}
 
     @cached_property
     def anomalies(self) -> DataFrame:
@@ -153,12 +167,27 @@ class Decisions(Marts):
     def zone_intensity(self) -> DataFrame:
         return anomalies.intensity(self.precursors, "zone_id")
 
+    # inputs of the scores that an earlier stage may not have left
+
+    def use(self, **given: DataFrame | str | None) -> Decisions:
+        """Take the output of the stages ``forecast`` (see ``predictability``) and ``anomaly`` (``zone_intensity``) from a frame or a path instead of computing it.
+
+        ``None``, or a path that isn't there, is a stage that has not run: its
+        figures are 0 and its decision says so. Call it before anything is scored.
+        """
+        kind = self.frame("zones").schema["zone_id"].dataType
+        for stage, source in given.items():
+            layer = {"forecast": "predictability", "anomaly": "zone_intensity"}[stage]
+            self.__dict__[layer] = stages.resolve(self.spark, stage, source, kind)
+            self._given.add(layer)
+        return self
+
     # scores
 
     @cached_property
     def score_base(self) -> DataFrame:
         by = "zone_id"
-        self.keep("node_state", "zone_day", "zone_month", "asset_exposure", "zone_risk", "flex_gap", "candidates", "zone_intensity", "errors", "predictability")
+        self.keep("node_state", "zone_day", "zone_month", "asset_exposure", "zone_risk", "flex_gap", "candidates", *({"zone_intensity", "predictability"} - self._given))
         months = self.zone_month_features.groupBy(by).agg(F.avg("congested_hours").alias("congested_hours"), F.avg("peak_mw").alias("peak_mw"), F.avg("resilience").alias("resilience"), F.avg("capex_intensity").alias("capex_intensity"), F.avg("growth_tension").alias("growth"), F.avg(F.col("ev_mwh") + F.col("industry_mwh")).alias("new_demand_mwh"))
         days = self.zone_day_features.groupBy(by).agg(F.avg("ens_mwh").alias("ens_mean"), F.avg("customers").alias("customers_mean"), F.avg("risk_cost").alias("risk_cost"), F.avg("unserved_mwh").alias("unserved_mwh"), F.avg("flex_gap_mwh").alias("flex_gap_mwh"))
         gap = self.flex_gap.select(by, "gap_mw", "economic_gap", "flex_ratio", F.col("congested_hours").alias("congested_total"))

@@ -138,13 +138,8 @@ def _held(name: str, series: str, by: str, at: str, period: int, window: int, ho
 
 
 TASKS = ("""
-day_series AS (
-  SELECT 'demanda_zona' AS task, CAST(zone_id AS VARCHAR) AS entity, day, CAST(demand_mwh AS DOUBLE) AS actual FROM zone_day
-  UNION ALL SELECT 'demanda_ev_zona', CAST(zone_id AS VARCHAR), day, ev_mwh FROM zone_day
-  UNION ALL SELECT 'demanda_industrial_zona', CAST(zone_id AS VARCHAR), day, industry_mwh FROM zone_day
-  UNION ALL SELECT 'carga_relativa_zona', CAST(z.zone_id AS VARCHAR), z.day, avg(n.load_ratio) FROM zone_day z LEFT JOIN node_state n ON n.zone_id = z.zone_id AND n.day = z.day GROUP BY z.zone_id, z.day
-  UNION ALL SELECT 'demanda_subestacion', CAST(station_id AS VARCHAR), day, sum(demand_mw) FROM node_state GROUP BY station_id, day),
-hour_series AS (SELECT zone_id, ts, sum(demand_mw) AS actual, max(peak_flag) AS peak FROM node_state GROUP BY zone_id, ts),"""
+day_series AS (SELECT task, entity, day, CAST(value AS DOUBLE) AS actual FROM series),
+hour_series AS (SELECT zone_id, ts, value AS actual, peak FROM hours),"""
          + _held("day_held", "day_series", "task, entity", "day", 7, 7, 90) + "," + _held("hour_held", "hour_series", "zone_id", "ts", 24, 24, 504) + """,
 task_benchmark AS (
   SELECT task, model, avg(abs(error)) AS mae, sqrt(avg(error * error)) AS rmse, avg(abs(error) / CASE WHEN abs(actual) + abs(predicted) = 0 THEN 1e-9 ELSE (abs(actual) + abs(predicted)) / 2 END) * 100 AS smape, avg(error) AS bias, count(*) AS n

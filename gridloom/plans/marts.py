@@ -41,6 +41,13 @@ class Marts:
             self._frames[role] = self._frame(role)
         return self._frames[role]
 
+    def offered(self, role: str) -> DataFrame | None:
+        """A frame that the source may or may not have."""
+        try:
+            return self.frame(role)
+        except KeyError:
+            return None
+
     def table(self, name: str) -> DataFrame:
         """A general table, for queries outside the domain."""
         return tables.load(self.spark, self.sf_dir, name)

@@ -1,6 +1,6 @@
 """Reading tables, and the grid domain's frames as roles of the general test tables.
 
-The plans work on fourteen domain frames with fixed columns. They come either
+The plans work on fifteen domain frames with fixed columns. They come either
 from the domain's CSV files (``gridloom.sources.grid_csv``) or, here, from
 TPC-H-like tables that play the same roles. The role texts are plain SQL that
 Spark and DuckDB read alike, so an oracle starts from the same inputs.
@@ -84,6 +84,18 @@ ROLES: dict[str, tuple[tuple[str, ...], str]] = {
         SELECT day_no, scenario, 1 + (n % 50) / CAST(1000 AS DOUBLE) AS growth_index, 1 + (n % 30) / CAST(500 AS DOUBLE) AS ev_index
         FROM (SELECT CAST(o_orderkey % 30 + 1 AS INT) AS day_no, CASE o_orderstatus WHEN 'F' THEN 'base' WHEN 'O' THEN 'alto' ELSE 'estres' END AS scenario, COUNT(*) AS n
               FROM {orders} GROUP BY CAST(o_orderkey % 30 + 1 AS INT), CASE o_orderstatus WHEN 'F' THEN 'base' WHEN 'O' THEN 'alto' ELSE 'estres' END) AS m"""),
+    # longer series for the forecasts' daily tasks than the events' thirty days, and hours without gaps; the domain's files have none
+    "series": (("lineitem", "supplier"), """
+        SELECT t.task, z.entity, z.day, CASE t.k WHEN 1 THEN q WHEN 2 THEN q / n WHEN 3 THEN ev ELSE industry END AS value
+        FROM (SELECT CAST(CAST(s_nationkey AS BIGINT) AS VARCHAR(20)) AS entity, day, SUM(q) AS q, SUM(ev) AS ev, SUM(industry) AS industry, SUM(n) AS n
+              FROM (SELECT l_suppkey, CAST(l_shipdate AS DATE) AS day, SUM(l_quantity) AS q, SUM(CASE WHEN l_linenumber = 1 THEN l_quantity ELSE 0 END) AS ev, SUM(l_quantity * l_discount) AS industry, COUNT(*) AS n
+                    FROM {lineitem} GROUP BY l_suppkey, CAST(l_shipdate AS DATE)) AS d JOIN {supplier} ON l_suppkey = s_suppkey GROUP BY CAST(CAST(s_nationkey AS BIGINT) AS VARCHAR(20)), day) AS z
+        CROSS JOIN (VALUES (1, 'demanda_zona'), (2, 'carga_relativa_zona'), (3, 'demanda_ev_zona'), (4, 'demanda_industrial_zona')) AS t(k, task)
+        UNION ALL
+        SELECT 'demanda_subestacion', CAST(l_suppkey % 50 AS VARCHAR(20)), CAST(l_shipdate AS DATE), SUM(l_quantity) FROM {lineitem} GROUP BY CAST(l_suppkey % 50 AS VARCHAR(20)), CAST(l_shipdate AS DATE)"""),
+    "hours": (("events",), """
+        SELECT user_id % 2 AS zone_id, date_trunc('hour', ts) AS ts, SUM(value) AS value, MAX(CASE WHEN hour(ts) BETWEEN 18 AND 21 THEN 1 ELSE 0 END) = 1 AS peak
+        FROM {events} GROUP BY user_id % 2, date_trunc('hour', ts)"""),
 }
 
 
@@ -93,7 +105,7 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def role(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A domain frame made from the general tables."""
+    """A domain frame made from the general tables; a role that they don't play is a ``KeyError``."""
     tables, text = ROLES[name]
     return spark.sql(text, **{t: load(spark, sf_dir, t) for t in tables})
 

@@ -2,15 +2,16 @@
 
 import csv
 import datetime as dt
+import inspect
 import json
 import random
 from pathlib import Path
 
 import pytest
 
-from gridloom.plans import domain, q_board, registry
+from gridloom.plans import domain, q_board, q_checks, q_decisions, q_kpi, q_marts, registry
 from gridloom.plans.decisions import Decisions
-from gridloom.sources import grid_csv
+from gridloom.sources import grid_csv, stages
 
 START = dt.datetime(2024, 3, 1)
 KINDS = ("nuevo_alimentador", "almacenamiento_red", "automatizacion_avanzada", "gestion_demanda")
@@ -108,6 +109,68 @@ def test_filtered_table_keeps_its_order(spark, tmp_path):
     m.release()
 
 
+#: Queries that read the general tables themselves, so that the domain's files have nothing for them.
+GENERAL = {name for name, q in registry.catalogue().items() if "m.table(" in inspect.getsource(q.plan) or q.name in ("catalogue_columns",)}
+
+
+@pytest.mark.parametrize("module", [q_decisions, q_board, q_kpi, q_checks, q_marts])
+def test_every_query_runs_on_the_domains_files(spark, marts, module):
+    failed = {}
+    for q in module.QUERIES:
+        if q.name not in GENERAL:
+            try:
+                q.run(spark, marts.sf_dir, marts).collect()
+            except Exception as e:
+                failed[q.name] = str(e)[:300]
+    assert not failed
+
+
+def scored(marts, **given):
+    """Scores of the same layers under other inputs of the forecast and anomaly stages."""
+    m = Decisions(marts.spark, marts.sf_dir, marts._frame)
+    m._kept.update(marts._kept)
+    m.__dict__.update({k: v for k, v in marts.__dict__.items() if k in marts._kept and k not in ("score_base", "scores", "options", "ranking", "predictability", "zone_intensity")})
+    return {r.zone_id: r for r in m.use(**given).score_base.collect()}, m
+
+
+def test_scores_with_and_without_earlier_stages(spark, marts, tmp_path):
+    own = {r.zone_id: r for r in marts.score_base.collect()}
+    assert set(own) == {"Z0", "Z1", "Z2"} and all(r.decision == "forecast_no_disponible" and r.mae == 0 for r in own.values())  # three days are no series
+    assert any(r.mean_score > 0 for r in own.values())
+    bare, m = scored(marts, forecast=None, anomaly=f"{tmp_path}/not_there.csv")
+    assert all((r.mae, r.new_ratio, r.decision, r.mean_score, r.critical, r.congestion_share) == (0, 0, "forecast_no_disponible", 0, 0, 0) for r in bare.values())
+    assert m.ranking.count() == 3 and m.scenario_summary.count() == len(scenarios_of(m))
+    m.release()
+    Path(f"{tmp_path}/forecast.csv").write_text("Zone_ID,mae,decision,more\nZ0,2.5,forecast_suficiente_para_diferir_capex,x\nZ9,1,y,z\n")
+    spark.createDataFrame([("Z1", 4, 3.5)], "zone_id string, n int, mean_score double").write.parquet(f"{tmp_path}/anomaly.parquet")
+    some, m = scored(marts, forecast=f"{tmp_path}/forecast.csv", anomaly=f"{tmp_path}/anomaly.parquet")
+    assert {z: (r.mae, r.new_ratio, r.decision, r.mean_score) for z, r in some.items()} == {"Z0": (2.5, 0, "forecast_suficiente_para_diferir_capex", 0), "Z1": (0, 0, "forecast_no_disponible", 3.5), "Z2": (0, 0, "forecast_no_disponible", 0)}
+    m.release()
+
+
+def scenarios_of(m):
+    return m.scenarios.select("scenario").distinct().collect()
+
+
+def test_an_input_without_rows_or_columns(spark, tmp_path):
+    from pyspark.sql.types import LongType, StringType
+
+    got = stages.resolve(spark, "forecast", f"{tmp_path}/none", StringType())
+    assert got.count() == 0 and [f.simpleString() for f in got.schema] == ["zone_id:string", "mae:double", "new_ratio:double", "decision:string"]
+    (tmp_path / "empty").mkdir()
+    assert stages.resolve(spark, "anomaly", f"{tmp_path}/empty", LongType()).schema["zone_id"].dataType == LongType()
+    assert stages.resolve(spark, "scoring", spark.createDataFrame([(1, "x")], "ZONE_ID int, tier string"), LongType()).collect() == [(1, None, "x", None)]
+
+
+def test_filtered_table_of_the_domains_files(marts, tmp_path):
+    domain.export_priorities(q_board.filtered(marts), f"{tmp_path}/all.csv")
+    (part,) = Path(f"{tmp_path}/all.csv").glob("*.csv")
+    with open(part) as f:
+        got = list(csv.DictReader(f))
+    assert {r["zone_id"] for r in got} == {"Z0", "Z1", "Z2"} and [float(r["priority"]) for r in got] == sorted((float(r["priority"]) for r in got), reverse=True)
+    assert q_board.filtered(marts, station="S1").count() == 1
+
+
 def test_no_query_repeats_scans(spark):
     """Plans read stored layers: none has more than 40 leaves."""
     shared = Decisions(spark, "/root/testdata/sf0.001")

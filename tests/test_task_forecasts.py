@@ -35,7 +35,8 @@ def close(got, want):
 def marts(spark):
     rng = random.Random(5)
     nodes = [(f"z{i % 2}", f"s{i}", START + dt.timedelta(hours=h), rng.random() * 9, rng.random(), (h + i) % 24 == 18) for i in range(3) for h in range(212 * 24)]
-    m = Decisions(spark, "", lambda role: spark.createDataFrame([("z0", "urbana"), ("z1", "rural")], "zone_id string, zone_type string"))
+    zones = {"zones": spark.createDataFrame([("z0", "urbana"), ("z1", "rural")], "zone_id string, zone_type string")}
+    m = Decisions(spark, "", zones.__getitem__)
     m.__dict__["node_state"] = spark.createDataFrame(nodes, "zone_id string, station_id string, ts timestamp, demand_mw double, load_ratio double, peak_flag boolean").withColumn("day", F.to_date("ts")).cache()
     days = m.node_state.groupBy("zone_id", "day").agg(F.sum("demand_mw").alias("demand_mwh"))
     m.__dict__["zone_day"] = days.withColumns({"ev_mwh": F.col("demand_mwh") / 3 + F.dayofmonth("day"), "industry_mwh": F.col("demand_mwh") / F.dayofmonth("day")}).cache()

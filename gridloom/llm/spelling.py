@@ -36,7 +36,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import discard, load, released, runs, small_batches, stored
+from gridloom.llm.common import discard, load, released, small_batches, stored
 
 RUN = re.compile("[A-Za-zÀ-ÿ]+")
 CHANGED = 199
@@ -227,16 +227,27 @@ def near_of(group: list[tuple[int, str, int, int, int]]) -> Iterator[tuple[int,
                 yield m[0], 1, own[2], own[1]
 
 
+def _best(rows: list[tuple[int, int, int, str]]) -> pd.DataFrame:
+    return pd.DataFrame({c: pd.Series([r[i] for r in rows], dtype=object if c == "best" else "int64") for i, c in enumerate(("id", "near", "best_n", "best"))})
+
+
 def near_words(words: DataFrame) -> DataFrame:
     """``id, n_near, near_n, near``: how many near words a word has, and the most frequent of them."""
     small_batches(words.sparkSession)
     groups = stored(shared(by_radix(keys(words), "id")), "groups")
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for _, pdf in runs(batches, ["key"]):
-            out = list(near_of(list(zip(pdf["id"], pdf["word"], pdf["n"], pdf["kind"], pdf["place"], strict=True))))
-            if out:
-                yield pd.DataFrame({c: pd.Series(v, dtype=object if c == "best" else "int64") for c, v in zip(("id", "near", "best_n", "best"), zip(*out, strict=True), strict=True)})
+        key, group, out = None, [], []
+        for pdf in batches:
+            for k, *row in zip(*(pdf[c].tolist() for c in ("key", "id", "word", "n", "kind", "place")), strict=True):
+                if k != key:  # a group may span batches
+                    out += near_of(group)
+                    key, group = k, []
+                group.append(tuple(row))
+            yield _best(out)
+            out = []
+        yield _best(list(near_of(group)))
+        released()
 
     full = by_radix(groups.join(words, "id").select("key", "id", "word", "n", "kind", "place"), "id")
     each = full.mapInPandas(find, "id long, near long, best_n long, best string")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.exprs import anomaly_severity, ratio
-from gridloom.operators.quantiles import group_percentile
+from gridloom.operators.quantiles import Once, group_percentile
 
 COLUMNS = ("ts", "day", "zone_id", "station_id", "feeder_id", "anomaly_type", "observed", "threshold", "score", "explanation")
 # What to do on each type.
@@ -56,14 +56,14 @@ def unexpected_demand(nodes: DataFrame, limit: float = 3.0) -> DataFrame:
     return _shape(rows, "demanda_inesperada", F.col("demand_mw"), F.col("mean_24") + F.lit(limit) * F.col("spread"), F.abs("z"), why)
 
 
-def abnormal_load(nodes: DataFrame, share: float = 0.99, limit: float = 1.15) -> DataFrame:
-    rows = group_percentile(nodes, "feeder_id", "load_ratio", share, "p").where((F.col("load_ratio") >= F.col("p")) | (F.col("load_ratio") >= limit))
+def abnormal_load(nodes: DataFrame, share: float = 0.99, limit: float = 1.15, once: Once | None = None) -> DataFrame:
+    rows = group_percentile(nodes, "feeder_id", "load_ratio", share, "p", once).where((F.col("load_ratio") >= F.col("p")) | (F.col("load_ratio") >= limit))
     return _shape(rows, "carga_relativa_anormal", F.col("load_ratio"), F.greatest("p", F.lit(limit)), F.lit(2.5) + F.greatest(F.col("load_ratio") - 1.0, F.lit(0.0)) * 10.0, F.lit(WHY["carga_relativa_anormal"][0]))
 
 
-def abnormal_curtailment(nodes: DataFrame, share: float = 0.99, limit: float = 0.18) -> DataFrame:
+def abnormal_curtailment(nodes: DataFrame, share: float = 0.99, limit: float = 0.18, once: Once | None = None) -> DataFrame:
     rows = nodes.withColumn("cut", F.coalesce("curtailment_ratio", F.lit(0.0)))
-    rows = group_percentile(rows, "zone_id", "cut", share, "p").where((F.col("cut") >= F.col("p")) & (F.col("cut") >= limit))
+    rows = group_percentile(rows, "zone_id", "cut", share, "p", once).where((F.col("cut") >= F.col("p")) & (F.col("cut") >= limit))
     return _shape(rows, "curtailment_anormal", F.col("cut"), F.greatest("p", F.lit(limit)), F.lit(2.0) + F.col("cut") * 8.0, F.lit(WHY["curtailment_anormal"][0]))
 
 

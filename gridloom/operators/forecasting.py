@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.exprs import ratio
+from gridloom.operators.ranges import month, positions
+from gridloom.operators.scan import smoothed
 
 MODELS = ("naive", "seasonal_naive", "moving_average", "linear_trend", "exp_smoothing")
 TREND = 180
-MEMORY = 100
 #: Period, window of the mean and held-out rows of the domain's daily and hourly tasks.
 DAILY = {"period": 7, "window": 7, "horizon": 90}
 HOURLY = {"period": 24, "window": 24, "horizon": 504}
@@ -19,20 +20,20 @@ ALPHA = 0.35
 def backtest(series: DataFrame, entity: str, at: str, value: str, horizon: int = 90, period: int = 7, window: int = 7, least: int = 120) -> DataFrame:
     """``entity, at, actual`` of the last ``horizon`` rows of each series, with a column for each model.
 
-    Series of fewer than ``horizon + least`` rows are left out. Only the rows
-    that the held-out ones look back on are kept, so the windows work on a fixed
-    number of rows a series. The trend is the least-squares line over the last
-    180 rows. Exponential smoothing folds the last 100 rows: older ones weigh
-    less than 1e-18.
+    Series of fewer than ``horizon + least`` rows are left out. A row's place in
+    its series and the smoothed level before it are found in pieces of the
+    series (by month); the other models look back on ``TREND`` rows at most, so
+    their windows work on a fixed number of rows a series. The trend is the
+    least-squares line over the last 180 rows. Exponential smoothing is that of
+    the whole series before the row.
     """
-    long_enough = series.groupBy(entity).count().where(F.col("count") >= horizon + least).select(entity)
-    latest = Window.partitionBy(entity).orderBy(F.desc(at))
-    rows = series.select(entity, at, F.col(value).cast("double").alias("actual")).join(long_enough, entity)
-    rows = rows.withColumn("back", F.row_number().over(latest)).where(F.col("back") <= horizon + TREND)
+    rows = series.select(entity, at, F.col(value).cast("double").alias("actual")).where("actual is not null")
+    rows = positions(rows, [entity], month(at), [at], "place", "length").where(F.col("length") >= horizon + least)
+    rows = smoothed(rows, [entity], "place", "actual", ALPHA, "exp_smoothing")
+    rows = rows.withColumn("back", F.col("length") - F.col("place")).where(F.col("back") <= horizon + TREND)
     w = Window.partitionBy(entity).orderBy(at)
     rows = rows.withColumn("t", -F.col("back").cast("double"))
     before = w.rowsBetween(-TREND, -1)
-    fold = F.aggregate(F.slice("past", 2, MEMORY), F.col("past")[0], lambda level, y: F.lit(ALPHA) * y + F.lit(1 - ALPHA) * level)
     out = rows.withColumns({
         "naive": F.lag("actual", 1).over(w),
         "seasonal_naive": F.coalesce(F.lag("actual", period).over(w), F.lag("actual", 1).over(w)),
@@ -40,9 +41,8 @@ def backtest(series: DataFrame, entity: str, at: str, value: str, horizon: int =
         "slope": F.regr_slope("actual", "t").over(before),
         "mean_y": F.avg("actual").over(before),
         "mean_t": F.avg("t").over(before),
-        "past": F.collect_list("actual").over(w.rowsBetween(-MEMORY, -1)),
     }).where(F.col("back") <= horizon)
-    return out.withColumns({"linear_trend": F.coalesce(F.col("mean_y") + F.col("slope") * (F.col("t") - F.col("mean_t")), "naive"), "exp_smoothing": fold}).select(entity, at, "actual", *MODELS)
+    return out.withColumn("linear_trend", F.coalesce(F.col("mean_y") + F.col("slope") * (F.col("t") - F.col("mean_t")), "naive")).select(entity, at, "actual", *MODELS)
 
 
 def by_model(wide: DataFrame, keys: list[str], models: tuple[str, ...] = MODELS) -> DataFrame:

@@ -1,42 +1,47 @@
-"""Exact quantiles of large groups: a histogram finds the bins that hold them, and only those bins' values are ordered."""
+"""Exact quantiles of very many or very large groups, by the places of their values.
+
+Equal values are counted where the rows are. The counted values are dealt by
+ranges of (group, value), so many small groups share a task and a large one
+spans several; a range's sums per group give the places at which it begins. The
+values at the wanted places are then at hand: no task holds a group's values
+and no group's figures are broadcast.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BINS = 4096
-
+from gridloom.operators.ranges import ALL, UPTO, joined
+from gridloom.sources.shared import stored
 
-def group_percentile(df: DataFrame, group: str, value: str, share: float, out: str) -> DataFrame:
-    """Add ``out``, the exact percentile of ``value`` in each row's ``group``; equal values are counted where the rows are."""
-    counts = df.groupBy(group, value).agg(F.count(F.lit(1)).alias("times"))
-    return df.join(counts.groupBy(group).agg(F.percentile(value, share, F.col("times")).alias(out)), group, "left")
+Once = Callable[[DataFrame, str], DataFrame]
 
 
-def quantiles(df: DataFrame, group: list[str], value: str, shares: dict[str, float], bins: int = BINS) -> DataFrame:
+def quantiles(df: DataFrame, group: list[str], value: str, shares: dict[str, float], once: Once | None = None) -> DataFrame:
     """``group`` with a column for each of ``shares`` (name: share), interpolated between neighbours; nulls don't count.
 
-    Groups are few (their figures are broadcast); each may hold any number of
-    rows. No task gets more than the counts of one group's bins, or the distinct
-    values of one bin.
+    A group without values has no row. ``once`` stores what two plans read.
     """
-    rows = df.select(*group, F.col(value).cast("double").alias("v")).where("v is not null")
-    ends = rows.groupBy(*group).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count(F.lit(1)).alias("n"))
-    at = F.when(F.col("hi") > F.col("lo"), F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * F.lit(bins))).otherwise(F.lit(0))
-    binned = rows.join(F.broadcast(ends), group).withColumn("bin", F.least(at, F.lit(bins - 1)))
-    upto = Window.partitionBy(*group).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    counted = binned.groupBy(*group, "n", "bin").agg(F.count(F.lit(1)).alias("in_bin")).withColumn("before", F.coalesce(F.sum("in_bin").over(upto), F.lit(0)))
-    # the two places around each share, counted from 0
-    wanted = F.array(*(F.struct(F.lit(name).alias("name"), F.lit(side).alias("side"), (F.floor if side == "low" else F.ceil)(F.lit(q) * (F.col("n") - 1)).alias("place")) for name, q in shares.items() for side in ("low", "high")))
-    hit = counted.withColumn("w", F.explode(wanted)).where((F.col("w.place") >= F.col("before")) & (F.col("w.place") < F.col("before") + F.col("in_bin")))
-    hit = hit.select(*group, "bin", "before", F.col("w.name").alias("name"), F.col("w.side").alias("side"), F.col("w.place").alias("place"))
-    values = binned.join(F.broadcast(hit.select(*group, "bin").distinct()), [*group, "bin"], "left_semi").groupBy(*group, "bin", "v").agg(F.count(F.lit(1)).alias("times"))
-    passed = F.sum("times").over(Window.partitionBy(*group, "bin").orderBy("v"))
-    values = values.withColumn("upto", passed).withColumn("since", F.col("upto") - F.col("times"))
-    found = hit.join(values, [*group, "bin"]).where((F.col("place") - F.col("before") >= F.col("since")) & (F.col("place") - F.col("before") < F.col("upto")))
-    of = lambda name, side: F.max(F.when((F.col("name") == name) & (F.col("side") == side), F.col("v")))
-    sides = found.groupBy(*group).agg(*(of(name, side).alias(f"{name}_{side}") for name in shares for side in ("low", "high")))
-    part = lambda q: F.lit(q) * (F.col("n") - 1) - F.floor(F.lit(q) * (F.col("n") - 1))
-    out = sides.join(F.broadcast(ends.select(*group, "n")), group)
-    return out.select(*group, *((F.col(f"{name}_low") + (F.col(f"{name}_high") - F.col(f"{name}_low")) * part(q)).alias(name) for name, q in shares.items()))
+    once = once or (lambda d, label: stored(d, label)[0])
+    counts = df.select(*group, F.col(value).cast("double").alias("v")).where("v is not null").groupBy(*group, "v").agg(F.count(F.lit(1)).alias("times"))
+    ranged = once(counts.repartitionByRange(*(F.col(c).asc_nulls_first() for c in group), F.col("v")).withColumn("part", F.spark_partition_id()), "quantile_ranges")
+    keys = [*group, "part"]
+    w = Window.partitionBy(*group).orderBy("part")
+    sizes = ranged.groupBy(*keys).agg(F.sum("times").alias("in_part"))
+    bases = sizes.select(*keys, F.coalesce(F.sum("in_part").over(w.rowsBetween(*UPTO)), F.lit(0)).alias("before"), F.sum("in_part").over(w.rowsBetween(*ALL)).alias("n"))
+    passed = F.sum("times").over(Window.partitionBy(*keys).orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    rows = joined(ranged.withColumn("upto", passed), bases, keys).withColumn("upto", F.col("upto") + F.col("before")).withColumn("since", F.col("upto") - F.col("times"))
+    place = lambda q: F.lit(q) * (F.col("n") - 1)
+    at = lambda p: F.max(F.when((p >= F.col("since")) & (p < F.col("upto")), F.col("v")))
+    sides = rows.groupBy(*group).agg(F.max("n").alias("n"), *(at(side(place(q))).alias(f"{name}_{k}") for name, q in shares.items() for k, side in (("low", F.floor), ("high", F.ceil))))
+    mixed = lambda name, q: F.col(f"{name}_low") + (F.col(f"{name}_high") - F.col(f"{name}_low")) * (place(q) - F.floor(place(q)))
+    return sides.select(*group, *(mixed(name, q).alias(name) for name, q in shares.items()))
+
+
+def group_percentile(df: DataFrame, group: str, value: str, share: float, out: str, once: Once | None = None) -> DataFrame:
+    """Add ``out``, the exact percentile of ``value`` in each row's ``group``; null where the group has no value."""
+    found = quantiles(df, [group], value, {out: share}, once).withColumnRenamed(group, "percentile_of")
+    return df.join(found, F.col(group).eqNullSafe(F.col("percentile_of")), "left").drop("percentile_of")

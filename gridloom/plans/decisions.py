@@ -138,18 +138,21 @@ class Decisions(Marts):
 
     # anomalies
 
-    @cached_property
-    def anomaly_parts(self) -> dict[str, DataFrame]:
+    DETECTORS = ("demand", "load", "curtailment", "ens", "station", "pattern")
+
+    def detected(self, detector: str) -> DataFrame:
+        """What one detector finds; ids that it has none of are null, in the source's own type."""
+        self.keep("node_features", "zone_day")
         n, z = self.node_features, self.zone_day
-        parts = {"demand": anomalies.unexpected_demand(n), "load": anomalies.abnormal_load(n), "curtailment": anomalies.abnormal_curtailment(n), "ens": anomalies.atypical_ens(z), "station": anomalies.station_trend(n), "pattern": anomalies.off_pattern(n)}
-        # a detector over zones or substations has no ids of the others: theirs are null, in the source's own type
-        kinds = {c: n.schema[c].dataType for c in ("zone_id", "station_id", "feeder_id")}
-        return {k: df.withColumns({c: F.col(c).cast(kind) for c, kind in kinds.items()}) for k, df in parts.items()}
+        df = {
+            "demand": lambda: anomalies.unexpected_demand(n), "load": lambda: anomalies.abnormal_load(n, once=self.once), "curtailment": lambda: anomalies.abnormal_curtailment(n, once=self.once),
+            "ens": lambda: anomalies.atypical_ens(z), "station": lambda: anomalies.station_trend(n), "pattern": lambda: anomalies.off_pattern(n),
+        }[detector]()
+        return df.withColumns({c: F.col(c).cast(n.schema[c].dataType) for c in ("zone_id", "station_id", "feeder_id")})
 
     @cached_property
     def anomalies(self) -> DataFrame:
-        self.keep("node_features", "zone_day")
-        return anomalies.union(list(self.anomaly_parts.values()))
+        return anomalies.union([self.detected(d) for d in self.DETECTORS])
 
     @cached_property
     def anomaly_ids(self) -> DataFrame:

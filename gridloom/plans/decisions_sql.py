@@ -19,7 +19,7 @@ predicted AS (
   SELECT task, zone_id, day, actual, rn, n, lag(actual, 1) OVER w AS naive, coalesce(lag(actual, 7) OVER w, lag(actual, 1) OVER w) AS seasonal_naive,
          avg(actual) OVER (w ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING) AS moving_average,
          regr_intercept(actual, rn) OVER (w ROWS BETWEEN 180 PRECEDING AND 1 PRECEDING) + regr_slope(actual, rn) OVER (w ROWS BETWEEN 180 PRECEDING AND 1 PRECEDING) * rn AS linear_trend,
-         list(actual) OVER (w ROWS BETWEEN 100 PRECEDING AND 1 PRECEDING) AS past
+         list(actual) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS past
   FROM numbered WINDOW w AS (PARTITION BY task, zone_id ORDER BY day)),
 held AS (SELECT * EXCLUDE (past), list_reduce(past, lambda a, v: 0.35::DOUBLE * v + 0.65::DOUBLE * a) AS exp_smoothing FROM predicted WHERE n >= 210 AND rn > n - 90),
 errors AS (""" + "\nUNION ALL ".join(f"SELECT task, zone_id, day, actual, '{m}' AS model, {m} AS predicted, {m} - actual AS error FROM held" for m in MODELS) + """),
@@ -131,7 +131,7 @@ def _held(name: str, series: str, by: str, at: str, period: int, window: int, ho
 {name}_numbered AS (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY {at}) AS rn, count(*) OVER (PARTITION BY {by}) AS n FROM {series}),
 {name}_predicted AS (
   SELECT *, lag(actual, 1) OVER w AS naive, coalesce(lag(actual, {period}) OVER w, lag(actual, 1) OVER w) AS seasonal_naive, avg(actual) {before(window)} AS moving_average,
-         regr_intercept(actual, rn) {before(180)} + regr_slope(actual, rn) {before(180)} * rn AS linear_trend, list(actual) {before(100)} AS past
+         regr_intercept(actual, rn) {before(180)} + regr_slope(actual, rn) {before(180)} * rn AS linear_trend, list(actual) {before('UNBOUNDED')} AS past
   FROM {name}_numbered WINDOW w AS (PARTITION BY {by} ORDER BY {at})),
 {name} AS (SELECT * EXCLUDE (past), list_reduce(past, lambda a, v: 0.35::DOUBLE * v + 0.65::DOUBLE * a) AS exp_smoothing FROM {name}_predicted WHERE n >= {horizon + 120} AND rn > n - {horizon}),
 {name}_errors AS (""" + "\nUNION ALL ".join(f"SELECT *, '{m}' AS model, {m} AS predicted, {m} - actual AS error FROM {name}" for m in MODELS) + ")"

@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 
 from gridloom.functions.exprs import boundaries, count_if, known, ratio, severity_rank, weighted
 from gridloom.operators.intervals import hourly, overlapping
+from gridloom.operators.quantiles import group_percentile
+from gridloom.operators.ranges import month as by_month
+from gridloom.operators.ranges import windowed
 from gridloom.operators.scales import percent_of_max, share_of_max, with_totals
 from gridloom.sources import tables
 from gridloom.sources.shared import remove, stored
@@ -267,15 +270,17 @@ class Marts:
         self.keep("node_state", "asset_exposure")
         keys = ["feeder_id", "station_id", "zone_id", "hour_of_day", "day_type"]
         usual = self.node_state.groupBy(*keys).agg(F.avg("demand_mw").alias("usual_mw"))
+        # a substation's feeders tie on the hour; the feeder makes the order total
+        stations = self.node_state.select("station_id", "ts", "feeder_id").distinct()
         failed = hourly(self.outages.select("station_id", "ts_start", "ts_end"), "ts_start", "ts_end", "ts").groupBy("station_id", "ts").agg(F.count(F.lit(1)).alias("outages_now"))
         frail = self.asset_exposure.groupBy("station_id", "feeder_id").agg((F.avg("exposure_score") / 100.0).alias("fragility"))
         zones = self.frame("zones").select("zone_id", "climate_risk")
-        n = self.node_state.join(usual, keys, "left").join(failed, ["station_id", "ts"], "left").join(frail, ["station_id", "feeder_id"], "left").join(zones, "zone_id", "left")
+        # narrow rows, in blocks that carry the 719 rows before: no substation's history is one task
+        failed = windowed(stations.join(failed, ["station_id", "ts"], "left").withColumn("outages_now", known("outages_now", 0)), ["station_id"], by_month("ts"), ["ts", "feeder_id"], {"outages_720": lambda w: F.sum("outages_now").over(w.rowsBetween(-719, 0))}, back=719)
+        n = self.node_state.join(usual, keys, "left").join(failed, ["station_id", "ts", "feeder_id"], "left").join(frail, ["station_id", "feeder_id"], "left").join(zones, "zone_id", "left")
         n = n.withColumns({"outages_now": known("outages_now", 0), "fragility": known("fragility"), "congested_now": F.col("congested").cast("int")})
         own = Window.partitionBy("feeder_id").orderBy("ts")
         day, week, month = own.rowsBetween(-23, 0), own.rowsBetween(-167, 0), own.rowsBetween(-719, 0)
-        # a substation's feeders tie on the hour; the feeder makes the order total
-        station = Window.partitionBy("station_id").orderBy("ts", "feeder_id").rowsBetween(-719, 0)
         return n.withColumns({
             "overloaded": F.when(F.col("load_ratio") >= 1.0, 1).otherwise(0),
             "nearness": F.greatest(F.least(F.lit(1.0) - F.abs(F.lit(1.0) - F.col("load_ratio")), F.lit(1.0)), F.lit(0.0)),
@@ -284,7 +289,6 @@ class Marts:
             "max_168": F.max("load_ratio").over(week),
             "congested_168": F.sum("congested_now").over(week),
             "congested_720": F.sum("congested_now").over(month),
-            "outages_720": F.sum("outages_now").over(station),
             "vs_usual": ratio(F.col("demand_mw") - F.coalesce("usual_mw", "demand_mw"), F.coalesce("usual_mw", "demand_mw")),
             "ev_pressure": ratio("ev_alloc_mw", "demand_mw"),
             "industry_pressure": ratio("industry_alloc_mw", "demand_mw"),
@@ -298,9 +302,10 @@ class Marts:
         self.keep("node_state")
         ranks = self.events.groupBy("zone_id", F.to_date("ts_start").alias("day")).agg(F.avg("severity_rank").alias("mean_rank"))
         assets = self.asset_exposure.groupBy("zone_id").agg(F.avg("exposure_score").alias("exposure"))
-        out = self.zone_day.join(ranks, ["zone_id", "day"], "left").join(assets, "zone_id", "left")
+        self.keep("zone_day")
+        out = group_percentile(self.zone_day, "zone_id", "max_load_ratio", 0.95, "load_p95", self.once).join(ranks, ["zone_id", "day"], "left").join(assets, "zone_id", "left")
         return out.withColumns({
-            "mean_rank": known("mean_rank"), "exposure": known("exposure"), "load_p95": F.percentile("max_load_ratio", 0.95).over(Window.partitionBy("zone_id")),
+            "mean_rank": known("mean_rank"), "exposure": known("exposure"),
             "unserved_mwh": F.col("ens_mwh") + F.lit(0.15) * F.col("curtailment_mwh"), "risk_cost": weighted({"ens_mwh": 2500.0, "curtailment_mwh": 90.0, "congested_hours": 45.0})})
 
     @cached_property

@@ -270,7 +270,7 @@ def distributions(m: Decisions) -> DataFrame:
         return one.select(F.explode(F.array(*(F.struct(F.lit(f"{role}.{c}").alias("column_name"), *(F.col(f"{c}_{n}").alias(n) for n in ("low", "high", "mean"))) for c in NUMERIC[role]))).alias("r")).select("r.*")
 
     values = m.once(_every(m, long, NUMERIC), "values")
-    return _every(m, plain, NUMERIC).join(quantiles(values, ["column_name"], "value", {"middle": 0.5, "p95": 0.95}), "column_name", "left")
+    return _every(m, plain, NUMERIC).join(quantiles(values, ["column_name"], "value", {"middle": 0.5, "p95": 0.95}, m.once), "column_name", "left")
 
 
 DISTRIBUTIONS_SQL = " UNION ALL ".join(f"SELECT '{r}.{c}' AS column_name, min({c}::DOUBLE) AS low, quantile_cont({c}::DOUBLE, 0.5) AS middle, quantile_cont({c}::DOUBLE, 0.95) AS p95, max({c}::DOUBLE) AS high, avg({c}::DOUBLE) AS mean FROM {r}" for r, cs in NUMERIC.items() for c in cs)

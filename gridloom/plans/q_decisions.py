@@ -16,7 +16,7 @@ SEVEN = " ".join(f"~{s}:3" for s in SCORES)
 
 
 def _part(name: str, table: str) -> Query:
-    return Query(name, SEEN, lambda m: m.anomaly_parts[table.removeprefix("a_")], f"SELECT * FROM {table}", more=ANOMALY)
+    return Query(name, SEEN, lambda m: m.detected(table.removeprefix("a_")), f"SELECT * FROM {table}", more=ANOMALY)
 
 
 _moved = list(URGENCY)[:2]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions.exprs import count_if, ratio, round_away
 from gridloom.operators.forecasting import metrics
+from gridloom.operators.quantiles import group_percentile, quantiles
 from gridloom.operators.scales import min_max, min_max_within, percent_of_max, share_of_max, with_totals
 from gridloom.plans.decisions import Decisions
 from gridloom.plans.marts_sql import rounded
@@ -18,6 +19,9 @@ HOUR = "^ts feeder_id"
 PROFILED = {"customer": ("c_custkey", "c_acctbal"), "orders": ("o_orderkey", "o_custkey"), "part": ("p_partkey", "p_retailprice"), "supplier": ("s_suppkey", "s_acctbal")}
 
 
+def _order_quantiles(m: Decisions) -> DataFrame:
+    return quantiles(m.table("orders"), ["o_orderstatus"], "o_totalprice", {"middle": 0.5, "p95": 0.95}, m.once)
+
 
 def _table(name: str, columns: str, plan, body: str) -> Query:
     """A query on the general tables alone."""
@@ -214,7 +218,7 @@ QUERIES = [
     _table("agg_month_trunc", "@month #n ~total:2 some_priority", _months, MONTHS),
     Query("agg_positive_gap", "zone_id ~excess_mwh", _excess, "SELECT d.zone_id, sum(greatest(d.demand_mw - f.capacity_mw, 0)) AS excess_mwh FROM demand d JOIN feeders f USING (feeder_id) GROUP BY 1"),
     _table("agg_having_dups", "l_orderkey l_linenumber #n", lambda m: m.table("lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1"),
-    _table("agg_quantiles", "o_orderstatus ~low:2 ~middle:2 ~p95:2 ~high:2 ~mean:2", lambda m: m.table("orders").groupBy("o_orderstatus").agg(F.min("o_totalprice").alias("low"), F.percentile("o_totalprice", 0.5).alias("middle"), F.percentile("o_totalprice", 0.95).alias("p95"), F.max("o_totalprice").alias("high"), F.avg("o_totalprice").alias("mean")),
+    _table("agg_quantiles", "o_orderstatus ~low:2 ~middle:2 ~p95:2 ~high:2 ~mean:2", lambda m: _order_quantiles(m).join(m.table("orders").groupBy("o_orderstatus").agg(F.min("o_totalprice").alias("low"), F.max("o_totalprice").alias("high"), F.avg("o_totalprice").alias("mean")), "o_orderstatus"),
            "SELECT o_orderstatus, min(o_totalprice) AS low, quantile_cont(o_totalprice, 0.5) AS middle, quantile_cont(o_totalprice, 0.95) AS p95, max(o_totalprice) AS high, avg(o_totalprice) AS mean FROM orders GROUP BY 1"),
     _table("agg_corr", "l_returnflag ~r", lambda m: m.table("lineitem").groupBy("l_returnflag").agg(F.corr("l_quantity", "l_extendedprice").alias("r")), "SELECT l_returnflag, corr(l_quantity, l_extendedprice) AS r FROM lineitem GROUP BY 1"),
     _table("agg_top3_values", "column_name value #n #place", _top_values,
@@ -232,7 +236,7 @@ QUERIES = [
     Query("win_rolling_24", f"{HOUR} ~volatility ~mean_24", _rolling, ROLLING),
     Query("win_rolling_168_720", f"{HOUR} ~max_168 #high_168 #high_720", _rolling, ROLLING),
     _table("win_lag_delta", "@month ~delta:2", lambda m: _months(m).withColumn("delta", F.col("total") - F.lag("total").over(Window.orderBy("month"))), f"SELECT month, total - lag(total) OVER (ORDER BY month) AS delta FROM ({MONTHS})"),
-    _table("win_quantile_partition", "s_suppkey ~p95:2", lambda m: m.table("supplier").withColumn("p95", F.percentile("s_acctbal", 0.95).over(Window.partitionBy("s_nationkey"))), "SELECT s_suppkey, quantile_cont(s_acctbal, 0.95) OVER (PARTITION BY s_nationkey) AS p95 FROM supplier"),
+    _table("win_quantile_partition", "s_suppkey ~p95:2", lambda m: group_percentile(m.table("supplier"), "s_nationkey", "s_acctbal", 0.95, "p95", m.once), "SELECT s_suppkey, quantile_cont(s_acctbal, 0.95) OVER (PARTITION BY s_nationkey) AS p95 FROM supplier"),
     _table("win_min_periods", "event_type @day ~mean_30:2 ~std_30:2", _min_periods,
            f"SELECT event_type, day, CASE WHEN n >= 7 THEN mean END AS mean_30, CASE WHEN n >= 7 THEN std END AS std_30 FROM (SELECT event_type, day, count(actual) OVER w AS n, avg(actual) OVER w AS mean, stddev_samp(actual) OVER w AS std FROM ({DAYS}) WINDOW w AS (PARTITION BY event_type ORDER BY day ROWS BETWEEN 29 PRECEDING AND CURRENT ROW))"),
     Query("win_lookahead_48", f"{HOUR} #high_ahead", _rolling, ROLLING),

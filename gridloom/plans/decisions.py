@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.exprs import known, round_away
@@ -218,6 +218,13 @@ class Decisions(Marts):
         self.keep("scores")
         return scoring.priorities(self.scores, scoring.best_option(self.options))
 
+    @cached_property
+    def ranking_table(self) -> DataFrame:
+        """The ranking as it is written out beside the scores: zones in the order of their priority, a row for each."""
+        self.keep("ranking")
+        place = F.row_number().over(Window.orderBy(round_away("priority", 6).desc(), "zone_id"))
+        return self.ranking.select("zone_id", "priority", "tier", place.alias("rank"))
+
     @cached_property
     def sensitivity(self) -> DataFrame:
         self.keep("scores")
@@ -229,6 +236,26 @@ class Decisions(Marts):
         base = self.zone_month_features.groupBy("zone_id").agg(F.avg("curtailment_mwh").alias("curtailment_base"))
         return scoring.scenarios(self.ranking, base)
 
+    @cached_property
+    def month_measures(self) -> DataFrame:
+        """Sums of a month and zone, and of a month, zone and type of the feeders' assets: what any filter of the board can be added up from.
+
+        One pass over the feeder-hours by GROUPING SETS; a feeder's type is that
+        of ``feeders``. Rows without ``asset_type`` and with ``of_type`` 0 are a zone's whole month.
+        """
+        self.keep("node_state", "asset_exposure")
+        kinds = self.asset_exposure.where("feeder_id IS NOT NULL").groupBy("feeder_id").agg(F.max("asset_type").alias("asset_type"))
+        n = self.node_state.join(kinds, "feeder_id", "left").withColumn("month", F.date_trunc("month", "day"))
+        sums = {
+            "hours": F.count(F.lit(1)), "congested_hours": F.sum(F.col("congested").cast("int")), "high_hours": F.sum(F.col("high_load").cast("int")), "demand_mwh": F.sum("demand_mw"), "load_sum": F.sum("load_ratio"),
+            "curtailment_mwh": F.sum("curtailment_alloc_mw"), "new_mwh": F.sum(F.col("ev_alloc_mw") + F.col("industry_alloc_mw")), "event_energy_mwh": F.sum("event_energy_mwh"),
+            "flex_gap_mwh": F.sum(F.greatest(F.col("critical_mw") - F.col("flex_cover_mw"), F.lit(0.0))), "peak_mw": F.max("demand_mw"),
+        }
+        by = [F.col("month"), F.col("zone_id"), F.col("asset_type")]
+        out = n.groupingSets([by[:2], by], *by).agg(F.grouping("asset_type").alias("whole"), *(v.alias(k) for k, v in sums.items()))
+        service = self.outage_overlaps.groupBy(F.date_trunc("month", "ts_start").alias("month"), "zone_id").agg(F.count("outage_id").alias("n_outages"), F.sum("customers").alias("customers"), F.sum("ens_mwh").alias("ens_mwh"), F.sum("minutes").alias("minutes"))
+        return out.join(service, ["month", "zone_id"], "left").fillna(0, ["n_outages", "customers", "ens_mwh", "minutes"])
+
     @cached_property
     def scenario_summary(self) -> DataFrame:
         sums = ("congestion", "ens", "curtailment", "flex_gap", "cost", "investment")

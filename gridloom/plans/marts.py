@@ -106,7 +106,8 @@ class Marts:
     def node_load(self) -> DataFrame:
         """Feeder-hours with the zone's components allotted by share of demand or of capacity."""
         self.keep("zone_hour")
-        base = self.frame("demand").join(self.feeder_shares, ["feeder_id", "station_id", "zone_id"])
+        # columns that only the profile's rules read stay out of the rows that are written
+        base = self.frame("demand").drop("reactive_mw", "month_of_year").join(self.feeder_shares.drop("base_load_mw"), ["feeder_id", "station_id", "zone_id"])
         # the zone's total is carried by the zone-hour row, so demand is shuffled by (hour, zone) once
         out = base.join(self.zone_hour, ["ts", "zone_id"], "left").withColumn("demand_share", ratio("demand_mw", "zone_demand_mw"))
         out = out.withColumns({

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.plans import q_board, q_checks, q_decisions, q_groups, q_kpi, q_marts, q_rows
+from gridloom.plans import q_board, q_checks, q_decisions, q_groups, q_kpi, q_layers, q_marts, q_rows
 from gridloom.plans.query import Query
 
-MODULES = (q_marts, q_decisions, q_kpi, q_rows, q_groups, q_board, q_checks)
+MODULES = (q_marts, q_decisions, q_kpi, q_rows, q_groups, q_board, q_checks, q_layers)
 
 
 def catalogue() -> dict[str, Query]:

@@ -29,16 +29,16 @@ FILES: dict[str, str] = {
 FRAMES: dict[str, tuple[str, dict[str, str]]] = {
     "zones": ("zonas_red", {"zona_id": "zone_id", "zona_nombre": "zone_name", "region_operativa": "region", "tipo_zona": "zone_type", "criticidad_territorial": "criticality", "potencial_flexibilidad": "flex_potential", "riesgo_climatico": "climate_risk", "tension_crecimiento_demanda": "growth_tension"}),
     "substations": ("subestaciones", {"subestacion_id": "station_id", "zona_id": "zone_id", "capacidad_mw": "capacity_mw", "capacidad_firme_mw": "firm_mw", "antiguedad_anios": "age_years"}),
-    "feeders": ("alimentadores", {"alimentador_id": "feeder_id", "subestacion_id": "station_id", "tipo_red": "grid_type", "capacidad_mw": "capacity_mw", "exposicion_climatica": "climate_exposure"}),
-    "demand": ("demanda_horaria", {"timestamp": "ts", "zona_id": "zone_id", "subestacion_id": "station_id", "alimentador_id": "feeder_id", "demanda_mw": "demand_mw", "temperatura": "temperature", "tipo_dia": "day_type", "hora": "hour_of_day", "hora_punta_flag": "peak_flag", "tension_sistema_proxy": "voltage"}),
-    "generation": ("generacion_distribuida", {"timestamp": "ts", "zona_id": "zone_id", "tecnologia": "technology", "generacion_mw": "generation_mw", "curtailment_estimado_mw": "curtailment_mw"}),
+    "feeders": ("alimentadores", {"alimentador_id": "feeder_id", "subestacion_id": "station_id", "tipo_red": "grid_type", "capacidad_mw": "capacity_mw", "exposicion_climatica": "climate_exposure", "carga_base_esperada": "base_load_mw"}),
+    "demand": ("demanda_horaria", {"timestamp": "ts", "zona_id": "zone_id", "subestacion_id": "station_id", "alimentador_id": "feeder_id", "demanda_mw": "demand_mw", "temperatura": "temperature", "tipo_dia": "day_type", "hora": "hour_of_day", "hora_punta_flag": "peak_flag", "tension_sistema_proxy": "voltage", "demanda_reactiva_proxy": "reactive_mw", "mes": "month_of_year"}),
+    "generation": ("generacion_distribuida", {"timestamp": "ts", "zona_id": "zone_id", "tecnologia": "technology", "generacion_mw": "generation_mw", "curtailment_estimado_mw": "curtailment_mw", "autoconsumo_estimado_mw": "self_use_mw", "vertido_estimado_mw": "spill_mw"}),
     "ev": ("demanda_ev", {"timestamp": "ts", "zona_id": "zone_id", "tipo_recarga": "charging_type", "demanda_ev_mw": "ev_mw"}),
     "industry": ("demanda_electrificacion_industrial", {"timestamp": "ts", "zona_id": "zone_id", "cluster_industrial": "cluster", "demanda_industrial_adicional_mw": "industry_mw"}),
-    "congestion": ("eventos_congestion", {"evento_id": "event_id", "timestamp_inicio": "ts_start", "timestamp_fin": "ts_end", "zona_id": "zone_id", "subestacion_id": "station_id", "alimentador_id": "feeder_id", "severidad": "severity", "energia_afectada_mwh": "energy_mwh", "impacto_servicio_flag": "service_flag"}),
+    "congestion": ("eventos_congestion", {"evento_id": "event_id", "timestamp_inicio": "ts_start", "timestamp_fin": "ts_end", "zona_id": "zone_id", "subestacion_id": "station_id", "alimentador_id": "feeder_id", "severidad": "severity", "energia_afectada_mwh": "energy_mwh", "impacto_servicio_flag": "service_flag", "carga_relativa_max": "max_ratio"}),
     "outages": ("interrupciones_servicio", {"interrupcion_id": "outage_id", "timestamp_inicio": "ts_start", "timestamp_fin": "ts_end", "zona_id": "zone_id", "subestacion_id": "station_id", "clientes_afectados": "customers", "energia_no_suministrada_mwh": "ens_mwh", "nivel_severidad": "severity", "relacion_congestion_flag": "congestion_flag"}),
     "assets": ("activos_red", {"activo_id": "asset_id", "tipo_activo": "asset_type", "subestacion_id": "station_id", "alimentador_id": "feeder_id", "edad_anios": "age_years", "estado_salud": "health", "probabilidad_fallo_proxy": "failure_p", "criticidad": "criticality", "capex_reposicion_estimado": "capex"}),
-    "flexibility": ("recursos_flexibilidad", {"recurso_id": "resource_id", "zona_id": "zone_id", "capacidad_flexible_mw": "flex_mw", "coste_activacion_eur_mwh": "cost_eur_mwh", "disponibilidad_media": "availability"}),
-    "storage": ("almacenamiento_distribuido", {"storage_id": "storage_id", "zona_id": "zone_id", "capacidad_energia_mwh": "energy_mwh", "capacidad_potencia_mw": "power_mw", "disponibilidad_media": "availability"}),
+    "flexibility": ("recursos_flexibilidad", {"recurso_id": "resource_id", "zona_id": "zone_id", "capacidad_flexible_mw": "flex_mw", "coste_activacion_eur_mwh": "cost_eur_mwh", "disponibilidad_media": "availability", "fiabilidad_activacion": "reliability", "madurez_operativa": "maturity"}),
+    "storage": ("almacenamiento_distribuido", {"storage_id": "storage_id", "zona_id": "zone_id", "capacidad_energia_mwh": "energy_mwh", "capacidad_potencia_mw": "power_mw", "disponibilidad_media": "availability", "eficiencia_roundtrip": "efficiency"}),
     "interventions": ("intervenciones_operativas", {"intervencion_id": "intervention_id", "zona_id": "zone_id", "capacidad_alivio_estimado_mw": "relief_mw", "coste_estimado": "cost", "tiempo_despliegue_dias": "days", "complejidad_operativa": "complexity"}),
     "investments": ("inversiones_posibles", {"inversion_id": "investment_id", "zona_id": "zone_id", "tipo_inversion": "investment_type", "capex_estimado": "capex", "reduccion_riesgo_esperada": "risk_reduction", "aumento_capacidad_esperado": "capacity_gain", "horizonte_meses": "horizon_months", "facilidad_implementacion": "ease", "impacto_resiliencia": "resilience"}),
     "macro": ("escenario_macro", {"fecha": "day", "escenario": "scenario", "crecimiento_demanda_indice": "growth_index", "penetracion_ev_indice": "ev_index"}),

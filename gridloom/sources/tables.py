@@ -24,18 +24,21 @@ ROLES: dict[str, tuple[tuple[str, ...], str]] = {
         FROM (SELECT DISTINCT user_id % 50 AS station_id FROM {events}) AS s"""),
     "feeders": (("events",), """
         SELECT user_id AS feeder_id, user_id % 50 AS station_id, CASE user_id % 2 WHEN 0 THEN 'aerea' ELSE 'subterranea' END AS grid_type,
-               CAST(40 + user_id * 11 % 90 AS DOUBLE) AS capacity_mw, (user_id * 19 % 100) / CAST(100 AS DOUBLE) AS climate_exposure
+               CAST(40 + user_id * 11 % 90 AS DOUBLE) AS capacity_mw, (user_id * 19 % 100) / CAST(100 AS DOUBLE) AS climate_exposure,
+               CAST(30 + user_id * 13 % 80 AS DOUBLE) AS base_load_mw
         FROM (SELECT DISTINCT user_id FROM {events}) AS f"""),
     "demand": (("events",), """
         SELECT ts, user_id % 25 AS zone_id, user_id % 50 AS station_id, user_id AS feeder_id, demand_mw,
                CAST(16 + (hour(ts) * 7 + day(ts) * 3) % 20 AS DOUBLE) AS temperature,
                CASE WHEN day(ts) % 7 IN (0, 6) THEN 'fin_de_semana' ELSE 'laborable' END AS day_type,
                CAST(hour(ts) AS INT) AS hour_of_day, hour(ts) BETWEEN 18 AND 21 AS peak_flag,
-               CAST(0.92 AS DOUBLE) + ((user_id * 13 + hour(ts) * 7) % 16) / CAST(100 AS DOUBLE) AS voltage
+               CAST(0.92 AS DOUBLE) + ((user_id * 13 + hour(ts) * 7) % 16) / CAST(100 AS DOUBLE) AS voltage,
+               demand_mw * CAST(0.3 AS DOUBLE) - CAST(0.5 AS DOUBLE) AS reactive_mw, CAST(month(ts) AS INT) AS month_of_year
         FROM (SELECT date_trunc('hour', ts) AS ts, user_id, SUM(value) AS demand_mw FROM {events} GROUP BY date_trunc('hour', ts), user_id) AS d"""),
     "generation": (("events",), """
         SELECT date_trunc('hour', ts) AS ts, user_id % 25 AS zone_id, CASE user_id % 2 WHEN 0 THEN 'solar' ELSE 'eolica' END AS technology,
-               CAST(0.4 AS DOUBLE) * SUM(value) AS generation_mw, CAST(0.1 AS DOUBLE) * SUM(CASE WHEN value > 60 THEN value ELSE 0 END) AS curtailment_mw
+               CAST(0.4 AS DOUBLE) * SUM(value) AS generation_mw, CAST(0.1 AS DOUBLE) * SUM(CASE WHEN value > 60 THEN value ELSE 0 END) AS curtailment_mw,
+               CAST(0.3 AS DOUBLE) * SUM(CASE WHEN value > 20 THEN value ELSE value + value END) AS self_use_mw, CAST(0.12 AS DOUBLE) * SUM(CASE WHEN value > 75 THEN value ELSE 0 END) AS spill_mw
         FROM {events} WHERE event_type = 'signup' GROUP BY date_trunc('hour', ts), user_id % 25, CASE user_id % 2 WHEN 0 THEN 'solar' ELSE 'eolica' END"""),
     "ev": (("events",), """
         SELECT date_trunc('hour', ts) AS ts, user_id % 25 AS zone_id, user_id % 3 AS charging_type, CAST(0.25 AS DOUBLE) * SUM(value) AS ev_mw
@@ -47,7 +50,7 @@ ROLES: dict[str, tuple[tuple[str, ...], str]] = {
         SELECT event_id, date_trunc('hour', ts) AS ts_start, ts + INTERVAL '1' MINUTE * CAST(floor(value) AS INT) AS ts_end, user_id % 25 AS zone_id,
                user_id % 50 AS station_id, user_id AS feeder_id,
                CASE WHEN value >= 100 THEN 'critica' WHEN value >= 50 THEN 'alta' WHEN value >= 20 THEN 'media' ELSE 'baja' END AS severity,
-               value * CAST(0.5 AS DOUBLE) AS energy_mwh, event_id % 5 = 0 AS service_flag
+               value * CAST(0.5 AS DOUBLE) AS energy_mwh, event_id % 5 = 0 AS service_flag, value / CAST(25 AS DOUBLE) AS max_ratio
         FROM {events} WHERE event_type = 'error'"""),
     "outages": (("events",), """
         SELECT event_id AS outage_id, ts AS ts_start, ts + INTERVAL '1' MINUTE * CAST(floor(value) AS INT) AS ts_end, user_id % 25 AS zone_id, user_id % 50 AS station_id,
@@ -63,11 +66,12 @@ ROLES: dict[str, tuple[tuple[str, ...], str]] = {
         FROM {customer}"""),
     "flexibility": (("supplier",), """
         SELECT s_suppkey AS resource_id, CAST(s_nationkey AS BIGINT) AS zone_id, abs(s_acctbal) / 500 AS flex_mw,
-               CAST(40 + s_suppkey % 60 AS DOUBLE) AS cost_eur_mwh, (50 + s_suppkey % 50) / CAST(100 AS DOUBLE) AS availability
+               CAST(40 + s_suppkey % 60 AS DOUBLE) AS cost_eur_mwh, (50 + s_suppkey % 50) / CAST(100 AS DOUBLE) AS availability,
+               (s_suppkey * 7 % 103) / CAST(100 AS DOUBLE) AS reliability, (s_suppkey * 3 % 90) / CAST(100 AS DOUBLE) AS maturity
         FROM {supplier} WHERE s_suppkey % 3 > 0"""),
     "storage": (("supplier",), """
         SELECT s_suppkey AS storage_id, CAST(s_nationkey AS BIGINT) AS zone_id, abs(s_acctbal) / 200 AS energy_mwh, abs(s_acctbal) / 800 AS power_mw,
-               (60 + s_suppkey % 40) / CAST(100 AS DOUBLE) AS availability
+               (60 + s_suppkey % 40) / CAST(100 AS DOUBLE) AS availability, (70 + s_suppkey % 33) / CAST(100 AS DOUBLE) AS efficiency
         FROM {supplier} WHERE s_suppkey % 3 = 0"""),
     "interventions": (("supplier",), """
         SELECT s_suppkey AS intervention_id, CAST(s_nationkey AS BIGINT) AS zone_id, abs(s_acctbal) / 400 AS relief_mw, abs(s_acctbal) * 20 AS cost,

@@ -6,12 +6,12 @@ from pathlib import Path
 
 import pytest
 
-from gridloom.plans import q_board, q_checks, q_groups, q_kpi, q_rows, registry
+from gridloom.plans import q_board, q_checks, q_groups, q_kpi, q_layers, q_rows, registry
 from gridloom.plans.decisions import Decisions
 
 FOLDER = "/root/testdata/sf0.001"
 ALSO = ["flexibility_zone", "assets_exposure", "mart_node_state", "mart_zone_month", "features_zone_month", "features_node", "features_candidates", "flexibility_gap", "investment_candidates", "join_interval_overlap", "anom_demand_z", "anom_load_p99", "anom_ids", "anom_zone_intensity", "fc_naive_seasonal_ma", "fc_benchmark", "fc_winner", "fc_predictability", "score_seven", "score_options_best", "score_priority_rules", "score_sensitivity", "scenario_impacts", "scenario_summary", "what_if"]
-NAMES = [q.name for module in (q_kpi, q_rows, q_groups, q_board, q_checks) for q in module.QUERIES] + ["mart_zone_day", "risk_zone", *ALSO]
+NAMES = [q.name for module in (q_kpi, q_rows, q_groups, q_board, q_checks, q_layers) for q in module.QUERIES] + ["mart_zone_day", "risk_zone", *ALSO]
 
 
 @pytest.fixture(scope="module")

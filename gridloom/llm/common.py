@@ -14,6 +14,8 @@ LOWEST = -(2**63)
 ARROW_ROWS = 512
 ARROW_BYTES = 16 << 20
 RANGE_BYTES = 256 << 20
+#: Ranges at most, whatever the input: the driver and the plan hold one cut for each.
+MOST_RANGES = 20_000
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -104,14 +106,16 @@ def with_ranges(df: DataFrame, key: str, out: str, text: str, parts: int | None
     """Add ``out``, the number of the range of the long column ``key`` that a row falls in; also returns how many numbers there are.
 
     There is a range for each ``RANGE_BYTES`` of ``text``, but no fewer than the
-    session's shuffle partitions. The cuts are approximate quantiles; ranges are
+    session's shuffle partitions and no more than ``MOST_RANGES``: beyond that
+    the ranges grow (sorting spills), so neither the cuts on the driver nor the
+    summary they are taken from grow with the input. The cuts are approximate quantiles; ranges are
     ordered as their keys are, and ``repartitionById`` gives each a partition of
     its own.
     """
     spark = df.sparkSession
     if parts is None:
         size = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
-        parts = max(partitions(spark), -(-size // RANGE_BYTES))
+        parts = min(MOST_RANGES, max(partitions(spark), -(-size // RANGE_BYTES)))
     cuts = sorted(set(df.approxQuantile(key, [i / parts for i in range(1, parts)], 1 / (10 * parts)))) if parts > 1 else []
     if not cuts:
         return df.withColumn(out, F.lit(0)), 1

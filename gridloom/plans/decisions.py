@@ -136,6 +136,12 @@ class Decisions(Marts):
         """Errors of each model over peak hours and over all hours."""
         return forecasting.by_model(self.hour_forecast, ["zone_id", "ts", "peak"]).groupBy("model").agg(*forecasting.metrics(F.col("peak"), "_peak"), *forecasting.metrics(None, "_all"))
 
+    @cached_property
+    def zone_peak_errors(self) -> DataFrame:
+        """The same for each zone on its own."""
+        rows = forecasting.by_model(self.hour_forecast, ["zone_id", "ts", "peak"])
+        return rows.groupBy("zone_id", "model").agg(*forecasting.metrics(F.col("peak"), "_peak"), *forecasting.metrics(None, "_all"), F.count(F.lit(1)).alias("n"))
+
     # anomalies
 
     DETECTORS = ("demand", "load", "curtailment", "ens", "station", "pattern")

@@ -38,6 +38,7 @@ class Marts:
         self._frames: dict[str, DataFrame] = {}
         self._kept: dict[str, DataFrame] = {}
         self._paths: list[str] = []
+        self._tables: dict[str, str] = {}
 
     def frame(self, role: str) -> DataFrame:
         if role not in self._frames:
@@ -75,11 +76,20 @@ class Marts:
             self.__dict__.pop(layer, None)
         self._kept.clear()
 
-    def materialise(self, layer: str, path: str, partition: str | None = None) -> DataFrame:
-        """Write a layer as Parquet to a place of the user's own and use it from there."""
-        out = getattr(self, layer).write.mode("overwrite")
-        (out.partitionBy(partition) if partition else out).parquet(path)
-        self._kept[layer] = self.__dict__[layer] = self.spark.read.parquet(path)
+    def save_table(self, layer: str, name: str, by: tuple[str, ...] = ("feeder_id",), order: tuple[str, ...] = ("ts",), buckets: int = 200, partition: str | None = None) -> DataFrame:
+        """Write a layer as a catalogue table, bucketed by ``by`` and sorted within buckets, and use it from there.
+
+        Later aggregates, joins and windows by ``by`` then need no exchange. Rows
+        are dealt to their buckets first, so each bucket is one file a partition.
+        Writing again replaces the table; ``release`` leaves it, as it is the user's.
+        """
+        if self._tables.get(layer) == name:
+            self.__dict__.pop(layer, None)  # made anew, not read from the table that is replaced
+        self._tables[layer] = name
+        rows = getattr(self, layer).repartition(buckets, *by)
+        out = rows.write.mode("overwrite").format("parquet").bucketBy(buckets, *by).sortBy(*by, *order)
+        (out.partitionBy(partition) if partition else out).saveAsTable(name)
+        self._kept[layer] = self.__dict__[layer] = self.spark.table(name)
         return self.__dict__[layer]
 
     # integration

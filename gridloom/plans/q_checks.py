@@ -14,7 +14,7 @@ from gridloom.operators.quantiles import quantiles
 from gridloom.operators.scoring import SCORES
 from gridloom.plans.decisions import Decisions
 from gridloom.plans.decisions_sql import ALL, TASKS
-from gridloom.plans.q_kpi import DEFERRABLE, _deferrable
+from gridloom.plans.q_kpi import CHECKS_SQL, DEFERRABLE, _deferrable, checks
 from gridloom.plans.query import Query
 from gridloom.sources.grid_csv import FRAMES
 
@@ -201,6 +201,17 @@ READY_SQL = (f"SELECT *, {_states} FROM (SELECT *, CASE WHEN n_high > 0 THEN 'FA
              "FROM (SELECT count_if(severity = 'alta' AND failed = 1) AS n_high, count_if(severity = 'media' AND failed = 1) AS n_med, count_if(severity = 'baja' AND failed = 1) AS n_low "
              f"FROM ({RULES_SQL})) CROSS JOIN (SELECT count_if(blocker = 1 AND passed = 0) AS n_blocked FROM ({GATES_SQL})))")
 
+
+def release(m: Decisions) -> DataFrame:
+    """All that a release must pass: the data checks by severity, then the gates across outputs, blocking ones and others."""
+    by = checks(m).select("severity", (F.col("observed") > 0).cast("int").alias("bad")).unionByName(gates(m).select(F.when(F.col("blocker") == 1, "gate_blocker").otherwise("gate_warning").alias("severity"), (F.lit(1) - F.col("passed")).alias("bad")))
+    out = by.groupBy("severity").agg(F.count(F.lit(1)).alias("checks"), F.sum("bad").alias("failed"))
+    return out.withColumn("status", F.when(F.col("failed") == 0, "PASS").when(F.col("severity").isin("alta", "gate_blocker"), "FAIL").otherwise("WARN"))
+
+
+RELEASE_SQL = (f"SELECT *, CASE WHEN failed = 0 THEN 'PASS' WHEN severity IN ('alta', 'gate_blocker') THEN 'FAIL' ELSE 'WARN' END AS status FROM (SELECT severity, count(*) AS checks, sum(bad) AS failed FROM "
+               f"(SELECT severity, CAST(observed > 0 AS INTEGER) AS bad FROM ({CHECKS_SQL}) UNION ALL SELECT CASE WHEN blocker = 1 THEN 'gate_blocker' ELSE 'gate_warning' END, 1 - passed FROM ({GATES_SQL})) GROUP BY 1)")
+
 # Profiles
 
 #: Key columns of each role.
@@ -381,6 +392,7 @@ QUERIES = [
     Query("dq_rules", "rule area severity ~observed ~most failed", rules, RULES_SQL, more=ALL),
     Query("dq_output_gates", "gate #blocker ~observed #passed", gates, GATES_SQL, more=MORE),
     Query("dq_readiness", "#n_high #n_med #n_low #n_blocked status confidence " + " ".join(f"{s}_state" for s in STATES), lambda m: assessment(rules(m), gates(m)), READY_SQL, more=MORE),
+    Query("dq_release_gates_all", "severity #checks #failed status", release, RELEASE_SQL, more=MORE),
     Query("profile_summary", "table_name #n_rows #n_columns #null_keys #repeated_keys first last ~null_rate:6", summary, _summary_sql()),
     Query("profile_nulls", "table_name column_name #n_rows #nulls ~null_rate:6", nulls, NULLS_SQL),
     Query("profile_distributions", "column_name ~low ~middle ~p95 ~high ~mean", distributions, DISTRIBUTIONS_SQL),

@@ -39,8 +39,8 @@ QUERIES = [
     Query("fc_error_zone_type", "zone_type ~mae ~rmse ~smape ~bias #n", lambda m: m.zone_type_errors,
           "SELECT zone_type, avg(abs(error)) AS mae, sqrt(avg(error * error)) AS rmse, avg(abs(error) / CASE WHEN abs(actual) + abs(predicted) = 0 THEN 1e-9 ELSE (abs(actual) + abs(predicted)) / 2 END) * 100 AS smape, avg(error) AS bias, count(*) AS n FROM day_held_errors LEFT JOIN zones ON entity = CAST(zone_id AS VARCHAR) WHERE task = 'demanda_zona' AND model = (SELECT model FROM task_winners WHERE task = 'demanda_zona') GROUP BY 1", more=TASKS),
     Query("fc_hourly", "zone_id ^ts peak ~actual ~naive ~seasonal_naive ~moving_average ~linear_trend ~exp_smoothing", lambda m: m.hour_forecast, "SELECT * FROM hour_held", more=TASKS),
-    Query("fc_hourly_peak", "model ~mae_peak ~rmse_peak ~smape_peak ~bias_peak ~mae_all ~rmse_all ~smape_all ~bias_all", lambda m: m.hour_peak_errors,
-          "SELECT model, avg(abs(error)) FILTER (peak) AS mae_peak, sqrt(avg(error * error) FILTER (peak)) AS rmse_peak, avg(abs(error) / CASE WHEN abs(actual) + abs(predicted) = 0 THEN 1e-9 ELSE (abs(actual) + abs(predicted)) / 2 END) FILTER (peak) * 100 AS smape_peak, avg(error) FILTER (peak) AS bias_peak, avg(abs(error)) AS mae_all, sqrt(avg(error * error)) AS rmse_all, avg(abs(error) / CASE WHEN abs(actual) + abs(predicted) = 0 THEN 1e-9 ELSE (abs(actual) + abs(predicted)) / 2 END) * 100 AS smape_all, avg(error) AS bias_all FROM hour_held_errors GROUP BY 1", more=TASKS),
+    Query("fc_hourly_peak", "zone_id model ~mae_peak ~rmse_peak ~mae_all ~rmse_all #n", lambda m: m.zone_peak_errors,
+          "SELECT zone_id, model, avg(abs(error)) FILTER (peak) AS mae_peak, sqrt(avg(error * error) FILTER (peak)) AS rmse_peak, avg(abs(error)) AS mae_all, sqrt(avg(error * error)) AS rmse_all, count(*) AS n FROM hour_held_errors GROUP BY 1, 2", more=TASKS),
     _part("anom_demand_z", "a_demand"), _part("anom_load_p99", "a_load"), _part("anom_curtailment", "a_curtailment"), _part("anom_ens_roll", "a_ens"), _part("anom_substation_trend", "a_station"), _part("anom_baseline_dev", "a_pattern"),
     Query("anom_union_severity", f"{SEEN} severity advice", lambda m: m.anomalies, "SELECT * FROM anomalies", more=ANOMALY),
     Query("anom_ids", "anomaly_id #nth ^ts zone_id station_id feeder_id anomaly_type ~score severity", lambda m: m.anomaly_ids,

@@ -8,7 +8,7 @@ FOLDER = "/root/testdata/sf0.001"
 
 
 def test_duplicate_node_hours_fail_the_release(spark):
-    plan = registry.catalogue()["dq_release_gates_all"].plan
+    plan = registry.catalogue()["dq_release_gates"].plan
     m = Decisions(spark, FOLDER)
     status = {r.severity: r for r in plan(m).collect()}
     assert sum(r.checks for r in status.values()) == len(CHECKS) == 14

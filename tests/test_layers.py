@@ -116,3 +116,27 @@ def test_every_gate_can_fail(spark, gate):
         assert set(got.values()) == {1}
     else:
         assert got[gate] == 0
+
+
+def test_bucketed_table_needs_no_exchange(spark, m, tmp_path):
+    """Windows and aggregates by feeder over the saved layer read it as it lies; saving again replaces it."""
+    from pyspark.sql import Window
+
+    own = Decisions(spark, FOLDER)
+    own.__dict__["node_state"] = m.node_state
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for _ in range(2):
+            saved = own.save_table("node_state", "gridloom_test_nodes", buckets=4)
+        assert saved.count() == m.node_state.count()
+        w = Window.partitionBy("feeder_id").orderBy("ts").rowsBetween(-719, 0)
+        rolled = saved.select("feeder_id", "ts", F.sum("demand_mw").over(w).alias("s"))
+        loads = saved.groupBy("feeder_id").agg(F.avg("load_ratio").alias("mean"))
+        for df in (rolled, loads, saved.join(loads, "feeder_id")):
+            assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString(), df.columns
+        plain = m.node_state.select("feeder_id", "ts", F.sum("demand_mw").over(w).alias("s"))
+        assert rolled.exceptAll(plain.where("false")).count() == plain.count() and "Exchange" in plain._jdf.queryExecution().executedPlan().toString()
+        assert own.node_state is saved and own.asset_exposure.count() > 0
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("DROP TABLE IF EXISTS gridloom_test_nodes")

@@ -140,3 +140,23 @@ def test_bucketed_table_needs_no_exchange(spark, m, tmp_path):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.sql("DROP TABLE IF EXISTS gridloom_test_nodes")
+
+
+def test_queries_by_name_share_their_layers(spark, tmp_path):
+    import shutil
+
+    from gridloom.plans import query, registry
+
+    folder = f"{tmp_path}/tables"
+    shutil.copytree(FOLDER, folder)
+    query.clear()
+    q = registry.catalogue()
+    first = q["mart_zone_day"].run(spark, folder)
+    own = query.shared(spark, folder)
+    stored = list(own._paths)
+    assert q["mart_zone_month"].run(spark, folder).count() > 0 and first.count() > 0
+    assert query.shared(spark, folder) is own and own._paths[: len(stored)] == stored
+    spark.range(3).write.parquet(f"{folder}/more.parquet")  # the input is another one now
+    assert query.shared(spark, folder) is not own
+    query.clear()
+    assert not own._paths and not own._kept

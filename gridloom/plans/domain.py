@@ -13,7 +13,7 @@ from gridloom.plans.decisions import Decisions
 from gridloom.plans.registry import catalogue
 from gridloom.sources import grid_csv
 
-#: Exported name, the query or layer it holds, and its kind of file.
+# Exported name, the query or layer it holds, and its kind of file.
 EXPORTS: dict[str, tuple[str, str]] = {
     "mart_node_hour_operational_state": ("node_state", "parquet"),
     "mart_zone_day_operational": ("zone_day", "csv"),

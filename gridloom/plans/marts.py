@@ -229,6 +229,7 @@ class Marts:
             F.avg("max_load_ratio").alias("mean_max_load"), known(F.avg(ratio(F.col("ev_mwh") + F.col("industry_mwh"), "demand_mwh"))).alias("electrification"), known(F.avg(ratio("flex_gap_mwh", "demand_mwh"))).alias("flex_gap"))
         ranks = self.events.groupBy("zone_id").agg(F.avg("severity_rank").alias("mean_rank"), F.max("severity_rank").alias("max_rank"))
         base = days.join(ranks, "zone_id", "left").withColumns({"mean_rank": known("mean_rank"), "max_rank": known("max_rank", 0)})
+        # fixed values: the score's weights
         parts = {"congested_hours": 0.24, "mean_rank": 0.16, "ens_mwh": 0.18, "customers": 0.14, "mean_max_load": 0.10}
         score = weighted([*((w, percent_of_max(c)) for c, w in parts.items()), (0.09, F.lit(100.0) * F.col("criticality")), (0.09, F.lit(100.0) * F.col("growth_tension"))])
         return share_of_max(self.once(base, "zone_risk_base"), list(parts)).withColumn("risk_score", score).drop(*(f"max_{c}" for c in parts))
@@ -243,6 +244,7 @@ class Marts:
         out = out.withColumns({c: known(c, 0 if c in ("hours", "stressed_hours", "congested_hours", "station_customers", "station_outages") else 0.0) for c in ("hours", "stressed_hours", "congested_hours", "mean_load", "max_load", "event_energy_mwh", "station_ens_mwh", "station_customers", "station_outages")})
         stress = ratio("stressed_hours", "hours")
         out = share_of_max(self.once(out, "asset_base"), ["age_years"])
+        # fixed values: the score's weights
         score = weighted([(0.26, percent_of_max("age_years")), (0.18, F.lit(100.0) * (F.lit(1.0) - F.col("health"))), (0.16, F.lit(100.0) * F.col("criticality")), (0.20, F.lit(100.0) * stress), (0.20, F.lit(100.0) * F.col("failure_p"))])
         return out.withColumns({"exposure_score": score, "adjusted_p": F.least(F.lit(1.0), F.col("failure_p") * (F.lit(1.0) + F.lit(0.35) * stress))}).drop("max_age_years")
 
@@ -269,6 +271,7 @@ class Marts:
         relief = F.col("risk_reduction") * F.col("risk_score")
         out = out.withColumns({"risk_relief": relief, "relative_gain": ratio(F.col("capacity_gain") * F.col("peak_mw"), "gap_mw"), "efficiency": ratio(relief + F.lit(15.0) * F.col("resilience"), "capex"), "strategy": F.when(F.col("family") == "refuerzo_fisico", "refuerzo").when(F.col("family").isin("storage_distribuido", "flexibilidad_operativa"), "flexibilidad").otherwise("operacion")})
         out = share_of_max(self.once(out, "candidate_base"), ["resilience", "capacity_gain", "efficiency", "horizon_months"])
+        # fixed values: the score's weights
         score = weighted([(0.28, F.lit(100.0) * F.col("risk_reduction")), (0.22, percent_of_max("resilience")), (0.18, percent_of_max("capacity_gain")), (0.12, percent_of_max("efficiency")), (0.10, F.lit(100.0) * F.col("ease")), (0.10, F.lit(100.0) * (F.lit(1.0) - ratio("horizon_months", "max_horizon_months")))])
         out = out.withColumn("priority_score", score)
         return out.join(self.frame("zones").select("zone_id", "zone_name", "zone_type", "region"), "zone_id", "left")
@@ -324,6 +327,7 @@ class Marts:
         self.keep("zone_month")
         w = Window.partitionBy("zone_id")
         out = share_of_max(self.zone_month, ["congested_hours", "ens_mwh", "flex_gap_mwh"])
+        # fixed values: the weights of risk, resilience and capital
         return out.withColumns({
             "trend_mwh": F.col("demand_mwh") - F.lag("demand_mwh").over(w.orderBy("month")),
             "seasonal": ratio("demand_mwh", F.avg("demand_mwh").over(w)),
@@ -344,6 +348,7 @@ class Marts:
         out = self.candidates.join(days, "zone_id", "left").join(months, "zone_id", "left")
         out = out.withColumns({c: known(c) for c in ("risk_cost", "mean_gap", "mean_exposure", "ev_weight", "month_risk", "capex_intensity", "flex_effective", "storage_effective")})
         driver = F.when(F.col("risk_score") >= 75, "congestion_estructural").when(F.col("mean_exposure") >= 65, "degradacion_activos").when(F.col("mean_gap") >= 25, "brecha_flexibilidad").when(F.col("ev_weight") >= 0.6, "presion_ev").otherwise("presion_electrificacion_industrial")
+        # fixed values: the weights of the four indices
         return out.withColumns({
             "driver": driver,
             "technical": weighted({"risk_score": 0.35, "month_risk": 0.25, "mean_exposure": 0.20, "mean_gap": 0.20}),

@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.operators.ranges import ALL, UPTO, joined
+from gridloom.operators.ranges import ALL, UPTO, joined, keyed
 from gridloom.sources.shared import stored
 
 Once = Callable[[DataFrame, str], DataFrame]
@@ -28,12 +28,12 @@ def quantiles(df: DataFrame, group: list[str], value: str, shares: dict[str, flo
     once = once or (lambda d, label: stored(d, label)[0])
     counts = df.select(*group, F.col(value).cast("double").alias("v")).where("v is not null").groupBy(*group, "v").agg(F.count(F.lit(1)).alias("times"))
     ranged = once(counts.repartitionByRange(*(F.col(c).asc_nulls_first() for c in group), F.col("v")).withColumn("part", F.spark_partition_id()), "quantile_ranges")
-    keys = [*group, "part"]
+    ranged = ranged.withColumn("part_key", keyed(*group, "part")).drop("part")
     w = Window.partitionBy(*group).orderBy("part")
-    sizes = ranged.groupBy(*keys).agg(F.sum("times").alias("in_part"))
-    bases = sizes.select(*keys, F.coalesce(F.sum("in_part").over(w.rowsBetween(*UPTO)), F.lit(0)).alias("before"), F.sum("in_part").over(w.rowsBetween(*ALL)).alias("n"))
-    passed = F.sum("times").over(Window.partitionBy(*keys).orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
-    rows = joined(ranged.withColumn("upto", passed), bases, keys).withColumn("upto", F.col("upto") + F.col("before")).withColumn("since", F.col("upto") - F.col("times"))
+    sizes = ranged.groupBy("part_key").agg(F.sum("times").alias("in_part")).select("part_key", "part_key.*", "in_part")
+    bases = sizes.select("part_key", F.coalesce(F.sum("in_part").over(w.rowsBetween(*UPTO)), F.lit(0)).alias("before"), F.sum("in_part").over(w.rowsBetween(*ALL)).alias("n"))
+    passed = F.sum("times").over(Window.partitionBy("part_key").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    rows = joined(ranged.withColumn("upto", passed), bases, "part_key").withColumn("upto", F.col("upto") + F.col("before")).withColumn("since", F.col("upto") - F.col("times"))
     place = lambda q: F.lit(q) * (F.col("n") - 1)
     at = lambda p: F.max(F.when((p >= F.col("since")) & (p < F.col("upto")), F.col("v")))
     sides = rows.groupBy(*group).agg(F.max("n").alias("n"), *(at(side(place(q))).alias(f"{name}_{k}") for name, q in shares.items() for k, side in (("low", F.floor), ("high", F.ceil))))

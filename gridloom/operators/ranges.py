@@ -23,12 +23,19 @@ def month(at: str) -> Column:
     return F.date_trunc("month", F.col(at))
 
 
-def joined(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """``left`` with the other columns of ``right``, of which there is one row for each key; null keys meet, too."""
-    other = right.select(*(F.col(k).alias(f"at_{k}") for k in keys), *(c for c in right.columns if c not in keys))
-    on = [F.col(k).eqNullSafe(F.col(f"at_{k}")) for k in keys]
-    out = left.join(other, on, "inner")
-    return out.drop(*(f"at_{k}" for k in keys))
+def keyed(*columns: str) -> Column:
+    """Columns as one key that is never null, so that null parts meet by plain equality.
+
+    A window, an aggregate and a join by one key share one shuffle of the rows;
+    null-safe equality of the parts would deal them out anew.
+    """
+    return F.struct(*columns)
+
+
+def joined(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """``left`` with the other columns of ``right``, of which there is one row for each ``key`` (see ``keyed``)."""
+    other = right.withColumnRenamed(key, f"at_{key}")
+    return left.join(other, F.col(key) == F.col(f"at_{key}")).drop(f"at_{key}")
 
 
 def positions(df: DataFrame, group: list[str], cell: Column, order: list[str], out: str = "pos", total: str | None = None) -> DataFrame:
@@ -36,13 +43,12 @@ def positions(df: DataFrame, group: list[str], cell: Column, order: list[str], o
 
     ``cell`` must not fall along ``order``. Nulls are a group and a cell of their own.
     """
-    rows = df.withColumn("range_cell", cell)
-    keys = [*group, "range_cell"]
+    rows = df.withColumn("range_cell", cell).withColumn("range_cell_key", keyed(*group, "range_cell")).drop("range_cell")
     w = Window.partitionBy(*group).orderBy("range_cell")
-    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("range_n"))
-    bases = sizes.select(*keys, F.coalesce(F.sum("range_n").over(w.rowsBetween(*UPTO)), F.lit(0)).alias("range_before"), *([F.sum("range_n").over(w.rowsBetween(*ALL)).alias(total)] if total else []))
-    placed = rows.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1)
-    return joined(placed, bases, keys).withColumn(out, F.col(out) + F.col("range_before")).drop("range_cell", "range_before")
+    sizes = rows.groupBy("range_cell_key").agg(F.count(F.lit(1)).alias("range_n")).select("range_cell_key", "range_cell_key.*", "range_n")
+    bases = sizes.select("range_cell_key", F.coalesce(F.sum("range_n").over(w.rowsBetween(*UPTO)), F.lit(0)).alias("range_before"), *([F.sum("range_n").over(w.rowsBetween(*ALL)).alias(total)] if total else []))
+    placed = rows.withColumn(out, F.row_number().over(Window.partitionBy("range_cell_key").orderBy(*order)) - 1)
+    return joined(placed, bases, "range_cell_key").withColumn(out, F.col(out) + F.col("range_before")).drop("range_cell_key", "range_before")
 
 
 def windowed(df: DataFrame, group: list[str], cell: Column, order: list[str], frames: dict[str, Callable[[WindowSpec], Column]], back: int = 0, ahead: int = 0, block: int = BLOCK) -> DataFrame:
@@ -63,18 +69,17 @@ def windowed(df: DataFrame, group: list[str], cell: Column, order: list[str], fr
 
 def islands(df: DataFrame, key: list[str], cell: Column, at: str, seconds: int, out: str = "island") -> DataFrame:
     """Number the runs of rows of a key that follow each other by no more than ``seconds``; from 1, across cells."""
-    keys = [*key, "range_cell"]
     when = F.unix_micros(F.col(at).cast("timestamp"))
-    rows = df.withColumn("range_cell", cell)
-    own = Window.partitionBy(*keys).orderBy(at)
+    rows = df.withColumn("range_cell", cell).withColumn("range_cell_key", keyed(*key, "range_cell")).drop("range_cell")
+    own = Window.partitionBy("range_cell_key").orderBy(at)
     gap = when - F.lag(when).over(own)
     rows = rows.withColumn("range_begins", F.when(gap > seconds * 1_000_000, 1).otherwise(0))
-    ends = rows.groupBy(*keys).agg(F.min(when).alias("range_first"), F.max(when).alias("range_last"), F.sum("range_begins").alias("range_more"))
+    ends = rows.groupBy("range_cell_key").agg(F.min(when).alias("range_first"), F.max(when).alias("range_last"), F.sum("range_begins").alias("range_more")).select("*", "range_cell_key.*")
     w = Window.partitionBy(*key).orderBy("range_cell")
     # whether a cell's first row begins a run depends on the cell before
     since = F.col("range_first") - F.lag("range_last").over(w)
     ends = ends.withColumn("range_new", F.when(since.isNull() | (since > seconds * 1_000_000), 1).otherwise(0))
     ends = ends.withColumn("range_base", F.sum("range_new").over(w.rowsBetween(Window.unboundedPreceding, 0)) + F.coalesce(F.sum("range_more").over(w.rowsBetween(*UPTO)), F.lit(0)))
     numbered = rows.withColumn("range_here", F.sum("range_begins").over(own.rowsBetween(Window.unboundedPreceding, 0)))
-    out_rows = joined(numbered, ends.select(*keys, "range_base"), keys)
+    out_rows = joined(numbered, ends.select("range_cell_key", "range_base"), "range_cell_key")
     return out_rows.withColumn(out, (F.col("range_base") + F.col("range_here")).cast("long")).select(*df.columns, out)

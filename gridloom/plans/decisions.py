@@ -36,23 +36,27 @@ class Decisions(Marts):
         return self.zone_series.join(regions, "zone_id").groupBy(F.col("region").alias("zone_id"), "day").agg(F.sum("demand").alias("demand"))
 
     @cached_property
-    def zone_forecast(self) -> DataFrame:
-        return forecasting.backtest(self.zone_series, "zone_id", "day", "demand")
+    def forecasts(self) -> DataFrame:
+        """Held-out days of the zones' and the regions' demand, both in one back-test: ``task, entity, day, actual`` and a column a model."""
+        self.keep("zone_series")
+        one = lambda task, df: df.select(F.struct(F.lit(task).alias("task"), F.col("zone_id").cast("string").alias("entity")).alias("series"), "day", "demand")
+        both = one("demanda_zona", self.zone_series).unionByName(one("demanda_region", self.region_series))
+        return forecasting.backtest(both, "series", "day", "demand").select("series.*", "day", "actual", *forecasting.MODELS)
 
     @cached_property
-    def region_forecast(self) -> DataFrame:
-        return forecasting.backtest(self.region_series, "zone_id", "day", "demand")
+    def zone_forecast(self) -> DataFrame:
+        self.keep("forecasts")
+        kind = self.frame("zones").schema["zone_id"].dataType
+        return self.forecasts.where("task = 'demanda_zona'").select(F.col("entity").cast(kind).alias("zone_id"), "day", "actual", *forecasting.MODELS)
 
     @cached_property
     def errors(self) -> DataFrame:
         """A row for each task, held-out day and model."""
-        tasks = {"demanda_zona": self.zone_forecast, "demanda_region": self.region_forecast}
-        parts = [forecasting.by_model(f, ["zone_id", "day"]).withColumns({"task": F.lit(t), "zone_id": F.col("zone_id").cast("string")}) for t, f in tasks.items()]
-        return parts[0].unionByName(parts[1])
+        self.keep("forecasts")
+        return forecasting.by_model(self.forecasts.withColumnRenamed("entity", "zone_id"), ["task", "zone_id", "day"])
 
     @cached_property
     def benchmark(self) -> DataFrame:
-        self.keep("errors")
         return self.errors.groupBy("task", "model").agg(*forecasting.metrics(), F.count(F.lit(1)).alias("n"))
 
     @cached_property
@@ -62,7 +66,6 @@ class Decisions(Marts):
 
     @cached_property
     def best_zone_errors(self) -> DataFrame:
-        self.keep("errors")
         best = self.winners.where("task = 'demanda_zona'").select("model")
         kind = self.frame("zones").schema["zone_id"].dataType
         return self.errors.where("task = 'demanda_zona'").join(best, "model", "left_semi").withColumn("zone_id", F.col("zone_id").cast(kind))

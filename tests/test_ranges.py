@@ -110,3 +110,18 @@ def test_quantiles_of_very_many_groups_and_a_hot_one(spark):
     assert off.where(wrong).count() == 0 and got.count() == want.count() > 90_000
     added = quantiles.group_percentile(df, "g", "v", 0.5, "middle")
     assert added.count() == df.count() and added.where("g = -2 and middle is null").count() == 1
+
+
+def test_rows_are_shuffled_once_for_their_places(spark, hours):
+    """Window, counts and join go by one key: one shuffle of the rows, two of the cells' counts by it and one by group."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        placed = ranges.positions(hours, ["name"], ranges.month("ts"), ["ts"], "pos", "n")
+        smooth = scan.smoothed(placed.where("x is not null"), ["name"], "pos", "x", 0.35, "level")
+        for df, n in ((placed, 4), (smooth, 4 + 4 + 4)):  # the scan reads the places twice: for its maps and for its rows
+            plan = df._jdf.queryExecution().sparkPlan().toString()
+            exchanges = [x for x in df._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange hashpartitioning" in x]
+            assert "coalesce(" not in " ".join(x for x in plan.split("\n") if "SortMergeJoin" in x)
+            assert len(exchanges) == n, exchanges
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -169,13 +169,28 @@ def _probed(m: Decisions) -> DataFrame:
 
 #: Kinds of column types, as both engines name them.
 KINDS = {"int": "number", "bigint": "number", "double": "number", "string": "text", "timestamp_ntz": "time", "timestamp": "time"}
-CATALOGUE = ("SELECT table_name, column_name, CASE WHEN data_type IN ('INTEGER', 'BIGINT', 'DOUBLE') THEN 'number' WHEN data_type = 'VARCHAR' THEN 'text' WHEN data_type LIKE 'TIMESTAMP%' THEN 'time' ELSE 'other' END AS kind "
-             f"FROM information_schema.columns WHERE table_name IN {tuple(PROFILED)}")
+CATALOGUED = {
+    "customer": ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"), "orders": ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"),
+    "part": ("p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"), "supplier": ("s_suppkey", "s_name", "s_nationkey", "s_acctbal"),
+}
+CATALOGUE = " UNION ALL ".join(
+    f"SELECT '{t}' AS table_name, '{c}' AS column_name, (SELECT CASE WHEN data_type IN ('INTEGER', 'BIGINT', 'DOUBLE') THEN 'number' WHEN data_type = 'VARCHAR' THEN 'text' WHEN data_type LIKE 'TIMESTAMP%' THEN 'time' ELSE 'other' END FROM information_schema.columns WHERE table_name = '{t}' AND column_name = '{c}') AS kind, "
+    f"count({c}) AS filled, count(DISTINCT {c}) AS n_values FROM {t}" for t, columns in CATALOGUED.items() for c in columns)
 
 
 def _catalogue(m: Decisions) -> DataFrame:
-    """Columns of the tables and their kinds, from the schemas alone."""
-    return m.spark.createDataFrame([(t, c, KINDS.get(k, "other")) for t in PROFILED for c, k in m.table(t).dtypes], "table_name string, column_name string, kind string")
+    """Columns of the tables, their kinds by the schemas, and how many rows and different values each has; one aggregate a table."""
+    parts = []
+    for t in PROFILED:
+        df = m.table(t)
+        # a row for each column and value: distinct counts of all columns from one aggregate instead of one a column
+        values = F.explode(F.array(*(F.struct(F.lit(c).alias("column_name"), F.lit(KINDS.get(k, "other")).alias("kind"), F.col(c).cast("string").alias("value")) for c, k in df.dtypes)))
+        n = df.select(values.alias("x")).select("x.*").groupBy("column_name", "kind", "value").agg(F.count("value").alias("n"))
+        parts.append(n.groupBy("column_name", "kind").agg(F.sum("n").alias("filled"), F.count("value").alias("n_values")).withColumn("table_name", F.lit(t)))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def ordered(m: Decisions, df: DataFrame, by: str, descending: bool, tie: str) -> DataFrame:
@@ -252,7 +267,7 @@ QUERIES = [
     _table("order_by_parameter", "c_custkey #place", lambda m: ordered(m, m.table("customer").select("c_custkey", "c_acctbal"), "c_acctbal", descending=True, tie="c_custkey"),
            "SELECT c_custkey, row_number() OVER (ORDER BY c_acctbal DESC NULLS LAST, c_custkey) AS place FROM customer"),
     _table("probe_tables", "table_name filled #probed", _probed, " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) > 0 AS filled, count(*) AS probed FROM (SELECT 1 FROM {t} LIMIT {PROBE})" for t in PROFILED)),
-    _table("catalogue_columns", "table_name column_name kind", _catalogue, CATALOGUE),
+    _table("catalogue_columns", "table_name column_name kind #filled #n_values", _catalogue, CATALOGUE),
     Query("agg_pivot_hour", "zone_id " + " ".join(f"#h{h}" for h in range(24)), lambda m: m.node_state.groupBy("zone_id").pivot("hour_of_day", list(range(24))).agg(count_if(F.col("congested"))).fillna(0).toDF("zone_id", *(f"h{h}" for h in range(24))),
           "SELECT zone_id, " + ", ".join(f"count_if(congested AND hour_of_day = {h}) AS h{h}" for h in range(24)) + " FROM node_state GROUP BY 1"),
     _table("distinct_ordered", "value #place", lambda m: m.table("customer").where("c_mktsegment IS NOT NULL").select(F.col("c_mktsegment").alias("value")).distinct().withColumn("place", F.row_number().over(Window.orderBy("value"))),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions.exprs import boundaries, last_wins, ratio, risk_tier, round_away, urgency_tier
 from gridloom.operators import anomalies
-from gridloom.operators.intervals import hourly, islands, overlapping, overlapping_ids
+from gridloom.operators.intervals import hourly, islands, overlap_figures, overlapping, overlapping_ids
 from gridloom.operators.quantiles import group_percentile, quantiles
 from gridloom.operators.ranking import numbered
 from gridloom.operators.scales import min_max
@@ -62,6 +62,34 @@ def test_overlapping_rows_by_brute_force(spark):
     assert sorted(r.id for r in overlapping_ids(spark.createDataFrame(a, SPAN), spark.createDataFrame(b, SPAN), "key", "id").collect()) == want
 
 
+def test_overlap_figures_by_brute_force(spark):
+    """Ends that touch, ids in several rows, null keys, ids and amounts, and amounts beyond decimals."""
+    rng = random.Random(11)
+    span = lambda: ((a := T(0) + dt.timedelta(minutes=30 * rng.randrange(300))), a + dt.timedelta(minutes=30 * rng.randrange(-2, 120)))
+    a = [(rng.randrange(60), rng.choice([0, 1, 2, None]), *span()) for _ in range(90)]
+    b = [(rng.choice([None, *range(120)]), rng.choice([0, 1, 2, None]), *span(), rng.choice([1, 2, 3, 4]), rng.choice([None, 0.1, 7.25, 1e300 if i == 5 else 3.0])) for i in range(90)]
+    hour = dt.timedelta(hours=1)
+    want = {}
+    for x in a:
+        for y in b:
+            if x[1] is not None and x[1] == y[1] and x[3] >= x[2] and y[3] + hour >= y[2] and y[2] <= x[3] and y[3] + hour >= x[2]:
+                want.setdefault(x[0], []).append(y)
+    left, right = spark.createDataFrame(a, SPAN), spark.createDataFrame(b, "event int, key int, ts_start timestamp_ntz, ts_end timestamp_ntz, rank int, amount double")
+    got = {r.id: r for r in overlap_figures(left, right, "key", "id", "event", "rank", "amount", "INTERVAL 1 HOUR").collect() if r.top}
+    assert got.keys() == want.keys()
+    for i, met in want.items():
+        total = [y[5] for y in met if y[5] is not None]
+        assert (got[i].n_met, got[i].top) == (len({y[0] for y in met if y[0] is not None}), max(y[4] for y in met)) and (got[i].total or 0.0) == pytest.approx(sum(total))
+
+
+def test_overlaps_are_counted_without_their_pairs(spark):
+    """20,000 intervals that each overlap 20,000 others: 400 million pairs."""
+    n = 20_000
+    spans = spark.range(n).select(F.col("id"), F.lit(1).alias("key"), (F.lit(T(0)) + F.make_dt_interval(secs=F.col("id"))).alias("ts_start"), (F.lit(T(0)) + F.expr("INTERVAL 9 HOURS")).alias("ts_end"), F.lit(2).alias("rank"), F.lit(0.5).alias("amount"))
+    got = overlap_figures(spans, spans.withColumnRenamed("id", "event"), "key", "id", "event", "rank", "amount").groupBy("n_met", "top", "total").count().collect()
+    assert [tuple(r) for r in got] == [(n, 2, n / 2, n)]
+
+
 def test_islands(spark):
     df = spark.createDataFrame([(1, T(0)), (1, T(1)), (1, T(3))], "key int, at timestamp_ntz")
     assert [r.island for r in islands(df, ["key"], "at", 3600).orderBy("at").collect()] == [1, 1, 2]

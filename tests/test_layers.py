@@ -160,3 +160,22 @@ def test_queries_by_name_share_their_layers(spark, tmp_path):
     assert query.shared(spark, folder) is not own
     query.clear()
     assert not own._paths and not own._kept
+
+
+def test_usual_demand_is_added_up_in_one_order(spark, tmp_path):
+    """Three hours of one hour of the day, whose sum depends on its order in the last bit, in all six orders."""
+    for table in Path(FOLDER).iterdir():
+        if table.stem != "events":
+            (tmp_path / table.name).symlink_to(table)
+    rng, hours = random.Random(3), []
+    for values in [[rng.randrange(1, 20_000) / 100 for _ in range(3)] for _ in range(40)]:
+        hours += list(itertools.permutations(values))
+    rows = [(10**6 + 3 * u + i, f"2024-01-{day} 06:10:00", 1000 + u, "view", v, None) for u, three in enumerate(hours) for i, (day, v) in enumerate(zip(("06", "07", "13"), three, strict=True))]
+    events = spark.read.parquet(f"{FOLDER}/events.parquet")
+    new = spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string, value double, props string").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    events.unionByName(new).orderBy(F.desc("ts")).write.parquet(str(tmp_path / "events.parquet"))
+    m = Decisions(spark, str(tmp_path))
+    got = {(r.feeder_id, r.day.day): r.vs_usual for r in m.node_features.where("feeder_id >= 1000").select("feeder_id", "day", "vs_usual").collect()}
+    m.release()
+    want = {(1000 + u, day): (v - (c + b + a) / 3) / ((c + b + a) / 3) for u, (a, b, c) in enumerate(hours) for day, v in ((6, a), (7, b), (13, c))}
+    assert got == want

@@ -165,7 +165,7 @@ def decisions(m: Decisions) -> DataFrame:
 
 def _charted(m: Decisions) -> list[tuple[str, DataFrame, str, str]]:
     """Chart, its rows, the entity and the value of each bar."""
-    m.keep("node_state", "zone_day", "zone_risk", "flex_gap", "ranking", "scenario_summary")
+    m.keep("zone_day", "zone_risk", "flex_gap", "ranking", "scenario_summary")
     n, z = m.node_state, m.zone_day
     by = lambda df, key, name, value: df.groupBy(F.col(key).cast("string").alias("entity")).agg(value.cast("double").alias(name))
     return [
@@ -229,7 +229,7 @@ def heat(m: Decisions) -> DataFrame:
 
 def findings(m: Decisions) -> DataFrame:
     """The five findings' evidence: entity and figure of each."""
-    m.keep("node_state", "zone_day", "flex_gap", "ranking")
+    m.keep("zone_day", "flex_gap", "ranking")
     first = lambda df, key, value, name: df.orderBy(round_away(F.col(value).cast("double"), 4, NUDGE).desc_nulls_last(), key).limit(1).select(F.lit(name).alias("finding"), F.col(key).cast("string").alias("entity"), F.col(value).cast("double").alias("value"))
     nodes = m.node_state.groupBy("zone_id", "station_id", "feeder_id").agg(count_if(F.col("congested")).alias("h")).orderBy(F.desc("h"), "feeder_id").limit(10).agg(F.sum("h").cast("double").alias("value"))
     ens = m.zone_day.groupBy("zone_id").agg(F.sum("ens_mwh").alias("v"))

@@ -113,7 +113,7 @@ CHECKS = [
 
 def checks(m: Decisions) -> DataFrame:
     """Every check's observed value. The marts that several checks read are written once."""
-    m.keep("node_state", "zone_day", "zone_risk", "flex_gap")
+    m.keep("zone_day", "zone_risk", "flex_gap")
     out = reduce(DataFrame.unionByName, _tables(m))
     grave = F.create_map(*(F.lit(x) for name, severity, _ in CHECKS for x in (name, severity)))
     return out.withColumns({"severity": grave[F.col("check_name")], "passed": (F.col("observed") == 0).cast("int")})

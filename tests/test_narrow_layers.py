@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from gridloom.operators.quantiles import group_percentile
 from gridloom.plans.decisions import Decisions
+from gridloom.sources import tables
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -34,6 +35,14 @@ def test_demand_meets_its_events_as_it_lies(spark, m):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_detectors_read_narrow_rows(m):
+    m.keep("anomalies")
+    assert not {"node_state", "node_features"} & set(m._kept)
+    names = m.node_signals.columns
+    assert len(names) < len(m.node_features.columns) / 3
+    assert m.node_signals.exceptAll(m.node_features.select(names)).count() == 0 and m.node_signals.count() == m.node_features.count() > 0
+
+
 def test_events_count_at_the_place_they_name(spark):
     """A feeder that stands at two substations within an hour, and events with null places, as a join by all four keys counts them."""
     hour = "timestamp '2024-01-01 05:00:00'"
@@ -48,3 +57,9 @@ def test_events_count_at_the_place_they_name(spark):
 def test_rows_stay_where_they_are_for_few_percentiles(spark):
     df = spark.range(1000).select((F.col("id") % 7).alias("g"), F.col("id").cast("double").alias("v"))
     assert "hashpartitioning" not in plan(group_percentile(df, "g", "v", 0.5, "p"))
+
+
+def test_series_are_read_once(spark):
+    m = Decisions(spark, FOLDER, lambda role: tables.role(spark, FOLDER, role))
+    assert m.zone_series.count() > 0 and "day_series" in m._kept
+    m.release()

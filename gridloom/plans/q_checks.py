@@ -84,7 +84,7 @@ def _judged(observed: DataFrame) -> DataFrame:
 
 def rules(m: Decisions) -> DataFrame:
     """Every rule's observed value, one aggregate for each table."""
-    m.keep("node_state", "zone_day", "ranking")
+    m.keep("zone_day", "ranking")
     bad = lambda c: count_if(c)
     keys = m.node_state.groupBy("ts", "zone_id", "station_id", "feeder_id").agg(F.count(F.lit(1)).alias("n"))
     storage = ratio("storage_cover_mw", "demand_mw")
@@ -154,7 +154,7 @@ def output_gates(scoring: DataFrame, ranking: DataFrame, impacts: DataFrame, sum
 
 def gates(m: Decisions) -> DataFrame:
     """The gates over this run's outputs, each as it was written."""
-    m.keep("anomalies", "ranking", "ranking_table", "scores", "scenario_summary", "task_benchmark")
+    m.keep("anomalies", "precursors", "ranking", "ranking_table", "scores", "scenario_summary", "task_benchmark")
     told = m.precursors.groupBy("anomaly_type").agg(F.count(F.lit(1)).alias("n"))
     return output_gates(m.ranking, m.ranking_table, m.scenarios, m.scenario_summary, m.anomalies, told, m.task_benchmark, m.sensitivity)
 

@@ -59,6 +59,13 @@ def test_rows_stay_where_they_are_for_few_percentiles(spark):
     assert "hashpartitioning" not in plan(group_percentile(df, "g", "v", 0.5, "p"))
 
 
+def test_consistency_gates_read_what_was_written(m):
+    from gridloom.plans import q_checks
+
+    q_checks.gates(m)
+    assert {"anomalies", "precursors"} <= set(m._kept)
+
+
 def test_series_are_read_once(spark):
     m = Decisions(spark, FOLDER, lambda role: tables.role(spark, FOLDER, role))
     assert m.zone_series.count() > 0 and "day_series" in m._kept
